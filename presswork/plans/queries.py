@@ -346,3 +346,218 @@ def _b12(t, p):
 @register("author_kpi_change", lambda p: b12_sql(p, True))
 def _b12a(t, p):
     return K.kpi_change_for(t, p.period, p.filters(author=True), p.settings)
+
+
+# ---------------------------------------------------------------- B13-B16
+from presswork.operators import rankings as R  # noqa: E402
+from presswork.operators import series as S  # noqa: E402
+
+
+def disp(p: QueryParams, email: str, name: str = "a.complete_name", agency=True) -> str:
+    base = f"COALESCE({name}, {email})"
+    if not agency:
+        return base
+    st = p.settings
+    return f"CASE WHEN LOWER({email}) = LOWER({lit(st.agency_editor)}) THEN {lit(st.agency_label)} ELSE {base} END"
+
+
+def present_sql(c: str) -> str:
+    return f"{c} IS NOT NULL AND {c} != ''"
+
+
+def _rank_sql(label, measure, limit):
+    return f" GROUP BY 1, 2 ORDER BY {measure} DESC, {label} ASC NULLS FIRST, country ASC NULLS FIRST LIMIT {limit}"
+
+
+def b13_sql(p, action="FIRST_PUBLISH", label="publisher", measure="published_notes", section=None, country=None):
+    return (f"SELECT {disp(p, 'e.email_editor')} AS {label}, a.country AS country, COUNT(*) AS {measure} "
+            f"FROM editorial_activity e LEFT JOIN authors a ON LOWER(e.email_editor) = LOWER(a.email) "
+            f"WHERE e.action_type = '{action}' AND {per(p, 'e.event_timestamp')} AND {present_sql('e.email_editor')}"
+            f"{sec_cty('e.segment', section, country)}" + _rank_sql(label, measure, p.settings.top_k))
+
+
+def b14_sql(p):
+    return (f"SELECT {disp(p, 'e.email_editor')} AS publisher, a.country AS country, COUNT(DISTINCT e.note_id) AS published_notes "
+            f"FROM editorial_activity e LEFT JOIN authors a ON LOWER(e.email_editor) = LOWER(a.email) "
+            f"WHERE e.action_type = 'FIRST_PUBLISH' AND {per(p, 'e.event_timestamp')} "
+            f"AND e.note_id IN (SELECT note_id FROM o_author_notes) AND {present_sql('e.email_editor')}"
+            + _rank_sql("publisher", "published_notes", p.settings.top_k))
+
+
+def b16_sql(p):
+    return (f"SELECT {disp(p, 'cr.creator_email')} AS creator, a.country AS country, COUNT(DISTINCT cr.note_id) AS created_notes "
+            f"FROM real_creators cr LEFT JOIN authors a ON LOWER(cr.creator_email) = LOWER(a.email) "
+            f"WHERE cr.note_id IN (SELECT note_id FROM o_author_notes) AND {present_sql('cr.creator_email')}"
+            + _rank_sql("creator", "created_notes", p.settings.top_k))
+
+
+@register("top_publishers", _sqlq(lambda p: b13_sql(p)))
+def _b13(t, p):
+    return R.top_publishers(t, p.period, p.filters(), p.settings)
+
+
+@register("top_publishers_filtered", _sqlq(lambda p: b13_sql(p, section=p.section, country=p.country)))
+def _b13f(t, p):
+    return R.top_publishers(t, p.period, p.filters(section=True, country=True), p.settings)
+
+
+@register("author_top_publishers", _sqlq(b14_sql))
+def _b14(t, p):
+    return R.author_top_publishers(t, p.period, p.filters(author=True), p.settings)
+
+
+@register("top_creators", _sqlq(lambda p: b13_sql(p, "CREATE", "creator", "created_notes")))
+def _b15(t, p):
+    return R.top_creators(t, p.period, p.filters(), p.settings)
+
+
+@register("top_creators_filtered",
+          _sqlq(lambda p: b13_sql(p, "CREATE", "creator", "created_notes", p.section, p.country)))
+def _b15f(t, p):
+    return R.top_creators(t, p.period, p.filters(section=True, country=True), p.settings)
+
+
+@register("author_top_creators", _sqlq(b16_sql))
+def _b16(t, p):
+    return R.author_top_creators(t, p.period, p.filters(author=True), p.settings)
+
+
+# ---------------------------------------------------------------- B17-B22, C1-C2
+def b17_sql(p, section=None, country=None):
+    return (f"SELECT CAST(e.event_timestamp AS DATE) AS day, COUNT(*) AS value FROM editorial_activity e "
+            f"{author_join('e.email_editor', country)} WHERE e.action_type = 'FIRST_PUBLISH' AND {per(p, 'e.event_timestamp')}"
+            f"{sec_cty('e.segment', section, country)} GROUP BY 1")
+
+
+def b18_sql(p, section=None):
+    return (f"SELECT CAST(e.event_timestamp AS DATE) AS day, COUNT(DISTINCT e.note_id) AS value FROM editorial_activity e "
+            f"WHERE e.action_type = 'FIRST_PUBLISH' AND {per(p, 'e.event_timestamp')} "
+            f"AND e.note_id IN (SELECT note_id FROM o_author_notes){sec_cty('e.segment', section, None)} GROUP BY 1")
+
+
+def b19_sql(p, section=None, country=None):
+    return (f"SELECT s.event_date AS day, {isum('s.daily_users')} AS value FROM traffic_clean s "
+            f"JOIN traffic_daily g ON s.article_url = g.article_url AND s.event_date = g.date "
+            f"{author_join('g.creator_email', country)} WHERE {per(p, 's.event_date')} AND {per(p, 'g.publish_date')}"
+            f"{sec_cty('g.section', section, country)} GROUP BY 1")
+
+
+def b20_sql(p):
+    return (f"SELECT s.event_date AS day, {isum('s.daily_users')} AS value FROM traffic_clean s "
+            f"WHERE {per(p, 's.event_date')} AND s.article_url IN (SELECT story_url FROM u_author_urls) GROUP BY 1")
+
+
+def b21_sql(p, metric="visits", section=None, country=None):
+    return (f"SELECT g.date AS day, {isum('g.' + metric)} AS value FROM traffic_daily g "
+            f"{author_join('g.creator_email', country)} WHERE {per(p, 'g.date')} AND {per(p, 'g.publish_date')}"
+            f"{sec_cty('g.section', section, country)} GROUP BY 1")
+
+
+def b22_sql(p, metric="visits", section=None):
+    return (f"SELECT g.date AS day, {isum('g.' + metric)} AS value FROM traffic_daily g "
+            f"WHERE {per(p, 'g.date')} AND g.article_url IN (SELECT story_url FROM u_author_urls)"
+            f"{sec_cty('g.section', section, None)} GROUP BY 1")
+
+
+def fit_ctes(p, series_sql):
+    origin = lit(p.period.start)
+    return (
+        f"ser AS ({series_sql}),\n"
+        f"fit AS (SELECT COUNT(*) AS n, SUM(x) AS sx, SUM(y) AS sy, SUM(x * x) AS sxx, SUM(x * y) AS sxy FROM "
+        f"(SELECT CAST(datediff('day', {origin}, day) AS HUGEINT) AS x, CAST(value AS HUGEINT) AS y FROM ser) z),\n"
+        f"coef AS (SELECT CAST(n AS BIGINT) AS points, "
+        f"CAST(n * sxy - sx * sy AS DOUBLE) / NULLIF(CAST(n * sxx - sx * sx AS DOUBLE), 0) AS slope, "
+        f"CAST(sy * sxx - sx * sxy AS DOUBLE) / NULLIF(CAST(n * sxx - sx * sx AS DOUBLE), 0) AS intercept FROM fit)"
+    )
+
+
+def c1_sql(p, series_sql):
+    body = (f"SELECT ser.day, ser.value, coef.intercept + coef.slope * CAST(datediff('day', {lit(p.period.start)}, ser.day) AS DOUBLE) "
+            f"AS trend FROM ser, coef")
+    return oracle(p, body, fit_ctes(p, series_sql))
+
+
+def c2_sql(p, series_sql):
+    body = ("SELECT points, slope, intercept, CASE WHEN slope IS NULL THEN NULL WHEN slope > 0 THEN 'up' ELSE 'down' END "
+            "AS direction FROM coef")
+    return oracle(p, body, fit_ctes(p, series_sql))
+
+
+@register("daily_published", _sqlq(lambda p: b17_sql(p)))
+def _b17(t, p):
+    return S.daily_published(t, p.period, p.filters(), p.settings)
+
+
+@register("daily_published_filtered", _sqlq(lambda p: b17_sql(p, p.section, p.country)))
+def _b17f(t, p):
+    return S.daily_published(t, p.period, p.filters(section=True, country=True), p.settings)
+
+
+@register("author_daily_published", _sqlq(lambda p: b18_sql(p)))
+def _b18(t, p):
+    return S.author_daily_published(t, p.period, p.filters(author=True), p.settings)
+
+
+@register("author_daily_published_section", _sqlq(lambda p: b18_sql(p, p.section)))
+def _b18s(t, p):
+    return S.author_daily_published(t, p.period, p.filters(True, True, True), p.settings)
+
+
+@register("daily_users", _sqlq(lambda p: b19_sql(p)))
+def _b19(t, p):
+    return S.daily_users(t, p.period, p.filters(), p.settings)
+
+
+@register("daily_users_filtered", _sqlq(lambda p: b19_sql(p, p.section, p.country)))
+def _b19f(t, p):
+    return S.daily_users(t, p.period, p.filters(section=True, country=True), p.settings)
+
+
+@register("author_daily_users", _sqlq(lambda p: b20_sql(p)))
+def _b20(t, p):
+    return S.author_daily_users(t, p.period, p.filters(author=True), p.settings)
+
+
+@register("daily_traffic", _sqlq(lambda p: b21_sql(p)))
+def _b21(t, p):
+    return S.daily_traffic(t, p.period, p.filters(), p.settings, "visits")
+
+
+@register("daily_traffic_pageviews", _sqlq(lambda p: b21_sql(p, "pageviews")))
+def _b21p(t, p):
+    return S.daily_traffic(t, p.period, p.filters(), p.settings, "pageviews")
+
+
+@register("daily_traffic_scrolls_filtered", _sqlq(lambda p: b21_sql(p, "scrolls", p.section, p.country)))
+def _b21f(t, p):
+    return S.daily_traffic(t, p.period, p.filters(section=True, country=True), p.settings, "scrolls")
+
+
+@register("author_daily_traffic", _sqlq(lambda p: b22_sql(p)))
+def _b22(t, p):
+    return S.author_daily_traffic(t, p.period, p.filters(author=True), p.settings, "visits")
+
+
+@register("author_daily_traffic_section", _sqlq(lambda p: b22_sql(p, "pageviews", p.section)))
+def _b22s(t, p):
+    return S.author_daily_traffic(t, p.period, p.filters(True, True, True), p.settings, "pageviews")
+
+
+@register("trend_line", lambda p: c1_sql(p, b21_sql(p)))
+def _c1(t, p):
+    return S.trend_line(S.daily_traffic(t, p.period, p.filters(), p.settings), p.period.start)
+
+
+@register("author_trend_line", lambda p: c1_sql(p, b18_sql(p)))
+def _c1a(t, p):
+    return S.trend_line(S.author_daily_published(t, p.period, p.filters(author=True), p.settings), p.period.start)
+
+
+@register("trend_direction", lambda p: c2_sql(p, b21_sql(p)))
+def _c2(t, p):
+    return S.trend_direction(S.daily_traffic(t, p.period, p.filters(), p.settings), p.period.start)
+
+
+@register("trend_direction_users", lambda p: c2_sql(p, b19_sql(p)))
+def _c2u(t, p):
+    return S.trend_direction(S.daily_users(t, p.period, p.filters(), p.settings), p.period.start)
