@@ -32,7 +32,7 @@ def round_ratio(num, den, digits: int = 2) -> Column:
     """
     scale = 10 ** digits
     n, d = col(num).cast("bigint"), col(den).cast("bigint")
-    q = F.floor((n * (2 * scale) + d) / (d * 2))
+    q = F.call_function("div", n * (2 * scale) + d, d * 2)
     return F.when(d != 0, q.cast("double") / F.lit(float(scale)))
 
 

@@ -561,3 +561,223 @@ def _c2(t, p):
 @register("trend_direction_users", lambda p: c2_sql(p, b19_sql(p)))
 def _c2u(t, p):
     return S.trend_direction(S.daily_users(t, p.period, p.filters(), p.settings), p.period.start)
+
+
+# ---------------------------------------------------------------- B23-B24
+from presswork.functions import formatting as FMT  # noqa: E402
+from presswork.operators import articles as A  # noqa: E402
+from presswork.operators import dimensions as D  # noqa: E402
+from presswork.operators import options as OPT  # noqa: E402
+from presswork.operators import production as PR  # noqa: E402
+from presswork.operators import productivity as PV  # noqa: E402
+from presswork.operators import reports as REP  # noqa: E402
+from presswork.operators import sections as SEC  # noqa: E402
+from presswork.functions.lookups import COUNTRY_CODES, COUNTRY_TRANSLATIONS  # noqa: E402
+
+
+def _like(p_col: str, pattern: str) -> str:
+    return f"LOWER({p_col}) LIKE {lit('%' + pattern.lower() + '%')}"
+
+
+def _section_final(ed, tr):
+    return (f"SELECT e.section, e.notes, e.composer_notes, e.scribnews_notes, COALESCE(t.sessions, 0) AS sessions, "
+            f"COALESCE(t.pageviews, 0) AS pageviews, COALESCE(t.scroll_rate, 0.0) AS scroll_rate, "
+            f"{sdiv('COALESCE(t.sessions, 0)', 'e.notes')} AS sessions_per_note FROM ({ed}) e LEFT JOIN ({tr}) t ON e.section = t.section")
+
+
+def _section_ed(p, extra, join=""):
+    st = p.settings
+    return (f"SELECT ed.segment AS section, COUNT(DISTINCT ed.note_id) AS notes, "
+            f"COUNT(DISTINCT CASE WHEN {_like('ed.source', st.tool1_pattern)} THEN ed.note_id END) AS composer_notes, "
+            f"COUNT(DISTINCT CASE WHEN {_like('ed.source', st.tool2_pattern)} THEN ed.note_id END) AS scribnews_notes "
+            f"FROM editorial_activity ed {join} WHERE ed.action_type = 'FIRST_PUBLISH' AND {per(p, 'ed.event_timestamp')} "
+            f"AND {present_sql('ed.segment')}{extra} GROUP BY ed.segment")
+
+
+def b23_sql(p, section=None, country=None):
+    ed = _section_ed(p, sec_cty("ed.segment", section, country, "a1"), author_join("ed.email_editor", country, "a1"))
+    tr = (f"SELECT g.section AS section, {isum('g.visits')} AS sessions, {isum('g.pageviews')} AS pageviews, "
+          f"{sdiv('SUM(g.scrolls)', 'SUM(g.visits)')} AS scroll_rate FROM traffic_daily g {author_join('g.creator_email', country, 'a2')} "
+          f"WHERE {per(p, 'g.date')} AND {per(p, 'g.publish_date')} AND {present_sql('g.section')}"
+          f"{sec_cty('g.section', section, country, 'a2')} GROUP BY g.section")
+    return _section_final(ed, tr)
+
+
+def b24_sql(p, section=None):
+    nf = " AND ed.note_id IN (SELECT note_id FROM s_author_published_pairs)" + sec_cty("ed.segment", section, None)
+    ed = _section_ed(p, nf)
+    urls = (f"SELECT DISTINCT ed.segment AS section, ed.story_url FROM editorial_activity ed WHERE ed.action_type = 'FIRST_PUBLISH' "
+            f"AND {per(p, 'ed.event_timestamp')} AND {present_sql('ed.segment')} AND ed.story_url IS NOT NULL{nf}")
+    tr = (f"SELECT u.section, {isum('g.daily_sessions')} AS sessions, {isum('g.daily_pageviews')} AS pageviews, "
+          f"{sdiv('SUM(g.sessions_with_scroll)', 'SUM(g.daily_sessions)')} AS scroll_rate FROM ({urls}) u "
+          f"JOIN traffic_clean g ON u.story_url = g.article_url WHERE {per(p, 'g.event_date')} GROUP BY u.section")
+    return _section_final(ed, tr)
+
+
+@register("section_stats", _sqlq(lambda p: b23_sql(p)))
+def _b23(t, p):
+    return SEC.section_stats(t, p.period, p.filters(), p.settings)
+
+
+@register("section_stats_filtered", _sqlq(lambda p: b23_sql(p, p.section, p.country)))
+def _b23f(t, p):
+    return SEC.section_stats(t, p.period, p.filters(section=True, country=True), p.settings)
+
+
+@register("author_section_stats", _sqlq(lambda p: b24_sql(p)))
+def _b24(t, p):
+    return SEC.author_section_stats(t, p.period, p.filters(author=True), p.settings)
+
+
+@register("author_section_stats_section", _sqlq(lambda p: b24_sql(p, p.section)))
+def _b24s(t, p):
+    return SEC.author_section_stats(t, p.period, p.filters(True, True, True), p.settings)
+
+
+# ---------------------------------------------------------------- B25-B27, C3-C6
+def _dim_tail(p):
+    return (" GROUP BY 1, 2 HAVING SUM(g.visits) > 0 ORDER BY total_visits DESC, dimension_type ASC NULLS FIRST, "
+            f"dimension_value ASC NULLS FIRST LIMIT {p.settings.dimension_limit}")
+
+
+DIM_SELECT = ("SELECT g.dimension_type AS dimension_type, g.dimension_value AS dimension_value, "
+              f"{isum('g.visits')} AS total_visits, COUNT(DISTINCT g.article_url) AS article_count FROM traffic_dimensions g ")
+
+
+def b25_sql(p):
+    return DIM_SELECT + f"WHERE {per(p, 'g.event_date')}" + _dim_tail(p)
+
+
+def b26_sql(p, section=None, country=None, author=False):
+    extra = " AND e.story_url IN (SELECT story_url FROM u_author_urls)" if author else ""
+    urls = (f"SELECT DISTINCT e.story_url FROM editorial_activity e {author_join('e.email_editor', None if author else country)} "
+            f"WHERE e.action_type = 'FIRST_PUBLISH' AND {per(p, 'e.event_timestamp')} AND {present_sql('e.story_url')}"
+            f"{extra}{sec_cty('e.segment', section, None if author else country)}")
+    return DIM_SELECT + f"JOIN ({urls}) u ON g.article_url = u.story_url WHERE {per(p, 'g.event_date')}" + _dim_tail(p)
+
+
+def values_table(mapping: dict, k="k", v="v") -> str:
+    rows = ", ".join(f"({lit(a)}, {lit(b)})" for a, b in mapping.items())
+    return f"(VALUES {rows}) AS m({k}, {v})"
+
+
+@register("traffic_by_dimension", _sqlq(b25_sql))
+def _b25(t, p):
+    return D.traffic_by_dimension(t, p.period, p.settings)
+
+
+@register("traffic_by_dimension_filtered", _sqlq(lambda p: b26_sql(p, p.section, p.country)))
+def _b26(t, p):
+    return D.traffic_by_dimension_filtered(t, p.period, p.filters(section=True, country=True), p.settings)
+
+
+@register("traffic_by_dimension_country", _sqlq(lambda p: b26_sql(p, None, p.country)))
+def _b26c(t, p):
+    return D.traffic_by_dimension_filtered(t, p.period, p.filters(country=True), p.settings)
+
+
+@register("author_traffic_by_dimension", _sqlq(lambda p: b26_sql(p, author=True)))
+def _b27(t, p):
+    return D.author_traffic_by_dimension(t, p.period, p.filters(author=True), p.settings)
+
+
+@register("author_traffic_by_dimension_section", _sqlq(lambda p: b26_sql(p, p.section, author=True)))
+def _b27s(t, p):
+    return D.author_traffic_by_dimension(t, p.period, p.filters(True, True, True), p.settings)
+
+
+@register("top_values_per_dimension", _sqlq(lambda p: (
+    f"SELECT * FROM (SELECT b.*, ROW_NUMBER() OVER (PARTITION BY dimension_type ORDER BY total_visits DESC, "
+    f"dimension_value ASC NULLS FIRST) AS rank FROM ({b25_sql(p)}) b) r WHERE rank <= {p.settings.per_dimension_top}")))
+def _c3(t, p):
+    out = D.top_values_per_dimension(D.traffic_by_dimension(t, p.period, p.settings), p.settings)
+    return out.withColumn("rank", out["rank"].cast("bigint"))
+
+
+@register("dimension_types", _sqlq(lambda p: f"SELECT DISTINCT dimension_type FROM ({b25_sql(p)}) b WHERE dimension_type IS NOT NULL"))
+def _c4(t, p):
+    return D.dimension_types(D.traffic_by_dimension(t, p.period, p.settings))
+
+
+@register("translate_values", _sqlq(lambda p: (
+    f"SELECT b.dimension_type, CASE WHEN b.dimension_type = 'geo' THEN COALESCE(m.v, b.dimension_value) "
+    f"ELSE b.dimension_value END AS dimension_value, b.total_visits, b.article_count "
+    f"FROM ({b26_sql(p, p.section, p.country)}) b LEFT JOIN {values_table(COUNTRY_TRANSLATIONS)} ON b.dimension_value = m.k")))
+def _c5(t, p):
+    return D.translate_values(D.traffic_by_dimension_filtered(t, p.period, p.filters(section=True, country=True), p.settings))
+
+
+@register("country_code", _sqlq(lambda p: (
+    f"SELECT b.*, COALESCE(m.v, '') AS country_code FROM ({b13_sql(p)}) b "
+    f"LEFT JOIN {values_table(COUNTRY_CODES)} ON UPPER(b.country) = m.k")))
+def _c6(t, p):
+    return D.with_country_code(R.top_publishers(t, p.period, p.filters(), p.settings))
+
+
+# ---------------------------------------------------------------- B28-B29
+def rr_sql(n, d, digits=2):
+    scale = 10 ** digits
+    return (f"CASE WHEN {d} <> 0 THEN CAST((CAST({n} AS BIGINT) * {2 * scale} + CAST({d} AS BIGINT)) // "
+            f"(CAST({d} AS BIGINT) * 2) AS DOUBLE) / CAST({scale} AS DOUBLE) END")
+
+
+def tool_label_sql(p, c):
+    st = p.settings
+    cc = f"COALESCE({c}, '')"
+    return (f"CASE WHEN {_like(cc, st.tool2_pattern)} THEN {lit(st.tool2_label)} WHEN {_like(cc, st.tool1_pattern)} "
+            f"THEN {lit(st.tool1_label)} ELSE COALESCE({c}, {lit(st.missing_text)}) END")
+
+
+def _article_cols(p, meta, traffic, pub, coalesce_traffic):
+    vis = f"COALESCE({traffic}.visits, 0)" if coalesce_traffic else f"{traffic}.visits"
+    pv = f"COALESCE({traffic}.pageviews, 0)" if coalesce_traffic else f"{traffic}.pageviews"
+    miss = lit(p.settings.missing_text)
+    return (f"{meta}.url AS url, {meta}.title AS title, {meta}.section AS section, "
+            f"COALESCE({meta}.creator, {miss}) AS creator, COALESCE({pub}.publisher, {miss}) AS publisher, "
+            f"{tool_label_sql(p, meta + '.production_source')} AS source, {vis} AS visits, {pv} AS pageviews, "
+            f"COALESCE({rr_sql(traffic + '.scrolls_sum', traffic + '.visits_sum')}, 0.0) AS scroll_rate, "
+            f"COALESCE({pub}.title_words, 0) AS title_words, COALESCE({pub}.body_words, 0) AS body_words")
+
+
+def b28_sql(p, section=None, country=None):
+    st = p.settings
+    tr = (f"SELECT g.article_url AS url, MAX(g.article_title) AS title, MAX(g.section) AS section, MAX(g.creator_email) AS creator, "
+          f"MAX(g.production_source) AS production_source, {isum('g.visits')} AS visits, {isum('g.pageviews')} AS pageviews, "
+          f"SUM(g.scrolls) AS scrolls_sum, SUM(g.visits) AS visits_sum FROM traffic_daily g {author_join('g.creator_email', country)} "
+          f"WHERE {per(p, 'g.date')} AND {per(p, 'g.publish_date')}{sec_cty('g.section', section, country)} GROUP BY g.article_url")
+    pub = (f"SELECT story_url AS url, MAX(email_editor) AS publisher, MAX(title_word_count) AS title_words, "
+           f"MAX(body_word_count) AS body_words FROM editorial_activity WHERE action_type = 'FIRST_PUBLISH' "
+           f"AND {per(p, 'event_timestamp')} GROUP BY story_url")
+    excl = "".join(f" AND NOT {_like('t.title', x)}" for x in st.exclude_title_patterns)
+    excl += "".join(f" AND NOT {_like('t.url', x)}" for x in st.exclude_url_patterns)
+    return (f"SELECT {_article_cols(p, 't', 't', 'pp', False)} "
+            f"FROM ({tr}) t LEFT JOIN ({pub}) pp ON t.url = pp.url WHERE {present_sql('t.title')}{excl} AND t.section IS NOT NULL "
+            f"ORDER BY t.visits DESC, t.url ASC NULLS FIRST LIMIT {st.article_limit}")
+
+
+def b29_sql(p):
+    meta = ("SELECT u.note_id, u.story_url AS url, MAX(e.title) AS title, MAX(e.segment) AS section, MAX(cr.creator_email) AS creator, "
+            "MAX(CASE WHEN e.action_type = 'FIRST_PUBLISH' THEN e.email_editor END) AS publisher, MAX(e.source) AS production_source, "
+            "MAX(e.title_word_count) AS title_words, MAX(e.body_word_count) AS body_words FROM o_author_urls_any u "
+            "LEFT JOIN editorial_activity e ON u.note_id = e.note_id LEFT JOIN real_creators cr ON u.note_id = cr.note_id "
+            "GROUP BY u.note_id, u.story_url")
+    tr = (f"SELECT g.article_url AS url, {isum('g.visits')} AS visits, {isum('g.pageviews')} AS pageviews, SUM(g.scrolls) AS scrolls_sum, "
+          f"SUM(g.visits) AS visits_sum FROM traffic_daily g WHERE {per(p, 'g.date')} "
+          f"AND g.article_url IN (SELECT story_url FROM o_author_urls_any) GROUP BY g.article_url")
+    return (f"SELECT {_article_cols(p, 'm', 't', 'm', True)} FROM ({meta}) m LEFT JOIN ({tr}) t ON m.url = t.url "
+            f"WHERE {present_sql('m.title')} ORDER BY COALESCE(t.visits, 0) DESC, m.url ASC NULLS FIRST LIMIT {p.settings.article_limit}")
+
+
+@register("top_articles", _sqlq(lambda p: b28_sql(p)))
+def _b28(t, p):
+    return A.top_articles(t, p.period, p.filters(), p.settings)
+
+
+@register("top_articles_filtered", _sqlq(lambda p: b28_sql(p, p.section, p.country)))
+def _b28f(t, p):
+    return A.top_articles(t, p.period, p.filters(section=True, country=True), p.settings)
+
+
+@register("author_top_articles", _sqlq(b29_sql))
+def _b29(t, p):
+    return A.author_top_articles(t, p.period, p.filters(author=True), p.settings)
