@@ -781,3 +781,265 @@ def _b28f(t, p):
 @register("author_top_articles", _sqlq(b29_sql))
 def _b29(t, p):
     return A.author_top_articles(t, p.period, p.filters(author=True), p.settings)
+
+
+# ---------------------------------------------------------------- B36-B37, C8
+def tool_class_sql(p, email, source):
+    st = p.settings
+    cc = f"COALESCE({source}, '')"
+    return (f"CASE WHEN LOWER({email}) = LOWER({lit(st.agency_editor)}) THEN {lit(st.agency_class)} "
+            f"WHEN {_like(cc, st.tool2_pattern)} THEN {lit(st.tool2_label)} WHEN {_like(cc, st.tool1_pattern)} "
+            f"THEN {lit(st.tool1_label)} ELSE {lit(st.other_class)} END")
+
+
+def b36_sql(p, section=None, country=None, author=False):
+    nf = " AND e.note_id IN (SELECT note_id FROM o_author_published)" if author else ""
+    cty = None if author else country
+    n = (f"SELECT e.note_id, e.story_url, {tool_class_sql(p, 'e.email_editor', 'e.source')} AS source_class "
+         f"FROM editorial_activity e {author_join('e.email_editor', cty)} WHERE e.action_type = 'FIRST_PUBLISH' "
+         f"AND {per(p, 'e.event_timestamp')}{nf}{sec_cty('e.segment', section, cty)}")
+    if author:
+        tbl, dcol, v, pv, sc, tm = "traffic_clean", "event_date", "daily_sessions", "daily_pageviews", "sessions_with_scroll", "total_engagement_seconds"
+    else:
+        tbl, dcol, v, pv, sc, tm = "traffic_daily", "date", "visits", "pageviews", "scrolls", "total_time_seconds"
+    m = (f"SELECT n.source_class, COUNT(DISTINCT n.note_id) AS notes, {isum('g.' + v)} AS sessions, {isum('g.' + pv)} AS pageviews, "
+         f"{sdiv(f'SUM(g.{sc})', f'SUM(g.{v})')} AS scroll_rate, {sdiv(f'SUM(g.{tm})', f'SUM(g.{v})')} / CAST(60 AS DOUBLE) AS avg_time_minutes "
+         f"FROM ({n}) n LEFT JOIN {tbl} g ON n.story_url = g.article_url AND {per(p, 'g.' + dcol)} GROUP BY n.source_class")
+    return (f"SELECT source_class, notes, COALESCE(sessions, 0) AS sessions, COALESCE(pageviews, 0) AS pageviews, "
+            f"{sdiv('COALESCE(sessions, 0)', 'notes')} AS sessions_per_note, COALESCE(scroll_rate, 0.0) AS scroll_rate, "
+            f"COALESCE(avg_time_minutes, 0.0) AS avg_time_minutes FROM ({m}) mm WHERE source_class != {lit(p.settings.other_class)}")
+
+
+@register("source_efficiency", _sqlq(lambda p: b36_sql(p)))
+def _b36(t, p):
+    return PR.source_efficiency(t, p.period, p.filters(), p.settings)
+
+
+@register("source_efficiency_filtered", _sqlq(lambda p: b36_sql(p, p.section, p.country)))
+def _b36f(t, p):
+    return PR.source_efficiency(t, p.period, p.filters(section=True, country=True), p.settings)
+
+
+@register("author_source_efficiency", _sqlq(lambda p: b36_sql(p, author=True)))
+def _b37(t, p):
+    return PR.author_source_efficiency(t, p.period, p.filters(author=True), p.settings)
+
+
+@register("author_source_efficiency_section", _sqlq(lambda p: b36_sql(p, p.section, author=True)))
+def _b37s(t, p):
+    return PR.author_source_efficiency(t, p.period, p.filters(True, True, True), p.settings)
+
+
+@register("rank_sources", _sqlq(lambda p: f"SELECT * FROM ({b36_sql(p)}) b ORDER BY sessions_per_note ASC NULLS FIRST, source_class"))
+def _c8(t, p):
+    return PR.rank_sources(PR.source_efficiency(t, p.period, p.filters(), p.settings))
+
+
+# ---------------------------------------------------------------- B38-B42, C7
+def _prod_final(a, tr, require_sessions, limit):
+    where = " WHERE COALESCE(t.sessions_total, 0) > 0" if require_sessions else ""
+    return (f"SELECT a.author, a.country, a.notes, COALESCE(t.sessions_total, 0) AS sessions, COALESCE(t.scroll, 0.0) AS scroll_rate, "
+            f"{sdiv('COALESCE(t.sessions_total, 0)', 'a.notes')} AS efficiency FROM ({a}) a LEFT JOIN ({tr}) t "
+            f"ON a.email_editor = t.email_editor{where} ORDER BY sessions DESC, author ASC NULLS FIRST, country ASC NULLS FIRST, "
+            f"notes DESC LIMIT {limit}")
+
+
+def _per_author_sql(p, where, having=""):
+    st = p.settings
+    return (f"SELECT e.email_editor, COALESCE(a.complete_name, e.email_editor) AS author, "
+            f"COALESCE(a.country, {lit(st.unknown_country)}) AS country, COUNT(DISTINCT e.note_id) AS notes "
+            f"FROM editorial_activity e LEFT JOIN authors a ON LOWER(e.email_editor) = LOWER(a.email) WHERE {where} "
+            f"AND {present_sql('e.email_editor')} AND LOWER(e.email_editor) != LOWER({lit(st.agency_editor)}) GROUP BY 1, 2, 3{having}")
+
+
+def b38_sql(p, metric_type="created", section=None, country=None):
+    acts = ", ".join(lit(a) for a in PV.ACTIONS_BY_METRIC[metric_type])
+    base = f"e.action_type IN ({acts}) AND {per(p, 'e.event_timestamp')}"
+    a = _per_author_sql(p, base + sec_cty("e.segment", section, country),
+                        f" HAVING COUNT(DISTINCT e.note_id) >= {p.settings.min_notes}")
+    na = f"SELECT DISTINCT e.email_editor, e.story_url FROM editorial_activity e WHERE {base} AND e.story_url IS NOT NULL"
+    tr = (f"SELECT na.email_editor, {isum('g.visits')} AS sessions_total, {sdiv('SUM(g.scrolls)', 'SUM(g.visits)')} AS scroll "
+          f"FROM ({na}) na JOIN traffic_daily g ON na.story_url = g.article_url WHERE {per(p, 'g.date')} GROUP BY na.email_editor")
+    return _prod_final(a, tr, True, p.settings.productivity_limit)
+
+
+def b41_sql(p):
+    st, A_ = p.settings, lit(p.author)
+    info = (f"SELECT COALESCE(a.complete_name, {A_}) AS author, COALESCE(a.country, {lit(st.unknown_country)}) AS country "
+            f"FROM authors a WHERE LOWER(a.email) = LOWER({A_})")
+    urls = ("SELECT DISTINCT e.story_url FROM editorial_activity e WHERE e.note_id IN (SELECT note_id FROM o_author_published) "
+            "AND e.story_url IS NOT NULL")
+    tr = (f"SELECT {isum('g.daily_sessions')} AS sessions_total, {sdiv('SUM(g.sessions_with_scroll)', 'SUM(g.daily_sessions)')} AS scroll "
+          f"FROM traffic_clean g WHERE g.article_url IN ({urls}) AND {per(p, 'g.event_date')}")
+    n = "(SELECT COUNT(*) FROM o_author_published)"
+    return (f"SELECT COALESCE((SELECT author FROM ({info}) i ORDER BY author, country LIMIT 1), {A_}) AS author, "
+            f"COALESCE((SELECT country FROM ({info}) i ORDER BY author, country LIMIT 1), {lit(st.unknown_country)}) AS country, "
+            f"{n} AS notes, COALESCE((SELECT sessions_total FROM ({tr}) t), 0) AS sessions, "
+            f"COALESCE((SELECT scroll FROM ({tr}) t), 0.0) AS scroll_rate, "
+            f"{sdiv(f'COALESCE((SELECT sessions_total FROM ({tr}) t), 0)', n)} AS efficiency")
+
+
+def b42_sql(p):
+    base = f"e.action_type = 'FIRST_PUBLISH' AND {per(p, 'e.event_timestamp')} AND e.note_id IN (SELECT note_id FROM o_author_notes)"
+    a = _per_author_sql(p, base)
+    npub = f"SELECT DISTINCT e.email_editor, e.story_url FROM editorial_activity e WHERE {base} AND e.story_url IS NOT NULL"
+    tr = (f"SELECT np.email_editor, {isum('g.daily_sessions')} AS sessions_total, "
+          f"{sdiv('SUM(g.sessions_with_scroll)', 'SUM(g.daily_sessions)')} AS scroll FROM ({npub}) np "
+          f"JOIN traffic_clean g ON np.story_url = g.article_url WHERE {per(p, 'g.event_date')} GROUP BY np.email_editor")
+    return _prod_final(a, tr, False, p.settings.productivity_limit)
+
+
+def c7_sql(p, prod_sql):
+    parts = []
+    for name, col in PV.INSIGHTS:
+        parts.append(f"SELECT * FROM (SELECT {lit(name)} AS insight, author, CAST({col} AS DOUBLE) AS value FROM prod "
+                     f"ORDER BY {col} DESC, sessions DESC, author ASC LIMIT 1) x_{name}")
+    body = f"SELECT * FROM ({' UNION ALL '.join(parts)}) u WHERE (SELECT COUNT(*) FROM prod) >= 3"
+    return oracle(p, body, f"prod AS ({prod_sql})")
+
+
+@register("author_productivity_created", _sqlq(lambda p: b38_sql(p, "created")))
+def _b38(t, p):
+    return PV.author_productivity(t, p.period, p.filters(), p.settings, "created")
+
+
+@register("author_productivity_published", _sqlq(lambda p: b38_sql(p, "published")))
+def _b39(t, p):
+    return PV.author_productivity(t, p.period, p.filters(), p.settings, "published")
+
+
+@register("author_productivity_participated", _sqlq(lambda p: b38_sql(p, "participated")))
+def _b40(t, p):
+    return PV.author_productivity(t, p.period, p.filters(), p.settings, "participated")
+
+
+@register("author_productivity_participated_filtered", _sqlq(lambda p: b38_sql(p, "participated", p.section, p.country)))
+def _b40f(t, p):
+    return PV.author_productivity(t, p.period, p.filters(section=True, country=True), p.settings, "participated")
+
+
+@register("author_own_productivity", _sqlq(b41_sql))
+def _b41(t, p):
+    return PV.author_own_productivity(t, p.period, p.filters(author=True), p.settings)
+
+
+@register("author_publishers_productivity", _sqlq(b42_sql))
+def _b42(t, p):
+    return PV.author_publishers_productivity(t, p.period, p.filters(author=True), p.settings)
+
+
+@register("author_insights", lambda p: c7_sql(p, b38_sql(p, "participated")))
+def _c7(t, p):
+    return PV.author_insights(PV.author_productivity(t, p.period, p.filters(), p.settings, "participated"))
+
+
+# ---------------------------------------------------------------- B30-B35, C14
+B30_SQL = "SELECT MAX(date) AS last_date FROM traffic_daily"
+
+
+def b32_sql(p):
+    return (f"SELECT DISTINCT e.email_editor, COALESCE(a.complete_name, e.email_editor) AS display_name, a.country AS country "
+            f"FROM editorial_activity e LEFT JOIN authors a ON LOWER(e.email_editor) = LOWER(a.email) "
+            f"WHERE e.action_type IN ('CREATE', 'FIRST_PUBLISH') AND {per(p, 'e.event_timestamp')} AND {present_sql('e.email_editor')}")
+
+
+@register("last_data_date", _sqlq(lambda p: B30_SQL))
+def _b30(t, p):
+    return OPT.last_data_date(t)
+
+
+@register("default_period", _sqlq(lambda p: (
+    f"SELECT CAST(COALESCE(last_date, current_date) - INTERVAL 6 DAY AS DATE) AS start_date, "
+    f"COALESCE(last_date, current_date) AS end_date FROM ({B30_SQL}) b")))
+def _b31(t, p):
+    return OPT.default_period(t)
+
+
+@register("date_label", _sqlq(lambda p: f"SELECT strftime(last_date, '%d/%m/%Y') AS last_date_label FROM ({B30_SQL}) b"))
+def _c14(t, p):
+    return OPT.last_data_date(t).select(FMT.date_label("last_date").alias("last_date_label"))
+
+
+@register("filter_authors", _sqlq(b32_sql))
+def _b32(t, p):
+    return OPT.filter_authors(t, p.period, p.settings)
+
+
+@register("filter_sections", _sqlq(lambda p: (
+    f"SELECT DISTINCT segment AS section FROM editorial_activity WHERE action_type = 'FIRST_PUBLISH' "
+    f"AND {per(p, 'event_timestamp')} AND {present_sql('segment')} AND TRIM(segment) != ''")))
+def _b33(t, p):
+    return OPT.filter_sections(t, p.period)
+
+
+@register("filter_countries", _sqlq(lambda p: (
+    f"SELECT DISTINCT a.country FROM authors a JOIN (SELECT DISTINCT email_editor FROM editorial_activity "
+    f"WHERE action_type IN ('CREATE', 'FIRST_PUBLISH') AND {per(p, 'event_timestamp')} AND {present_sql('email_editor')}) e "
+    f"ON LOWER(a.email) = LOWER(e.email_editor) WHERE {present_sql('a.country')} AND TRIM(a.country) != ''")))
+def _b34(t, p):
+    return OPT.filter_countries(t, p.period)
+
+
+@register("author_lookup", _sqlq(lambda p: f"SELECT display_name, MAX(email_editor) AS email FROM ({b32_sql(p)}) b GROUP BY display_name"))
+def _b35(t, p):
+    return OPT.author_lookup(t, p.period, p.settings)
+
+
+# ---------------------------------------------------------------- C9-C13
+def compact_sql(x):
+    v = f"CAST({x} AS DECIMAL(38,6))"
+    return (f"CASE WHEN {v} IS NULL THEN '0' "
+            f"WHEN {v} >= 1000000 THEN CAST(CAST(ROUND({v} * CAST(0.000001 AS DECIMAL(10,6)), 1) AS DECIMAL(38,1)) AS VARCHAR) || 'M' "
+            f"WHEN {v} >= 1000 THEN CAST(CAST(ROUND({v} * CAST(0.001 AS DECIMAL(10,3)), 1) AS DECIMAL(38,1)) AS VARCHAR) || 'K' "
+            f"ELSE format('{{:,}}', CAST(ROUND({v}, 0) AS BIGINT)) END")
+
+
+def dotted_sql(x, positive_only=False):
+    text = f"replace(format('{{:,}}', CAST(TRUNC({x}) AS BIGINT)), ',', '.')"
+    if positive_only:
+        return f"CASE WHEN {x} IS NOT NULL AND {x} > 0 THEN {text} ELSE '-' END"
+    return f"CASE WHEN {x} IS NULL THEN '0' ELSE {text} END"
+
+
+def percent_sql(x):
+    return (f"CASE WHEN {x} IS NULL THEN '0.00%' ELSE "
+            f"CAST(CAST(ROUND(CAST({x} AS DECIMAL(38,10)) * 100, 2) AS DECIMAL(38,2)) AS VARCHAR) || '%' END")
+
+
+KPI_TEXT = (("total_visits", "visits_text"), ("daily_user_sum", "users_text"), ("total_pageviews", "pageviews_text"),
+            ("total_scrolls", "scrolls_text"), ("visits_per_note", "visits_per_note_text"))
+
+
+@register("kpi_cards", _sqlq(lambda p: (
+    "SELECT " + ", ".join(f"{compact_sql('k.' + c)} AS {name}" for c, name in KPI_TEXT)
+    + f", {percent_sql('k.scroll_rate')} AS scroll_rate_text FROM ({b10_sql(p)}) k")))
+def _c9(t, p):
+    k = K.kpis(t, p.period, p.filters(), p.settings)
+    return k.select([FMT.compact_number(c).alias(name) for c, name in KPI_TEXT]
+                    + [FMT.percent_text("scroll_rate").alias("scroll_rate_text")])
+
+
+@register("section_report", _sqlq(lambda p: (
+    f"SELECT s.section AS \"Section\", {dotted_sql('s.notes')} AS \"Notes\", {dotted_sql('s.composer_notes')} AS \"Composer\", "
+    f"{dotted_sql('s.scribnews_notes')} AS \"Scribnews\", {dotted_sql('s.sessions')} AS \"Sessions\", "
+    f"{dotted_sql('s.pageviews')} AS \"Pageviews\", {percent_sql('s.scroll_rate')} AS \"Scroll\", "
+    f"{dotted_sql('s.sessions_per_note', True)} AS \"Sessions per note\" FROM ({b23_sql(p)}) s")))
+def _c13(t, p):
+    return REP.section_report(SEC.section_stats(t, p.period, p.filters(), p.settings))
+
+
+def _export_sql(p, inner):
+    fmt = {"visits": dotted_sql("b.visits"), "pageviews": dotted_sql("b.pageviews"), "scroll_rate": percent_sql("b.scroll_rate"),
+           "title_words": dotted_sql("b.title_words", True), "body_words": dotted_sql("b.body_words", True)}
+    cols = ", ".join(f"{fmt.get(c, 'b.' + c)} AS \"{label}\"" for c, label in REP.ARTICLE_COLUMNS)
+    return f"SELECT {cols} FROM ({inner}) b"
+
+
+@register("article_export", _sqlq(lambda p: _export_sql(p, b28_sql(p))))
+def _c12(t, p):
+    return REP.article_export(A.top_articles(t, p.period, p.filters(), p.settings))
+
+
+@register("author_article_export", _sqlq(lambda p: _export_sql(p, b29_sql(p))))
+def _c12a(t, p):
+    return REP.article_export(A.author_top_articles(t, p.period, p.filters(author=True), p.settings))
