@@ -53,6 +53,11 @@ def note_roles(editorial: DataFrame, period: Period | None = None, author: str |
     relevant = relevant | (_is(SAVE) if (all_time_saves or period is None) else (_is(SAVE) & in_period))
     by_author = (F.col(EDITOR) == F.lit(author)) if author is not None else F.lit(False)
     ev = editorial.select(NOTE, EDITOR, URL, ACTION, TS).filter(relevant)
+    if author is not None and period is not None:
+        # Only notes the author touched in the period can be the author's: restrict the
+        # aggregate to them (exact). No size hint: AQE broadcasts the candidate set when
+        # its measured size is small and keeps the shuffle join when it is not.
+        ev = ev.join(author_candidates(editorial, period, author), NOTE, "left_semi")
     return ev.groupBy(NOTE).agg(
         F.bool_or(_is(CREATE)).alias("has_create"),
         F.bool_or(_is(FIRST_PUBLISH) & in_period).alias("published_in_period"),
@@ -64,6 +69,15 @@ def note_roles(editorial: DataFrame, period: Period | None = None, author: str |
     )
 
 
+def author_candidates(editorial: DataFrame, period: Period, author: str) -> DataFrame:
+    """Notes on which the author did a CREATE, FIRST_PUBLISH or SAVE in the period."""
+    return (
+        editorial.filter((F.col(EDITOR) == F.lit(author)) & F.col(ACTION).isin(CREATE, FIRST_PUBLISH, SAVE) & period.covers(TS))
+        .select(NOTE)
+        .distinct()
+    )
+
+
 def _first_saved_by(roles: DataFrame, author: str, which: str = "first_save") -> Column:
     return (~F.col("has_create")) & (F.col(which + ".editor") == F.lit(author))
 
