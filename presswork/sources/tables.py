@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from presswork.session import checkpoint_dir, configure
 
 EDITORIAL_SCHEMA = T.StructType([
-    T.StructField("note_id", T.LongType(), False),
+    T.StructField("note_id", T.LongType()),
     T.StructField("story_url", T.StringType()),
     T.StructField("email_editor", T.StringType()),
     T.StructField("action_type", T.StringType()),
