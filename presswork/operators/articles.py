@@ -80,12 +80,9 @@ def author_top_articles(tables, period: Period, filters: Filters, settings: Sett
     so a note with many events or creators never multiplies rows in a join.
     """
     ed = tables.editorial
-    roles = own.note_roles(ed, period, filters.author, all_time_saves=True)
-    notes = own.owned_notes(roles, filters.author, published=True)
-    pairs = (
-        ed.filter(F.col("story_url").isNotNull()).select("note_id", "story_url")
-        .join(notes, "note_id", "left_semi").distinct()
-    )
+    scope = own.scope_for(ed, period, filters.author)
+    notes = scope.published_notes
+    pairs = scope.note_urls_any()
     note_rows = ed.join(notes, "note_id", "left_semi")
     meta = note_rows.groupBy("note_id").agg(
         F.max("title").alias("title"),
@@ -95,10 +92,7 @@ def author_top_articles(tables, period: Period, filters: Filters, settings: Sett
         F.max("title_word_count").alias("title_words"),
         F.max("body_word_count").alias("body_words"),
     )
-    creators = (
-        own.real_creators_from_roles(ed, roles).join(notes, "note_id", "left_semi")
-        .groupBy("note_id").agg(F.max("creator_email").alias("creator"))
-    )
+    creators = scope.real_creators().groupBy("note_id").agg(F.max("creator_email").alias("creator"))
     m = pairs.join(meta, "note_id", "left").join(creators, "note_id", "left").withColumnRenamed("story_url", "url")
     g = tables.traffic_daily.filter(period.covers_date("date"))
     urls = pairs.select(F.col("story_url").alias("url")).distinct()

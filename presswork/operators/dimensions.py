@@ -52,7 +52,7 @@ def traffic_by_dimension_filtered(tables, period: Period, filters: Filters, sett
 # B27
 def author_traffic_by_dimension(tables, period: Period, filters: Filters, settings: Settings = DEFAULT) -> DataFrame:
     """As B26 over the author's published urls (the country filter does not apply)."""
-    author_urls = own.author_published_urls(tables.editorial, period, filters.author)
+    author_urls = own.scope_for(tables.editorial, period, filters.author).published_urls
     e = _published_urls(tables, period, filters.section)
     urls = e.join(author_urls, "story_url", "left_semi").select("story_url").distinct()
     d = tables.traffic_dimensions.filter(period.covers_date("event_date"))

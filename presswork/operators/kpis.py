@@ -57,10 +57,9 @@ def author_creator_publisher_counts(tables, period: Period, filters: Filters, se
     A NULL editor in either distinct list counts as one row, as in the reference.
     """
     ed = tables.editorial
-    roles = own.note_roles(ed, period, filters.author, all_time_saves=True)
-    notes = own.owned_notes(roles, filters.author)
-    creators = own.real_creators_from_roles(ed, roles).join(notes, "note_id", "left_semi")
-    creators = creators.select("creator_email").distinct().agg(F.count(F.lit(1)).alias("total_creators"))
+    scope = own.scope_for(ed, period, filters.author)
+    notes = scope.notes
+    creators = scope.real_creators().select("creator_email").distinct().agg(F.count(F.lit(1)).alias("total_creators"))
     publishers = (
         ed.filter((F.col("action_type") == FIRST_PUBLISH) & period.covers("event_timestamp"))
         .select("note_id", "email_editor")
@@ -77,7 +76,7 @@ def author_published_note_count(tables, period: Period, filters: Filters, settin
     """Distinct author notes published in the period; the FIRST_PUBLISH row tested by the
     section and country filters is not limited to the period."""
     ed = tables.editorial
-    notes = own.author_published_notes(ed, period, filters.author)
+    notes = own.scope_for(ed, period, filters.author).published_notes
     fp = ed.filter(F.col("action_type") == FIRST_PUBLISH)
     if filters.section is not None:
         fp = fp.filter(F.col("segment") == F.lit(filters.section))
@@ -112,7 +111,7 @@ def traffic_totals(tables, period: Period, filters: Filters = Filters(), setting
 
 # B7
 def author_traffic_totals(tables, period: Period, filters: Filters, settings: Settings = DEFAULT) -> DataFrame:
-    urls = own.author_published_urls(tables.editorial, period, filters.author)
+    urls = own.scope_for(tables.editorial, period, filters.author).published_urls
     g = _gold_scope(tables, period, filters, settings, publish_in_period=False)
     return _traffic_sums(g.join(urls, g.article_url == urls.story_url, "left_semi"))
 
@@ -130,7 +129,7 @@ def daily_user_sum(tables, period: Period, filters: Filters = Filters(), setting
 
 # B9
 def author_daily_user_sum(tables, period: Period, filters: Filters, settings: Settings = DEFAULT) -> DataFrame:
-    urls = own.author_published_urls(tables.editorial, period, filters.author)
+    urls = own.scope_for(tables.editorial, period, filters.author).published_urls
     s = tables.traffic_clean.filter(period.covers_date("event_date"))
     return s.join(urls, s.article_url == urls.story_url, "left_semi").agg(F.sum("daily_users").alias("daily_user_sum"))
 

@@ -212,3 +212,67 @@ def owned_notes(roles: DataFrame, author: str, published: bool = False) -> DataF
     if published:
         cond = cond & F.col("published_in_period")
     return roles.filter(cond).select(NOTE)
+
+
+class AuthorScope:
+    """Ownership of one author in one period, built once and shared by every author operator.
+
+    ``roles`` holds only the author's candidate notes (see ``author_candidates``) and
+    is persisted (memory, spilling to disk; recomputed from lineage if an executor
+    is lost). Plans of author operators then read it instead of re-deriving
+    ownership in every branch.
+    """
+
+    def __init__(self, editorial: DataFrame, period: Period, author: str, persist: bool = True):
+        from pyspark import StorageLevel
+
+        self.editorial, self.period, self.author = editorial, period, author
+        roles = note_roles(editorial, period, author, all_time_saves=True)
+        self.roles = roles.persist(StorageLevel.MEMORY_AND_DISK) if persist else roles
+        self.notes = owned_notes(self.roles, author)                      # O6
+        self.published_notes = owned_notes(self.roles, author, True)      # O9
+        urls = self.url_pairs(require_url=True, published_only=True).select(URL).distinct()
+        self.published_urls = urls.persist(StorageLevel.MEMORY_AND_DISK) if persist else urls  # O10
+        self._persisted = [self.roles, self.published_urls] if persist else []
+
+    def url_pairs(self, require_url: bool = True, published_only: bool = False) -> DataFrame:
+        """O7 from the shared roles (and the author's own CREATE / FIRST_PUBLISH rows)."""
+        which = "first_save_url" if require_url else "first_save"
+        direct = _author_rows(self.editorial, self.period, self.author, [CREATE, FIRST_PUBLISH], require_url).select(NOTE, URL)
+        saved = self.roles.filter(_first_saved_by(self.roles, self.author, which)).select(
+            NOTE, F.col(which + ".url").alias(URL))
+        pairs = direct.unionByName(saved).distinct()
+        if published_only:
+            pairs = pairs.join(self.roles.filter("published_in_period").select(NOTE), NOTE, "left_semi")
+        return pairs
+
+    def real_creators(self) -> DataFrame:
+        """O11 for the author's notes only."""
+        return real_creators_from_roles(self.editorial, self.roles).join(self.notes, NOTE, "left_semi")
+
+    def note_urls_any(self) -> DataFrame:
+        """Every (note, url) the author's published notes ever had."""
+        return (
+            self.editorial.filter(F.col(URL).isNotNull()).select(NOTE, URL)
+            .join(self.published_notes, NOTE, "left_semi").distinct()
+        )
+
+    def unpersist(self) -> None:
+        for df in self._persisted:
+            df.unpersist()
+
+
+_SCOPES: "dict[tuple, AuthorScope]" = {}
+_SCOPE_LIMIT = 8
+
+
+def scope_for(editorial: DataFrame, period: Period, author: str) -> AuthorScope:
+    """The shared scope of (editorial, period, author); a small LRU, the oldest is unpersisted."""
+    key = (id(editorial), period, author)
+    scope = _SCOPES.pop(key, None)
+    if scope is None:
+        scope = AuthorScope(editorial, period, author)
+        while len(_SCOPES) >= _SCOPE_LIMIT:
+            _SCOPES.pop(next(iter(_SCOPES))).unpersist()
+    _SCOPES[key] = scope
+    return scope

@@ -62,7 +62,7 @@ def source_efficiency(tables, period: Period, filters: Filters = Filters(), sett
 # B37
 def author_source_efficiency(tables, period: Period, filters: Filters, settings: Settings = DEFAULT) -> DataFrame:
     """As B36 over the author's published notes, with clean traffic (section filter only)."""
-    owned = own.author_published_notes(tables.editorial, period, filters.author)
+    owned = own.scope_for(tables.editorial, period, filters.author).published_notes
     e = _classified(tables, period, filters.section, settings).join(owned, "note_id", "left_semi")
     notes = e.select("note_id", "story_url", tool_class("email_editor", "source", settings).alias("source_class"))
     s = tables.traffic_clean.filter(period.covers_date("event_date"))

@@ -82,7 +82,7 @@ def author_own_productivity(tables, period: Period, filters: Filters, settings:
     and the clean traffic of every url those notes ever had."""
     author = filters.author
     ed = tables.editorial
-    notes = own.author_published_notes(ed, period, author)
+    notes = own.scope_for(ed, period, author).published_notes
     info = (
         tables.authors.filter(F.lower(F.col("email")) == F.lower(F.lit(author)))
         .agg(F.min(F.struct(
@@ -111,7 +111,7 @@ def author_own_productivity(tables, period: Period, filters: Filters, settings:
 def author_publishers_productivity(tables, period: Period, filters: Filters, settings: Settings = DEFAULT) -> DataFrame:
     """Each publisher of the author's notes (agency left out): notes, clean sessions, scroll, efficiency."""
     ed = tables.editorial
-    notes = own.author_notes(ed, period, filters.author)
+    notes = own.scope_for(ed, period, filters.author).notes
     fp = ed.filter((F.col("action_type") == FIRST_PUBLISH) & period.covers("event_timestamp")).join(notes, "note_id", "left_semi")
     e = fp.filter(present("email_editor") & ~is_agency("email_editor", settings))
     authors_df = _per_author(e, tables, settings, None)

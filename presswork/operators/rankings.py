@@ -64,7 +64,7 @@ def author_top_publishers(tables, period: Period, filters: Filters, settings: Se
                           limit: int | None = None) -> DataFrame:
     """Who FIRST_PUBLISHed the author's notes in the period, by distinct notes."""
     ed = tables.editorial
-    notes = own.author_notes(ed, period, filters.author)
+    notes = own.scope_for(ed, period, filters.author).notes
     pairs = (
         ed.filter((F.col("action_type") == FIRST_PUBLISH) & period.covers("event_timestamp") & present("email_editor"))
         .select("email_editor", "note_id")
@@ -80,13 +80,6 @@ def author_top_creators(tables, period: Period, filters: Filters, settings: Sett
                         limit: int | None = None) -> DataFrame:
     """Who really created (CREATE, else first SAVE ever) the author's notes, by distinct notes."""
     ed = tables.editorial
-    roles = own.note_roles(ed, period, filters.author, all_time_saves=True)
-    notes = own.owned_notes(roles, filters.author)
-    pairs = (
-        own.real_creators_from_roles(ed, roles)
-        .filter(present("creator_email"))
-        .join(notes, "note_id", "left_semi")
-        .distinct()
-    )
+    pairs = own.scope_for(ed, period, filters.author).real_creators().filter(present("creator_email")).distinct()
     return _distinct_notes_by(pairs, "creator_email", tables, settings, "creator", "created_notes",
                               limit or settings.top_k)

@@ -71,7 +71,7 @@ def section_stats(tables, period: Period, filters: Filters = Filters(), settings
 # B24
 def author_section_stats(tables, period: Period, filters: Filters, settings: Settings = DEFAULT) -> DataFrame:
     """Author's published notes per section; traffic is clean traffic of the section's distinct urls."""
-    notes = own.author_published_notes(tables.editorial, period, filters.author)
+    notes = own.scope_for(tables.editorial, period, filters.author).published_notes
     e = _published_rows(tables, period, filters.section).join(notes, "note_id", "left_semi")
     urls = e.filter(F.col("story_url").isNotNull()).select(F.col("segment").alias("section"), "story_url").distinct()
     s = tables.traffic_clean.filter(period.covers_date("event_date"))

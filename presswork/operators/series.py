@@ -31,7 +31,7 @@ def daily_published(tables, period: Period, filters: Filters = Filters(), settin
 def author_daily_published(tables, period: Period, filters: Filters, settings: Settings = DEFAULT) -> DataFrame:
     """Distinct author notes FIRST_PUBLISHed per day; the section filter applies, the country filter not."""
     ed = tables.editorial
-    notes = own.author_notes(ed, period, filters.author)
+    notes = own.scope_for(ed, period, filters.author).notes
     e = ed.filter((F.col("action_type") == FIRST_PUBLISH) & period.covers("event_timestamp"))
     if filters.section is not None:
         e = e.filter(F.col("segment") == F.lit(filters.section))
@@ -58,7 +58,7 @@ def daily_users(tables, period: Period, filters: Filters = Filters(), settings:
 
 # B20
 def author_daily_users(tables, period: Period, filters: Filters, settings: Settings = DEFAULT) -> DataFrame:
-    urls = own.author_published_urls(tables.editorial, period, filters.author)
+    urls = own.scope_for(tables.editorial, period, filters.author).published_urls
     s = tables.traffic_clean.filter(period.covers_date("event_date"))
     s = s.join(urls, s.article_url == urls.story_url, "left_semi")
     return _ordered(s.groupBy(F.col("event_date").alias("day")).agg(F.sum("daily_users").alias("value")))
@@ -80,7 +80,7 @@ def daily_traffic(tables, period: Period, filters: Filters = Filters(), settings
 # B22
 def author_daily_traffic(tables, period: Period, filters: Filters, settings: Settings = DEFAULT,
                          metric: str = "visits") -> DataFrame:
-    urls = own.author_published_urls(tables.editorial, period, filters.author)
+    urls = own.scope_for(tables.editorial, period, filters.author).published_urls
     g = _gold(tables, period, filters, settings, publish_in_period=False, country=False)
     g = g.join(urls, g.article_url == urls.story_url, "left_semi")
     return _ordered(g.groupBy(F.col("date").alias("day")).agg(F.sum(_check_measure(metric)).alias("value")))
