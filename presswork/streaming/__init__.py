@@ -1,0 +1,5 @@
+"""Incremental daily load of the event log.
+
+The reference has no streams: its data lands once a day and every query is a batch
+query. The only streaming piece here is the load itself (see :mod:`daily_load`).
+"""

@@ -1,0 +1,35 @@
+"""Append newly landed editorial event files to the editorial table, exactly once.
+
+Runs as a Structured Streaming query with ``trigger(availableNow=True)``: each run
+picks up only the files that arrived since the previous run (tracked in the
+checkpoint under the shared ``spark.checkpoint.dir``), writes them and stops. A
+failed run is retried from the checkpoint without duplicating rows.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from presswork.session import checkpoint_dir
+from presswork.sources.tables import EDITORIAL_SCHEMA
+
+
+def load_new_events(spark: SparkSession, landing_dir: str, table_dir: str, name: str = "editorial_activity",
+                    max_files_per_trigger: int | None = None) -> int:
+    """Process every landed file not seen before; returns the number of micro-batches run."""
+    reader = spark.readStream.schema(EDITORIAL_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    events = reader.parquet(landing_dir).filter(F.col("note_id").isNotNull())
+    query = (
+        events.writeStream.format("parquet")
+        .option("checkpointLocation", os.path.join(checkpoint_dir(spark), "presswork-stream", name))
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start(table_dir)
+    )
+    query.awaitTermination()
+    return len(query.recentProgress)
