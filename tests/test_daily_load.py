@@ -14,12 +14,12 @@ def test_each_landed_file_is_loaded_once(spark):
     landing, table = os.path.join(root, "landing"), os.path.join(root, "table")
     name = "editorial_" + uuid.uuid4().hex
     day1 = [ed(1, "/n/1", "a@x", "CREATE", ts(1)), ed(None, None, "a@x", "SAVE", ts(1))]
-    spark.createDataFrame(day1, EDITORIAL_SCHEMA).write.parquet(os.path.join(landing, "batch1"))
+    spark.createDataFrame(day1, EDITORIAL_SCHEMA).write.mode("append").parquet(landing)
     load_new_events(spark, landing, table, name)
     assert spark.read.parquet(table).count() == 1  # NULL note id dropped
     load_new_events(spark, landing, table, name)  # nothing new
     assert spark.read.parquet(table).count() == 1
     day2 = [ed(2, "/n/2", "b@x", "FIRST_PUBLISH", ts(2)), ed(3, "/n/3", "b@x", "SAVE", ts(2))]
-    spark.createDataFrame(day2, EDITORIAL_SCHEMA).write.parquet(os.path.join(landing, "batch2"))
+    spark.createDataFrame(day2, EDITORIAL_SCHEMA).write.mode("append").parquet(landing)
     load_new_events(spark, landing, table, name)
     assert sorted(r.note_id for r in spark.read.parquet(table).collect()) == [1, 2, 3]
