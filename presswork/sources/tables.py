@@ -173,12 +173,14 @@ _CACHE: dict = {}
 _LOCK = threading.Lock()
 
 
-def load_tables(spark: SparkSession, path: str) -> Tables:
+def load_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tables:
     """Tables for a folder: the five tables if written there, else derived from the
-    driver tables by :mod:`presswork.sources.fixtures`. One object per session and folder,
-    so lookup row counts are taken once."""
+    driver tables by :mod:`presswork.sources.fixtures` and, with ``materialize``, written
+    once to the shared checkpoint folder (traffic partitioned by date) so that every
+    query reads them as stored tables. One object per session and folder, so the
+    derivation and the lookup row counts happen once."""
     configure(spark)
-    key = (id(spark._jsparkSession), os.path.abspath(path))
+    key = (id(spark._jsparkSession), os.path.abspath(path), materialize)
     with _LOCK:
         if key not in _CACHE:
             if all(
@@ -189,5 +191,6 @@ def load_tables(spark: SparkSession, path: str) -> Tables:
             else:
                 from presswork.sources.fixtures import derive_tables
 
-                _CACHE[key] = derive_tables(spark, path)
+                derived = derive_tables(spark, path)
+                _CACHE[key] = derived.materialize() if materialize else derived
         return _CACHE[key]
