@@ -180,7 +180,7 @@ def load_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tab
     query reads them as stored tables. One object per session and folder, so the
     derivation and the lookup row counts happen once."""
     configure(spark)
-    key = (id(spark._jsparkSession), os.path.abspath(path), materialize)
+    key = (id(getattr(spark, "_jsparkSession", spark)), os.path.abspath(path), materialize)
     with _LOCK:
         if key not in _CACHE:
             if all(
