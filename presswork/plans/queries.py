@@ -1043,3 +1043,75 @@ def _c12(t, p):
 @register("author_article_export", _sqlq(lambda p: _export_sql(p, b29_sql(p))))
 def _c12a(t, p):
     return REP.article_export(A.author_top_articles(t, p.period, p.filters(author=True), p.settings))
+
+
+# ---------------------------------------------------------------- filter variants (one filter at a time)
+@register("active_creators_country", _sqlq(lambda p: b1_sql(p, None, p.country)))
+def _v1(t, p):
+    return K.active_creators(t, p.period, p.filters(country=True), p.settings)
+
+
+@register("published_notes_section", _sqlq(lambda p: b3_sql(p, p.section)))
+def _v2(t, p):
+    return K.published_notes(t, p.period, p.filters(section=True), p.settings)
+
+
+@register("traffic_totals_country", _sqlq(lambda p: b6_sql(p, None, p.country)))
+def _v3(t, p):
+    return K.traffic_totals(t, p.period, p.filters(country=True), p.settings)
+
+
+@register("author_kpis_filtered", _sqlq(lambda p: b10_sql(p, True, p.section, p.country)))
+def _v4(t, p):
+    return K.kpis(t, p.period, p.filters(True, True, True), p.settings)
+
+
+@register("kpi_change_filtered", lambda p: b12_sql(p, False, p.section, p.country))
+def _v5(t, p):
+    return K.kpi_change_for(t, p.period, p.filters(section=True, country=True), p.settings)
+
+
+@register("daily_published_section", _sqlq(lambda p: b17_sql(p, p.section)))
+def _v6(t, p):
+    return S.daily_published(t, p.period, p.filters(section=True), p.settings)
+
+
+@register("top_creators_country",
+          _sqlq(lambda p: b13_sql(p, "CREATE", "creator", "created_notes", None, p.country)))
+def _v7(t, p):
+    return R.top_creators(t, p.period, p.filters(country=True), p.settings)
+
+
+@register("section_stats_country", _sqlq(lambda p: b23_sql(p, None, p.country)))
+def _v8(t, p):
+    return SEC.section_stats(t, p.period, p.filters(country=True), p.settings)
+
+
+@register("source_efficiency_country", _sqlq(lambda p: b36_sql(p, None, p.country)))
+def _v9(t, p):
+    return PR.source_efficiency(t, p.period, p.filters(country=True), p.settings)
+
+
+@register("author_productivity_created_section", _sqlq(lambda p: b38_sql(p, "created", p.section)))
+def _v10(t, p):
+    return PV.author_productivity(t, p.period, p.filters(section=True), p.settings, "created")
+
+
+@register("top_articles_country", _sqlq(lambda p: b28_sql(p, None, p.country)))
+def _v11(t, p):
+    return A.top_articles(t, p.period, p.filters(country=True), p.settings)
+
+
+@register("traffic_by_dimension_section", _sqlq(lambda p: b26_sql(p, p.section)))
+def _v12(t, p):
+    return D.traffic_by_dimension_filtered(t, p.period, p.filters(section=True), p.settings)
+
+
+@register("daily_users_country", _sqlq(lambda p: b19_sql(p, None, p.country)))
+def _v13(t, p):
+    return S.daily_users(t, p.period, p.filters(country=True), p.settings)
+
+
+@register("author_daily_published_trend_direction", lambda p: c2_sql(p, b18_sql(p)))
+def _v14(t, p):
+    return S.trend_direction(S.author_daily_published(t, p.period, p.filters(author=True), p.settings), p.period.start)
