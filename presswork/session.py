@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # coalesce shuffle partitions to the advisory size, not to the default parallelism
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
 }
 
 
