@@ -1115,3 +1115,14 @@ def _v13(t, p):
 @register("author_daily_published_trend_direction", lambda p: c2_sql(p, b18_sql(p)))
 def _v14(t, p):
     return S.trend_direction(S.author_daily_published(t, p.period, p.filters(author=True), p.settings), p.period.start)
+
+
+# ---------------------------------------------------------------- data quality
+from presswork.sources import quality as Q  # noqa: E402
+
+
+@register("author_email_duplicates", _sqlq(lambda p: (
+    "SELECT LOWER(email) AS email_key, COUNT(*) AS rows, COUNT(DISTINCT email) AS spellings FROM authors "
+    "WHERE email IS NOT NULL GROUP BY LOWER(email) HAVING COUNT(*) > 1")))
+def _q1(t, p):
+    return Q.author_email_duplicates(t)

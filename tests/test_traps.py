@@ -144,3 +144,45 @@ def test_daily_users_is_a_sum_not_a_distinct_count(spark):
         clean_rows=[clean(9, "/n/1", 5, users=4), clean(10, "/n/1", 5, users=4)],
     )
     assert K.daily_user_sum(t, P).collect()[0][0] == 8
+
+
+def test_default_period_without_data_ends_today(spark):
+    import datetime as dt
+
+    from presswork.operators import options as OPT
+
+    t = make_tables(spark)
+    row = OPT.default_period(t).collect()[0]
+    assert row.end_date == dt.date.today() or (dt.date.today() - row.end_date).days <= 1
+    assert (row.end_date - row.start_date).days == 6
+
+
+def test_duplicate_author_emails_are_reported_and_fan_out(spark):
+    from presswork.sources.quality import author_email_duplicates
+
+    t = make_tables(
+        spark,
+        editorial=[ed(1, "/n/1", "dup@x", "FIRST_PUBLISH", ts(9))],
+        authors=[("dup@x", "Dup One", "Peru"), ("DUP@x", "Dup Two", "Peru")],
+    )
+    dups = author_email_duplicates(t).collect()
+    assert [(r.email_key, r.rows, r.spellings) for r in dups] == [("dup@x", 2, 2)]
+    # The lookup fan-out is kept, one row per matching author
+    rows = {(r.publisher, r.published_notes) for r in R.top_publishers(t, P).collect()}
+    assert rows == {("Dup One", 1), ("Dup Two", 1)}
+
+
+def test_dispatchers_follow_the_dashboard_choice(spark, sf_tables):
+    from presswork.operators import productivity as PV
+    from presswork.plans.catalog import QueryParams
+
+    qp = QueryParams()
+    a = Filters(author=qp.author)
+    assert sorted(map(tuple, S.daily_series(sf_tables, qp.period, a, metric="notes").collect())) == \
+        sorted(map(tuple, S.author_daily_published(sf_tables, qp.period, a).collect()))
+    assert sorted(map(tuple, S.daily_series(sf_tables, qp.period, Filters(), metric="users").collect())) == \
+        sorted(map(tuple, S.daily_users(sf_tables, qp.period).collect()))
+    assert PV.productivity_for(sf_tables, qp.period, a, metric_type="published").columns == \
+        ["author", "country", "notes", "sessions", "scroll_rate", "efficiency"]
+    with pytest.raises(ValueError):
+        S.daily_traffic(sf_tables, qp.period, metric="users; DROP TABLE x")
