@@ -1126,3 +1126,30 @@ from presswork.sources import quality as Q  # noqa: E402
     "WHERE email IS NOT NULL GROUP BY LOWER(email) HAVING COUNT(*) > 1")))
 def _q1(t, p):
     return Q.author_email_duplicates(t)
+
+
+# ---------------------------------------------------------------- C9-C11 on their own
+@register("compact_number", _sqlq(lambda p: (
+    f"SELECT source_class, {compact_sql('b.sessions')} AS sessions_text, {compact_sql('b.sessions_per_note')} "
+    f"AS sessions_per_note_text FROM ({b36_sql(p)}) b")))
+def _c9b(t, p):
+    b = PR.source_efficiency(t, p.period, p.filters(), p.settings)
+    return b.select("source_class", FMT.compact_number("sessions").alias("sessions_text"),
+                    FMT.compact_number("sessions_per_note").alias("sessions_per_note_text"))
+
+
+@register("dotted_thousands", _sqlq(lambda p: (
+    f"SELECT b.author, b.country, {dotted_sql('b.notes')} AS notes_text, {dotted_sql('b.sessions')} AS sessions_text, "
+    f"{dotted_sql('b.efficiency', True)} AS efficiency_text FROM ({b38_sql(p, 'participated')}) b")))
+def _c10(t, p):
+    b = PV.author_productivity(t, p.period, p.filters(), p.settings, "participated")
+    return b.select("author", "country", FMT.dotted_thousands("notes").alias("notes_text"),
+                    FMT.dotted_thousands("sessions").alias("sessions_text"),
+                    FMT.dotted_thousands("efficiency", positive_only=True).alias("efficiency_text"))
+
+
+@register("percent_text", _sqlq(lambda p: (
+    f"SELECT b.url, {percent_sql('b.scroll_rate')} AS scroll_text FROM ({b28_sql(p)}) b")))
+def _c11(t, p):
+    b = A.top_articles(t, p.period, p.filters(), p.settings)
+    return b.select("url", FMT.percent_text("scroll_rate").alias("scroll_text"))
