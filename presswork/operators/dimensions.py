@@ -13,10 +13,16 @@ from presswork.params import FIRST_PUBLISH, Filters, Period, Settings
 DEFAULT = Settings()
 
 
-def _breakdown(d: DataFrame, limit: int) -> DataFrame:
-    out = d.groupBy("dimension_type", "dimension_value").agg(
+def _per_article(d: DataFrame) -> DataFrame:
+    """Visits per (url, type, value): collapses the days before any join, and turns the
+    later COUNT(DISTINCT url) into a plain count (NULL urls are not counted)."""
+    return d.groupBy("article_url", "dimension_type", "dimension_value").agg(F.sum("visits").alias("visits"))
+
+
+def _breakdown(per_article: DataFrame, limit: int) -> DataFrame:
+    out = per_article.groupBy("dimension_type", "dimension_value").agg(
         F.sum("visits").alias("total_visits"),
-        F.count_distinct("article_url").alias("article_count"),
+        F.count("article_url").alias("article_count"),
     ).filter(F.col("total_visits") > 0)
     return out.orderBy(
         F.col("total_visits").desc(), F.col("dimension_type").asc_nulls_first(), F.col("dimension_value").asc_nulls_first()
@@ -26,7 +32,7 @@ def _breakdown(d: DataFrame, limit: int) -> DataFrame:
 # B25
 def traffic_by_dimension(tables, period: Period, settings: Settings = DEFAULT) -> DataFrame:
     """Visits and distinct articles per (type, value), raw scan of the period, top 100."""
-    d = tables.traffic_dimensions.filter(period.covers_date("event_date"))
+    d = _per_article(tables.traffic_dimensions.filter(period.covers_date("event_date")))
     return _breakdown(d, settings.dimension_limit)
 
 
@@ -45,7 +51,7 @@ def traffic_by_dimension_filtered(tables, period: Period, filters: Filters, sett
     e = join_authors(_published_urls(tables, period, filters.section), "email_editor", tables, settings,
                      filters.country, always=False)
     urls = e.select("story_url").distinct()
-    d = tables.traffic_dimensions.filter(period.covers_date("event_date"))
+    d = _per_article(tables.traffic_dimensions.filter(period.covers_date("event_date")))
     return _breakdown(d.join(urls, d.article_url == urls.story_url, "left_semi"), settings.dimension_limit)
 
 
@@ -55,7 +61,7 @@ def author_traffic_by_dimension(tables, period: Period, filters: Filters, settin
     author_urls = own.scope_for(tables.editorial, period, filters.author).published_urls
     e = _published_urls(tables, period, filters.section)
     urls = e.join(author_urls, "story_url", "left_semi").select("story_url").distinct()
-    d = tables.traffic_dimensions.filter(period.covers_date("event_date"))
+    d = _per_article(tables.traffic_dimensions.filter(period.covers_date("event_date")))
     return _breakdown(d.join(urls, d.article_url == urls.story_url, "left_semi"), settings.dimension_limit)
 
 
