@@ -121,7 +121,7 @@ def notes_with_create(editorial: DataFrame) -> DataFrame:
 
 # O5
 def notes_first_saved_by(editorial: DataFrame, period: Period, author: str, with_url: bool = False) -> DataFrame:
-    roles = note_roles(editorial, period, author)
+    roles = scope_for(editorial, period, author).roles
     which = "first_save_url" if with_url else "first_save"
     out = roles.filter(_first_saved_by(roles, author, which))
     if with_url:
@@ -135,8 +135,7 @@ def _owned(roles: DataFrame, author: str) -> Column:
 
 # O6
 def author_notes(editorial: DataFrame, period: Period, author: str) -> DataFrame:
-    roles = note_roles(editorial, period, author)
-    return roles.filter(_owned(roles, author)).select(NOTE)
+    return scope_for(editorial, period, author).notes
 
 
 # O7
@@ -148,14 +147,7 @@ def author_note_urls(editorial: DataFrame, period: Period, author: str, require_
     form); with False the first SAVE is ranked over all SAVEs and keeps its url
     (the section form). ``published_only`` keeps notes FIRST_PUBLISHed in the period.
     """
-    roles = note_roles(editorial, period, author)
-    which = "first_save_url" if require_url else "first_save"
-    direct = _author_rows(editorial, period, author, [CREATE, FIRST_PUBLISH], require_url).select(NOTE, URL)
-    saved = roles.filter(_first_saved_by(roles, author, which)).select(NOTE, F.col(which + ".url").alias(URL))
-    pairs = direct.unionByName(saved).distinct()
-    if published_only:
-        pairs = pairs.join(roles.filter("published_in_period").select(NOTE), NOTE, "left_semi")
-    return pairs
+    return scope_for(editorial, period, author).url_pairs(require_url, published_only)
 
 
 # O8
@@ -165,14 +157,12 @@ def notes_published_in_period(editorial: DataFrame, period: Period) -> DataFrame
 
 # O9
 def author_published_notes(editorial: DataFrame, period: Period, author: str) -> DataFrame:
-    roles = note_roles(editorial, period, author)
-    return roles.filter(_owned(roles, author) & F.col("published_in_period")).select(NOTE)
+    return scope_for(editorial, period, author).published_notes
 
 
 # O10
 def author_published_urls(editorial: DataFrame, period: Period, author: str) -> DataFrame:
-    pairs = author_note_urls(editorial, period, author, require_url=True, published_only=True)
-    return pairs.select(URL).distinct()
+    return scope_for(editorial, period, author).published_urls
 
 
 # O11
@@ -188,13 +178,7 @@ def real_creators(editorial: DataFrame) -> DataFrame:
 
 # O12
 def urls_of_author_notes(editorial: DataFrame, period: Period, author: str) -> DataFrame:
-    notes = author_published_notes(editorial, period, author)
-    return (
-        editorial.filter(F.col(URL).isNotNull())
-        .select(NOTE, URL)
-        .join(notes, NOTE, "left_semi")
-        .distinct()
-    )
+    return scope_for(editorial, period, author).note_urls_any()
 
 
 def real_creators_from_roles(editorial: DataFrame, roles: DataFrame) -> DataFrame:

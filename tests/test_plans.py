@@ -67,3 +67,21 @@ def test_scan_reads_only_used_columns(materialized):
 def test_ownership_is_one_aggregate_not_a_window(materialized):
     text = plan_text(all_entries()["author_notes"].build(materialized, QP))
     assert "Window" not in text
+
+
+def test_note_aggregate_combines_map_side(materialized):
+    """A hot note never reaches one task whole: the per-note aggregate is partial before the shuffle."""
+    text = plan_text(all_entries()["real_creators"].build(materialized, QP))
+    assert "partial_max((action_type" in text and "partial_min(CASE WHEN" in text
+
+
+def test_author_scope_is_shared_and_evicted(spark, materialized):
+    from presswork.operators import ownership as own
+
+    own._SCOPES.clear()
+    a = own.scope_for(materialized.editorial, QP.period, QP.author)
+    assert own.scope_for(materialized.editorial, QP.period, QP.author) is a
+    assert a.roles.is_cached
+    for i in range(own._SCOPE_LIMIT):
+        own.scope_for(materialized.editorial, QP.period, f"other{i}@x")
+    assert a.roles.is_cached is False and len(own._SCOPES) == own._SCOPE_LIMIT
