@@ -260,3 +260,9 @@ def scope_for(editorial: DataFrame, period: Period, author: str) -> AuthorScope:
             _SCOPES.pop(next(iter(_SCOPES))).unpersist()
     _SCOPES[key] = scope
     return scope
+
+
+def clear_scopes() -> None:
+    """Unpersist every shared author scope."""
+    while _SCOPES:
+        _SCOPES.pop(next(iter(_SCOPES))).unpersist()

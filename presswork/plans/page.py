@@ -70,3 +70,12 @@ def write_page(page: dict[str, DataFrame], folder: str) -> None:
             write_csv(df, os.path.join(folder, name))
         else:
             df.write.mode("overwrite").parquet(os.path.join(folder, name))
+
+
+def refresh() -> None:
+    """Drop cached tables and author scopes, as the dashboard's refresh button clears its cache."""
+    from presswork.operators.ownership import clear_scopes
+    from presswork.sources.tables import clear_cache
+
+    clear_scopes()
+    clear_cache()

@@ -200,3 +200,9 @@ def load_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tab
                 derived = derive_tables(spark, path)
                 _CACHE[key] = derived.materialize() if materialize else derived
         return _CACHE[key]
+
+
+def clear_cache() -> None:
+    """Forget the loaded tables (the next ``load_tables`` reads or derives them again)."""
+    with _LOCK:
+        _CACHE.clear()

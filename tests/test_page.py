@@ -27,3 +27,14 @@ def test_cli_writes_the_page(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="presswork-page-"), "page")
     main(["--data", SMALL_SF, "--out", out, "--author", QueryParams().author])
     assert {"kpis", "article_export", "daily_series", "insights"} <= set(os.listdir(out))
+
+
+def test_refresh_drops_scopes_and_tables(spark, sf_tables):
+    from presswork.operators import ownership as own
+    from presswork.plans.page import refresh
+    from presswork.sources import tables as T
+
+    qp = QueryParams()
+    scope = own.scope_for(sf_tables.editorial, qp.period, qp.author)
+    refresh()
+    assert not own._SCOPES and not T._CACHE and scope.roles.is_cached is False
