@@ -4,7 +4,9 @@ The reference answers these with one ROW_NUMBER window and one NOT IN per
 question. Here every per-note question is one conditional aggregate over the
 event log grouped by ``note_id``: a single shuffle whose map side collapses each
 note to one row per partition, so a note with a huge number of events never
-lands whole in one task. ``first save`` is ``min(struct(ts, ...))`` restricted
+lands whole in one task. For one author the aggregate only sees the notes the
+author touched in the period (``author_candidates``), and ``AuthorScope`` keeps
+that result for every author operator. ``first save`` is ``min(struct(ts, ...))`` restricted
 to the SAVE rows of the scope (all time, in period, in period with url); ties
 on the timestamp go to the smaller editor, NULL editor last.
 """
@@ -78,7 +80,7 @@ def author_candidates(editorial: DataFrame, period: Period, author: str) -> Data
     )
 
 
-def _first_saved_by(roles: DataFrame, author: str, which: str = "first_save") -> Column:
+def _first_saved_by(author: str, which: str = "first_save") -> Column:
     return (~F.col("has_create")) & (F.col(which + ".editor") == F.lit(author))
 
 
@@ -123,14 +125,14 @@ def notes_with_create(editorial: DataFrame) -> DataFrame:
 def notes_first_saved_by(editorial: DataFrame, period: Period, author: str, with_url: bool = False) -> DataFrame:
     roles = scope_for(editorial, period, author).roles
     which = "first_save_url" if with_url else "first_save"
-    out = roles.filter(_first_saved_by(roles, author, which))
+    out = roles.filter(_first_saved_by(author, which))
     if with_url:
         return out.select(NOTE, F.col(which + ".url").alias(URL))
     return out.select(NOTE)
 
 
-def _owned(roles: DataFrame, author: str) -> Column:
-    return F.col("created_by_author") | F.col("published_by_author") | F.coalesce(_first_saved_by(roles, author), F.lit(False))
+def _owned(author: str) -> Column:
+    return F.col("created_by_author") | F.col("published_by_author") | F.coalesce(_first_saved_by(author), F.lit(False))
 
 
 # O6
@@ -168,12 +170,11 @@ def author_published_urls(editorial: DataFrame, period: Period, author: str) ->
 # O11
 def real_creators(editorial: DataFrame) -> DataFrame:
     """Every CREATE row, plus the first SAVE (all time) of notes nobody created (UNION ALL)."""
-    creates = editorial.filter(_is(CREATE)).select(NOTE, F.col(EDITOR).alias("creator_email"))
-    roles = note_roles(editorial, None, None, all_time_saves=True)
-    saves = roles.filter(~F.col("has_create") & F.col("first_save_ever").isNotNull()).select(
-        NOTE, F.col("first_save_ever.editor").alias("creator_email")
+    facts = (
+        editorial.select(NOTE, EDITOR, URL, ACTION, TS).filter(F.col(ACTION).isin(CREATE, SAVE))
+        .groupBy(NOTE).agg(F.bool_or(_is(CREATE)).alias("has_create"), _first(_is(SAVE)).alias("first_save_ever"))
     )
-    return creates.unionByName(saves)
+    return real_creators_from_roles(editorial, facts)
 
 
 # O12
@@ -192,7 +193,7 @@ def real_creators_from_roles(editorial: DataFrame, roles: DataFrame) -> DataFram
 
 def owned_notes(roles: DataFrame, author: str, published: bool = False) -> DataFrame:
     """O6 (or O9 with ``published``) from a ``note_roles`` frame."""
-    cond = _owned(roles, author)
+    cond = _owned(author)
     if published:
         cond = cond & F.col("published_in_period")
     return roles.filter(cond).select(NOTE)
@@ -223,7 +224,7 @@ class AuthorScope:
         """O7 from the shared roles (and the author's own CREATE / FIRST_PUBLISH rows)."""
         which = "first_save_url" if require_url else "first_save"
         direct = _author_rows(self.editorial, self.period, self.author, [CREATE, FIRST_PUBLISH], require_url).select(NOTE, URL)
-        saved = self.roles.filter(_first_saved_by(self.roles, self.author, which)).select(
+        saved = self.roles.filter(_first_saved_by(self.author, which)).select(
             NOTE, F.col(which + ".url").alias(URL))
         pairs = direct.unionByName(saved).distinct()
         if published_only:
