@@ -102,3 +102,14 @@ def join_authors(df: DataFrame, email_col: str, tables, settings: Settings, coun
     a = authors_side(tables, settings, country)
     how = "inner" if country is not None else "left"
     return df.join(a, F.lower(F.col(email_col)) == F.col("_author_key"), how).drop("_author_key")
+
+
+def scalar(df: DataFrame, column: str) -> Column:
+    """The single value of a one-row frame as a scalar subquery (Spark merges subqueries
+    over the same frame into one)."""
+    return df.select(column).scalar()
+
+
+def one_row(spark, columns: dict) -> DataFrame:
+    """A one-row frame of named Column values, typically scalar subqueries: no join needed."""
+    return spark.range(1).select([c.alias(name) for name, c in columns.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.functions.columns import join_authors, ratio
+from presswork.functions.columns import join_authors, one_row, ratio, scalar
 from presswork.operators import ownership as own
 from presswork.params import CREATE, FIRST_PUBLISH, Filters, Period, Settings
 
@@ -68,7 +68,8 @@ def author_creator_publisher_counts(tables, period: Period, filters: Filters, se
         .distinct()
         .agg(F.count(F.lit(1)).alias("total_publishers"))
     )
-    return creators.crossJoin(publishers)
+    return one_row(ed.sparkSession, {"total_creators": scalar(creators, "total_creators"),
+                                     "total_publishers": scalar(publishers, "total_publishers")})
 
 
 # B5
@@ -144,18 +145,23 @@ KPI_COLUMNS = (
 def kpis(tables, period: Period, filters: Filters = Filters(), settings: Settings = DEFAULT) -> DataFrame:
     """One row of KPIs; NULL becomes 0, minutes = seconds / 60, visits per note = visits / max(notes, 1)."""
     if filters.author is not None:
-        counts = author_creator_publisher_counts(tables, period, filters, settings).select(
-            F.col("total_creators").alias("active_creators"), F.col("total_publishers").alias("active_publishers")
-        )
+        counts = author_creator_publisher_counts(tables, period, filters, settings)
         notes = author_published_note_count(tables, period, filters, settings)
-        production = counts.crossJoin(notes)
+        cols = {"active_creators": scalar(counts, "total_creators"),
+                "active_publishers": scalar(counts, "total_publishers"),
+                "published_notes": scalar(notes, "published_notes")}
         traffic = author_traffic_totals(tables, period, filters, settings)
         users = author_daily_user_sum(tables, period, filters, settings)
     else:
         production = _production_all(tables, period, filters, settings)
+        cols = {k: scalar(production, k) for k in ("active_creators", "active_publishers", "published_notes")}
         traffic = traffic_totals(tables, period, filters, settings)
         users = daily_user_sum(tables, period, filters, settings)
-    row = production.crossJoin(traffic).crossJoin(users)
+    for k in ("total_visits", "total_pageviews", "avg_time_seconds", "scroll_rate", "total_scrolls"):
+        cols[k] = scalar(traffic, k)
+    cols["daily_user_sum"] = scalar(users, "daily_user_sum")
+    # one row of scalar subqueries: no join between the one-row aggregates
+    row = one_row(tables.spark, cols)
     zero = F.lit(0).cast("bigint")
     return row.select(
         F.coalesce("active_creators", zero).alias("active_creators"),
@@ -183,10 +189,17 @@ def kpi_change(current: DataFrame, previous: DataFrame) -> DataFrame:
 
     0 and 'neutral' when the previous value is 0 or NULL; a change >= 0 is positive.
     """
-    c = current.select([F.col(k).cast("double").alias("c_" + k) for k in KPI_COLUMNS])
-    p = previous.select([F.col(k).cast("double").alias("p_" + k) for k in KPI_COLUMNS])
-    pairs = ", ".join(f"'{k}', c_{k}, p_{k}" for k in KPI_COLUMNS)
-    long = c.crossJoin(p).select(F.expr(f"stack({len(KPI_COLUMNS)}, {pairs}) AS (kpi, current_value, previous_value)"))
+    def tagged(df, which):
+        return df.select(F.lit(which).alias("which"), *[F.col(k).cast("double").alias(k) for k in KPI_COLUMNS])
+
+    pairs = ", ".join(f"'{k}', {k}" for k in KPI_COLUMNS)
+    stacked = tagged(current, "current").unionByName(tagged(previous, "previous")).select(
+        "which", F.expr(f"stack({len(KPI_COLUMNS)}, {pairs}) AS (kpi, value)"))
+    # two one-row frames, unpivoted and regrouped per KPI (20 rows): no join between them
+    long = stacked.groupBy("kpi").agg(
+        F.max(F.when(F.col("which") == "current", F.col("value"))).alias("current_value"),
+        F.max(F.when(F.col("which") == "previous", F.col("value"))).alias("previous_value"),
+    )
     prev = F.col("previous_value")
     no_base = prev.isNull() | (prev == 0)
     change = (F.col("current_value") - prev) / prev * F.lit(100.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.functions.columns import is_agency, join_authors, present, ratio
+from presswork.functions.columns import is_agency, join_authors, one_row, present, ratio, scalar
 from presswork.operators import ownership as own
 from presswork.params import CREATE, FIRST_PUBLISH, Filters, Period, Settings
 
@@ -97,8 +97,12 @@ def author_own_productivity(tables, period: Period, filters: Filters, settings:
         F.sum("daily_sessions").alias("sessions_total"),
         ratio(F.sum("sessions_with_scroll"), F.sum("daily_sessions")).alias("scroll"),
     )
+    row = one_row(ed.sparkSession, {
+        "info": scalar(info, "info"), "notes": scalar(count, "notes"),
+        "sessions_total": scalar(traffic, "sessions_total"), "scroll": scalar(traffic, "scroll"),
+    })
     sessions = F.coalesce("sessions_total", _zero())
-    return info.crossJoin(count).crossJoin(traffic).select(
+    return row.select(
         F.coalesce(F.col("info.author"), F.lit(author)).alias("author"),
         F.coalesce(F.col("info.country"), F.lit(settings.unknown_country)).alias("country"),
         "notes", sessions.alias("sessions"),

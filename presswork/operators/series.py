@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.functions.columns import join_authors
+from presswork.functions.columns import join_authors, scalar
 from presswork.operators import ownership as own
 from presswork.params import DAILY_MEASURES, FIRST_PUBLISH, Filters, Period, Settings
 
@@ -115,12 +115,12 @@ def _fit(series: DataFrame, origin) -> DataFrame:
 def trend_line(series: DataFrame, origin) -> DataFrame:
     """Adds the OLS fitted value ``trend`` to a (day, value) series; NULL with fewer than 2 days.
 
-    The fit is one global aggregate (partial sums per task) joined back as a single row.
+    The fit is one global aggregate (partial sums per task) read back as scalar subqueries.
     """
     fit = _fit(series, origin)
     x = F.datediff(F.col("day"), F.lit(origin)).cast("double")
-    return series.crossJoin(F.broadcast(fit)).select(
-        "day", "value", (F.col("intercept") + F.col("slope") * x).alias("trend")
+    return series.select(
+        "day", "value", (scalar(fit, "intercept") + scalar(fit, "slope") * x).alias("trend")
     ).orderBy("day")
 
 
