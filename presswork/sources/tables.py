@@ -150,13 +150,16 @@ class Tables:
                 writer = writer.partitionBy(PARTITION_COLUMNS[name])
             writer.parquet(target)
             out[name] = conform(spark.read.parquet(target), SCHEMAS[name])
-        return Tables(
+        tables = Tables(
             editorial=out["editorial_activity"],
             traffic_daily=out["traffic_daily"],
             traffic_clean=out["traffic_clean"],
             traffic_dimensions=out["traffic_dimensions"],
             authors=out["authors"],
         )
+        # the lookup's size check, answered from the parquet footers of what was just written
+        tables._rows["authors"] = spark.read.parquet(os.path.join(root, "authors")).count()
+        return tables
 
 
 def read_tables(spark: SparkSession, path: str) -> Tables:
