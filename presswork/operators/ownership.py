@@ -244,7 +244,10 @@ class AuthorScope:
 
     def unpersist(self) -> None:
         for df in self._persisted:
-            df.unpersist()
+            try:
+                df.unpersist()
+            except Exception:  # the session is already stopped: nothing is cached any more
+                pass
 
 
 _SCOPES: "dict[tuple, AuthorScope]" = {}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,4 +105,3 @@ class Settings:
     productivity_limit: int = 100
     min_notes: int = 3
     per_dimension_top: int = 15
-    extra: dict = field(default_factory=dict, compare=False, hash=False)

@@ -191,6 +191,9 @@ def load_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tab
     configure(spark)
     key = (id(getattr(spark, "_jsparkSession", spark)), os.path.abspath(path), materialize)
     with _LOCK:
+        cached = _CACHE.get(key)
+        if cached is not None and cached.spark is not spark:
+            del _CACHE[key]  # a new session reusing an old session's id: derive again
         if key not in _CACHE:
             if all(
                 os.path.exists(os.path.join(path, n)) or os.path.exists(os.path.join(path, n + ".parquet"))
