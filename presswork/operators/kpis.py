@@ -50,26 +50,30 @@ def _production_all(tables, period, filters, settings) -> DataFrame:
     )
 
 
-# B4
-def author_creator_publisher_counts(tables, period: Period, filters: Filters, settings: Settings = DEFAULT) -> DataFrame:
-    """Distinct real creators (undated) and distinct period publishers of the author's notes.
-
-    A NULL editor in either distinct list counts as one row, as in the reference.
-    """
+def _author_counts(tables, period: Period, filters: Filters) -> tuple[DataFrame, DataFrame]:
+    """One-row aggregates: distinct real creators (undated) and distinct period publishers
+    of the author's notes. A NULL editor in either distinct list counts as one row."""
     ed = tables.editorial
     scope = own.scope_for(ed, period, filters.author)
-    notes = scope.notes
-    creators = scope.real_creators().select("creator_email").distinct().agg(F.count(F.lit(1)).alias("total_creators"))
+    creators = scope.real_creators().select("creator_email").distinct().agg(
+        F.count(F.lit(1)).alias("total_creators"))
     publishers = (
         ed.filter((F.col("action_type") == FIRST_PUBLISH) & period.covers("event_timestamp"))
         .select("note_id", "email_editor")
-        .join(notes, "note_id", "left_semi")
+        .join(scope.notes, "note_id", "left_semi")
         .select("email_editor")
         .distinct()
         .agg(F.count(F.lit(1)).alias("total_publishers"))
     )
-    return one_row(ed.sparkSession, {"total_creators": scalar(creators, "total_creators"),
-                                     "total_publishers": scalar(publishers, "total_publishers")})
+    return creators, publishers
+
+
+# B4
+def author_creator_publisher_counts(tables, period: Period, filters: Filters, settings: Settings = DEFAULT) -> DataFrame:
+    """Distinct real creators (undated) and distinct period publishers of the author's notes, one row."""
+    creators, publishers = _author_counts(tables, period, filters)
+    return one_row(tables.spark, {"total_creators": scalar(creators, "total_creators"),
+                                  "total_publishers": scalar(publishers, "total_publishers")})
 
 
 # B5
@@ -145,10 +149,10 @@ KPI_COLUMNS = (
 def kpis(tables, period: Period, filters: Filters = Filters(), settings: Settings = DEFAULT) -> DataFrame:
     """One row of KPIs; NULL becomes 0, minutes = seconds / 60, visits per note = visits / max(notes, 1)."""
     if filters.author is not None:
-        counts = author_creator_publisher_counts(tables, period, filters, settings)
+        creators, publishers = _author_counts(tables, period, filters)
         notes = author_published_note_count(tables, period, filters, settings)
-        cols = {"active_creators": scalar(counts, "total_creators"),
-                "active_publishers": scalar(counts, "total_publishers"),
+        cols = {"active_creators": scalar(creators, "total_creators"),
+                "active_publishers": scalar(publishers, "total_publishers"),
                 "published_notes": scalar(notes, "published_notes")}
         traffic = author_traffic_totals(tables, period, filters, settings)
         users = author_daily_user_sum(tables, period, filters, settings)
