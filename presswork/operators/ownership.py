@@ -29,14 +29,12 @@ def _is(action: str) -> Column:
     return F.col(ACTION) == F.lit(action)
 
 
-def _first(cond: Column) -> Column:
-    fields = [
-        F.col(TS).alias("ts"),
-        F.col(EDITOR).isNull().alias("editor_missing"),
-        F.col(EDITOR).alias("editor"),
-        F.col(URL).isNull().alias("url_missing"),
-        F.col(URL).alias("url"),
-    ]
+def _first(cond: Column, with_url: bool = True) -> Column:
+    """The first row (by time, then editor with NULL last, then url with NULL last) among
+    the rows meeting ``cond``, as a struct; the url is carried only when it is needed."""
+    fields = [F.col(TS).alias("ts"), F.col(EDITOR).isNull().alias("editor_missing"), F.col(EDITOR).alias("editor")]
+    if with_url:
+        fields += [F.col(URL).isNull().alias("url_missing"), F.col(URL).alias("url")]
     return F.min(F.when(cond, F.struct(*fields)))
 
 
@@ -67,7 +65,7 @@ def note_roles(editorial: DataFrame, period: Period | None = None, author: str |
         F.bool_or(_is(FIRST_PUBLISH) & in_period & by_author).alias("published_by_author"),
         _first(_is(SAVE) & in_period).alias("first_save"),
         _first(_is(SAVE) & in_period & F.col(URL).isNotNull()).alias("first_save_url"),
-        _first(_is(SAVE)).alias("first_save_ever"),
+        _first(_is(SAVE), with_url=False).alias("first_save_ever"),
     )
 
 
@@ -172,7 +170,8 @@ def real_creators(editorial: DataFrame) -> DataFrame:
     """Every CREATE row, plus the first SAVE (all time) of notes nobody created (UNION ALL)."""
     facts = (
         editorial.select(NOTE, EDITOR, URL, ACTION, TS).filter(F.col(ACTION).isin(CREATE, SAVE))
-        .groupBy(NOTE).agg(F.bool_or(_is(CREATE)).alias("has_create"), _first(_is(SAVE)).alias("first_save_ever"))
+        .groupBy(NOTE).agg(F.bool_or(_is(CREATE)).alias("has_create"),
+                          _first(_is(SAVE), with_url=False).alias("first_save_ever"))
     )
     return real_creators_from_roles(editorial, facts)
 
