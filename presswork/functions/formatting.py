@@ -60,6 +60,12 @@ def percent_text(x) -> Column:
     )
 
 
+def minutes_text(x) -> Column:
+    """Minutes with one decimal and a unit (``3.4 min``); NULL -> '0.0 min'."""
+    v = F.coalesce(_c(x), F.lit(0)).cast("decimal(38,6)")
+    return F.concat(F.round(v, 1).cast("decimal(38,1)").cast("string"), F.lit(" min"))
+
+
 # C14
 def date_label(d) -> Column:
     return F.date_format(_c(d), "dd/MM/yyyy")

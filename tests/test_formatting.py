@@ -49,3 +49,9 @@ def test_lookups(spark):
     assert [r.t for r in df.select(translate_country("c").alias("t")).collect()] == ["México", "Atlantis", None]
     df = spark.createDataFrame([("america",), ("Peru",), (None,)], "c string")
     assert [r.t for r in df.select(country_code("c").alias("t")).collect()] == ["AM", "🇵🇪", ""]
+
+
+def test_minutes_and_grouped_counts(spark):
+    assert one(spark, FMT.minutes_text("x"), 3.25, "double") == "3.3 min"
+    assert one(spark, FMT.minutes_text("x"), None, "double") == "0.0 min"
+    assert one(spark, FMT.grouped_integer("x"), 1234567, "bigint") == "1,234,567"
