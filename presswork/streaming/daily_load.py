@@ -1,9 +1,10 @@
-"""Append newly landed editorial event files to the editorial table, exactly once.
+"""Append newly landed files of an input table to the stored table, exactly once.
 
 Runs as a Structured Streaming query with ``trigger(availableNow=True)``: each run
-picks up only the files that arrived since the previous run (tracked in the
+picks up only the files that arrived since the previous run (tracked in a
 checkpoint under the shared ``spark.checkpoint.dir``), writes them and stops. A
-failed run is retried from the checkpoint without duplicating rows.
+failed run is retried from the checkpoint without duplicating rows. Traffic tables
+are appended into their date partitions; the event log drops rows without a note id.
 """
 
 from __future__ import annotations
@@ -14,22 +15,34 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from presswork.session import checkpoint_dir
-from presswork.sources.tables import EDITORIAL_SCHEMA
+from presswork.sources.tables import PARTITION_COLUMNS, SCHEMAS
 
 
-def load_new_events(spark: SparkSession, landing_dir: str, table_dir: str, name: str = "editorial_activity",
-                    max_files_per_trigger: int | None = None) -> int:
-    """Process every landed file not seen before; returns the number of micro-batches run."""
-    reader = spark.readStream.schema(EDITORIAL_SCHEMA)
+def load_new_files(spark: SparkSession, table: str, landing_dir: str, table_dir: str,
+                   checkpoint_name: str | None = None, max_files_per_trigger: int | None = None) -> int:
+    """Process every landed file of ``table`` not seen before; returns the number of micro-batches run."""
+    if table not in SCHEMAS:
+        raise ValueError(f"unknown table {table!r}; known: {sorted(SCHEMAS)}")
+    reader = spark.readStream.schema(SCHEMAS[table])
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    events = reader.parquet(landing_dir).filter(F.col("note_id").isNotNull())
-    query = (
-        events.writeStream.format("parquet")
-        .option("checkpointLocation", os.path.join(checkpoint_dir(spark), "presswork-stream", name))
+    rows = reader.parquet(landing_dir)
+    if table == "editorial_activity":
+        rows = rows.filter(F.col("note_id").isNotNull())
+    writer = (
+        rows.writeStream.format("parquet")
+        .option("checkpointLocation", os.path.join(checkpoint_dir(spark), "presswork-stream", checkpoint_name or table))
         .outputMode("append")
         .trigger(availableNow=True)
-        .start(table_dir)
     )
+    if table in PARTITION_COLUMNS:
+        writer = writer.partitionBy(PARTITION_COLUMNS[table])
+    query = writer.start(table_dir)
     query.awaitTermination()
     return len(query.recentProgress)
+
+
+def load_new_events(spark: SparkSession, landing_dir: str, table_dir: str, name: str = "editorial_activity",
+                    max_files_per_trigger: int | None = None) -> int:
+    """The event log's daily load (see :func:`load_new_files`)."""
+    return load_new_files(spark, "editorial_activity", landing_dir, table_dir, name, max_files_per_trigger)

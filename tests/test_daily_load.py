@@ -23,3 +23,17 @@ def test_each_landed_file_is_loaded_once(spark):
     spark.createDataFrame(day2, EDITORIAL_SCHEMA).write.mode("append").parquet(landing)
     load_new_events(spark, landing, table, name)
     assert sorted(r.note_id for r in spark.read.parquet(table).collect()) == [1, 2, 3]
+
+
+def test_traffic_files_land_in_date_partitions(spark):
+    from presswork.sources.tables import SCHEMAS
+    from presswork.streaming.daily_load import load_new_files
+    from tests.fixtures import gold
+
+    root = tempfile.mkdtemp(prefix="presswork-load-")
+    landing, table = os.path.join(root, "landing"), os.path.join(root, "table")
+    spark.createDataFrame([gold(9, "/n/1", 5), gold(10, "/n/1", 7)], SCHEMAS["traffic_daily"]) \
+        .write.mode("append").parquet(landing)
+    load_new_files(spark, "traffic_daily", landing, table, "traffic_" + uuid.uuid4().hex)
+    assert sorted(p for p in os.listdir(table) if p.startswith("date=")) == ["date=2024-01-09", "date=2024-01-10"]
+    assert spark.read.parquet(table).filter("date = DATE'2024-01-10'").collect()[0].visits == 7
