@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.functions.columns import join_authors, present, ratio, round_ratio, tool_label
+from presswork.functions.columns import join_authors, present, round_ratio, tool_label
 from presswork.operators import ownership as own
 from presswork.params import FIRST_PUBLISH, Filters, Period, Settings
 

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from presswork.functions import formatting as FMT
 from presswork.functions.columns import round_ratio

@@ -4,7 +4,6 @@ Results are checked against a brute-force pandas version of the reference's
 window / NOT IN semantics on the same (small) data.
 """
 
-import datetime as dt
 
 import pandas as pd
 import pytest
