@@ -22,3 +22,17 @@ def test_article_export_csv(spark, sf_tables):
     assert len(rows) == articles.count() > 0
     assert list(rows[0]) == [label for _, label in REP.ARTICLE_COLUMNS]
     assert all(r["Scroll"].endswith("%") for r in rows)
+
+
+def test_stored_tables_read_back_through_load_tables(spark, sf_tables):
+    from presswork.operators import kpis as K
+    from presswork.sources.tables import load_tables
+
+    root = os.path.join(tempfile.mkdtemp(prefix="presswork-stored-"), "tables")
+    stored = sf_tables.materialize(root)
+    again = load_tables(spark, root)
+    assert sorted(os.listdir(root)) == sorted(stored.as_dict())
+    qp = QueryParams()
+    a = K.kpis(sf_tables, qp.period).collect()
+    b = K.kpis(again, qp.period).collect()
+    assert a == b
