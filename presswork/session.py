@@ -64,3 +64,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+                   min_partitions: int = 200, max_partitions: int = 200_000) -> int:
+    """Size shuffles for an input of ``input_bytes``: one initial shuffle partition per
+    ``target_partition_bytes`` (clamped), with AQE coalescing back to the same advisory
+    size, so no partition outgrows executor memory and small stages do not fan out.
+    At 100 TB this gives about 400k before clamping, i.e. 200k partitions of ~512 MB input."""
+    n = max(min_partitions, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(target_partition_bytes, 512 * 1024 * 1024)))
+    return n
