@@ -1165,3 +1165,14 @@ def _c10(t, p):
 def _c11(t, p):
     b = A.top_articles(t, p.period, p.filters(), p.settings)
     return b.select("url", FMT.percent_text("scroll_rate").alias("scroll_text"))
+
+
+@register("kpis_previous_period_filtered",
+          lambda p: oracle(p, b10_sql(p, False, p.section, p.country, period=p.period.previous())))
+def _v15(t, p):
+    return K.kpis_previous_period(t, p.period, p.filters(section=True, country=True), p.settings)
+
+
+@register("author_kpi_change_filtered", lambda p: b12_sql(p, True, p.section, p.country))
+def _v16(t, p):
+    return K.kpi_change_for(t, p.period, p.filters(True, True, True), p.settings)
