@@ -1,4 +1,9 @@
-"""Traffic by dimension (B25-B27) and the client-side steps on it."""
+"""Traffic by dimension (B25-B27) and the client-side steps on it.
+
+Scale: traffic is summed per (url, type, value) before the url filter joins it
+(the days collapse), a hot dimension value is combined map-side, and the per-type
+top values (the only window) run over the bounded top-100 list.
+"""
 
 from __future__ import annotations
 

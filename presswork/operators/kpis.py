@@ -1,4 +1,10 @@
-"""Production and traffic KPIs."""
+"""Production and traffic KPIs.
+
+Scale: every KPI is a global aggregate with partial aggregation per task; the
+period reaches the scans (timestamp range on the event log, date folders on the
+traffic tables). The KPI row is assembled from one-row aggregates as scalar
+subqueries, never by joining them. Author KPIs read the shared ``AuthorScope``.
+"""
 
 from __future__ import annotations
 

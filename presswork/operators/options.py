@@ -1,4 +1,8 @@
-"""Data date, default period and filter choices."""
+"""Data date, default period and filter choices.
+
+Scale: distinct editors, sections and countries of the period, each one grouping;
+the lookup join sees one row per editor.
+"""
 
 from __future__ import annotations
 

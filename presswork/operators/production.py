@@ -1,4 +1,8 @@
-"""Efficiency by production source."""
+"""Efficiency by production source.
+
+Scale: traffic is summed per url before it meets the published notes, so the join
+sees one row per url; the class grouping is combined map-side.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,10 @@
-"""Author productivity (B38-B42) and the insights drawn from it."""
+"""Author productivity (B38-B42) and the insights drawn from it.
+
+Scale: notes are counted on distinct (editor, note) pairs after the size-checked
+author lookup; traffic is summed per url, joined to distinct (editor, url) pairs and
+summed per editor (a hot editor is combined map-side). The insights are one
+aggregate over the bounded top-100 table.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Per-section production and traffic."""
+"""Per-section production and traffic.
+
+Scale: the editorial side groups by (section, note) first and then by section, so
+the tool counts need no COUNT(DISTINCT) expansion; traffic is aggregated per
+section before the two small results are joined.
+"""
 
 from __future__ import annotations
 

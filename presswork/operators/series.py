@@ -1,4 +1,9 @@
-"""Daily series (B17-B22) and their least-squares trend."""
+"""Daily series (B17-B22) and their least-squares trend.
+
+Scale: a series is one grouping by day (at most one row per day of the period).
+The trend is fitted from five exact integer sums of one global aggregate and read
+back as scalar subqueries, so no row of the series meets another in a join.
+"""
 
 from __future__ import annotations
 
