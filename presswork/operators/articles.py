@@ -1,8 +1,8 @@
 """Article tables.
 
 Scale: traffic and publisher metadata are aggregated per url, and per-note
-metadata and creators per note, before any join; the top-k is a per-task top-k
-merged on the driver (TakeOrderedAndProject), never a global sort.
+metadata and creators per note, before any join; the top-k keeps k rows per task
+and merges those in one task (TakeOrderedAndProject), never a global sort.
 """
 
 from __future__ import annotations
