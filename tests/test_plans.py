@@ -87,3 +87,31 @@ def test_author_scope_is_shared_and_evicted(spark, materialized):
     for i in range(own._SCOPE_LIMIT):
         own.scope_for(materialized.editorial, QP.period, f"other{i}@x")
     assert a.roles.is_cached is False and len(own._SCOPES) == own._SCOPE_LIMIT
+
+
+def test_lookup_above_the_bound_is_shuffled_not_broadcast(spark, materialized):
+    """Beyond ``broadcast_max_rows`` the author lookup is not hinted. With Spark's own size-based
+    broadcast also off (as for a lookup of many GB), the join is a shuffle (sort-merge) join and
+    the results do not change."""
+    import dataclasses
+
+    from presswork.operators import rankings as R
+    from presswork.params import Filters
+
+    small = dataclasses.replace(QP.settings, broadcast_max_rows=0)
+    f = Filters(country=QP.country)
+    hinted = sorted(map(tuple, R.top_publishers(materialized, QP.period, f, QP.settings).collect()))
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        shuffled = R.top_publishers(materialized, QP.period, f, small)
+        assert "SortMergeJoin" in plan_text(shuffled)
+        assert sorted(map(tuple, shuffled.collect())) == hinted
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
