@@ -30,3 +30,7 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 1
     assert set(df.columns) >= {"active_creators", "published_notes", "total_visits", "visits_per_note"}
+
+
+def test_entry_schema_is_stable(spark):
+    assert se.entry(spark).schema == se.entry(spark).schema
