@@ -64,3 +64,61 @@ def test_dimension_breakdown(spark, rows, published):
     assert plain == brute(df)
     filtered = {tuple(r) for r in D.traffic_by_dimension_filtered(t, P, Filters(section="s1")).collect()}
     assert filtered == brute(df[df.url.isin(published)])
+
+
+from presswork.operators import production as PR  # noqa: E402
+from presswork.operators import rankings as R  # noqa: E402
+from tests.fixtures import gold  # noqa: E402
+
+pub_row = st.tuples(st.integers(0, 4), st.sampled_from([None, "", "a@x", "B@x", "agency", "c@x"]),
+                    st.sampled_from(DAYS), st.sampled_from([None, "Composer v2", "scribnews", "wire"]))
+author_row = st.tuples(st.sampled_from(["a@x", "A@X", "b@x"]), st.sampled_from(["Ann", "Bob", None]),
+                       st.sampled_from(["Peru", None]))
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(pub_row, min_size=1, max_size=12), st.lists(author_row, max_size=4))
+def test_top_publishers_keeps_lookup_fan_out(spark, rows, authors):
+    ed = [(n, f"/n/{n}", e, "FIRST_PUBLISH", t, "s1", src, "T", 1, 1) for n, e, t, src in rows]
+    t = make_tables(spark, editorial=ed, authors=authors)
+    got = sorted(tuple(r) for r in R.top_publishers(t, P, limit=1000).collect())
+    ev = pd.DataFrame(rows, columns=["note", "email", "ts", "src"])
+    ev = ev[(ev.ts.dt.date >= P.start) & (ev.ts.dt.date <= P.end) & ev.email.notna() & (ev.email != "")]
+    au = pd.DataFrame(authors, columns=["email", "name", "country"]).astype(object)
+    counts = {}
+    for email in ev.email:
+        matches = [(nm, c) for em, nm, c in au.itertuples(index=False) if em.lower() == email.lower()] or [(None, None)]
+        for name, country in matches:
+            label = S.agency_label if email.lower() == "agency" else (name if name is not None else email)
+            counts[(label, country)] = counts.get((label, country), 0) + 1
+    assert got == sorted((k[0], k[1], v) for k, v in counts.items())
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(pub_row, min_size=1, max_size=12), st.lists(st.tuples(st.integers(0, 4), st.integers(7, 22),
+                                                                      st.integers(0, 9)), max_size=10))
+def test_source_efficiency_keeps_publish_fan_out(spark, rows, traffic):
+    ed = [(n, f"/n/{n}", e, "FIRST_PUBLISH", t, "s1", src, "T", 1, 1) for n, e, t, src in rows]
+    g = [gold(day, f"/n/{n}", v) for n, day, v in traffic]
+    t = make_tables(spark, editorial=ed, daily=g)
+    got = {(r.source_class, r.notes, r.sessions, r.pageviews) for r in PR.source_efficiency(t, P).collect()}
+    ev = pd.DataFrame(rows, columns=["note", "email", "ts", "src"])
+    ev = ev[(ev.ts.dt.date >= P.start) & (ev.ts.dt.date <= P.end)]
+    tr = pd.DataFrame([(f"/n/{n}", day, v) for n, day, v in traffic], columns=["url", "day", "v"])
+    tr = tr[(tr.day >= 8) & (tr.day <= 21)]
+
+    def cls(email, src):
+        s = (src or "").lower()
+        if email is not None and email.lower() == "agency":
+            return S.agency_class
+        return S.tool2_label if "scribnews" in s else S.tool1_label if "composer" in s else S.other_class
+
+    want = {}
+    for note, email, _, src in ev.itertuples(index=False):
+        c = cls(email, src)
+        hits = tr[tr.url == f"/n/{note}"]
+        entry = want.setdefault(c, [set(), 0, 0])
+        entry[0].add(note)
+        entry[1] += int(hits.v.sum())
+        entry[2] += int((hits.v + 1).sum())
+    assert got == {(c, len(n), s, pv) for c, (n, s, pv) in want.items() if c != S.other_class}
