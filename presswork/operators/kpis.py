@@ -127,15 +127,34 @@ def author_traffic_totals(tables, period: Period, filters: Filters, settings: Se
     return _traffic_sums(g.join(urls, g.article_url == urls.story_url, "left_semi"))
 
 
+def clean_gold_pairs(tables, period: Period, filters: Filters, settings: Settings) -> DataFrame:
+    """Clean traffic INNER JOIN Gold on (url, date), as one aggregation instead of a join.
+
+    Both fact tables are tagged and grouped by (url, day): the sum of daily users on
+    the clean side and the number of (filtered) Gold rows per pair. A pair present on
+    both sides contributes ``users * gold_rows``, exactly the join's fan-out. One
+    shuffle with map-side combine and no sort, so a hot (url, day) never lands whole
+    in one task.
+    """
+    s = tables.traffic_clean.filter(
+        period.covers_date("event_date") & F.col("article_url").isNotNull() & F.col("event_date").isNotNull()
+    ).select(F.col("article_url").alias("url"), F.col("event_date").alias("day"),
+             F.col("daily_users").alias("users"), F.lit(1).cast("bigint").alias("clean_rows"),
+             F.lit(0).cast("bigint").alias("gold_rows"))
+    g = _gold_scope(tables, period, filters, settings, publish_in_period=True).filter(
+        F.col("article_url").isNotNull() & F.col("date").isNotNull()
+    ).select(F.col("article_url").alias("url"), F.col("date").alias("day"), F.lit(None).cast("bigint").alias("users"),
+             F.lit(0).cast("bigint").alias("clean_rows"), F.lit(1).cast("bigint").alias("gold_rows"))
+    pairs = s.unionByName(g).groupBy("url", "day").agg(
+        F.sum("users").alias("users"), F.sum("clean_rows").alias("clean_rows"), F.sum("gold_rows").alias("gold_rows"))
+    return pairs.filter((F.col("clean_rows") > 0) & (F.col("gold_rows") > 0)).select(
+        "day", (F.col("users") * F.col("gold_rows")).alias("joined_users"))
+
+
 # B8
 def daily_user_sum(tables, period: Period, filters: Filters = Filters(), settings: Settings = DEFAULT) -> DataFrame:
     """SUM of daily users (not a distinct count) of clean traffic joined to Gold on (url, date)."""
-    s = tables.traffic_clean.filter(period.covers_date("event_date"))
-    g = _gold_scope(tables, period, filters, settings, publish_in_period=True).select(
-        F.col("article_url").alias("g_url"), F.col("date").alias("g_date")
-    )
-    j = s.join(g, (s.article_url == g.g_url) & (s.event_date == g.g_date))
-    return j.agg(F.sum("daily_users").alias("daily_user_sum"))
+    return clean_gold_pairs(tables, period, filters, settings).agg(F.sum("joined_users").alias("daily_user_sum"))
 
 
 # B9

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions.columns import join_authors, scalar
+from presswork.operators.kpis import clean_gold_pairs
 from presswork.operators import ownership as own
 from presswork.params import DAILY_MEASURES, FIRST_PUBLISH, Filters, Period, Settings
 
@@ -55,10 +56,9 @@ def _gold(tables, period, filters, settings, publish_in_period=True, country=Tru
 
 # B19
 def daily_users(tables, period: Period, filters: Filters = Filters(), settings: Settings = DEFAULT) -> DataFrame:
-    s = tables.traffic_clean.filter(period.covers_date("event_date"))
-    g = _gold(tables, period, filters, settings).select(F.col("article_url").alias("g_url"), F.col("date").alias("g_date"))
-    j = s.join(g, (s.article_url == g.g_url) & (s.event_date == g.g_date))
-    return _ordered(j.groupBy(F.col("event_date").alias("day")).agg(F.sum("daily_users").alias("value")))
+    """B8 per day: clean traffic joined to Gold on (url, date), done as one aggregation."""
+    pairs = clean_gold_pairs(tables, period, filters, settings)
+    return _ordered(pairs.groupBy("day").agg(F.sum("joined_users").alias("value")))
 
 
 # B20

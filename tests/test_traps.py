@@ -186,3 +186,16 @@ def test_dispatchers_follow_the_dashboard_choice(spark, sf_tables):
         ["author", "country", "notes", "sessions", "scroll_rate", "efficiency"]
     with pytest.raises(ValueError):
         S.daily_traffic(sf_tables, qp.period, metric="users; DROP TABLE x")
+
+
+def test_clean_gold_join_as_aggregation_keeps_join_semantics(spark):
+    """A duplicated Gold row doubles the users (join fan-out); pairs present on one side
+    only contribute nothing and produce no day."""
+    t = make_tables(
+        spark,
+        daily=[gold(9, "/n/1", 5, publish=d(9)), gold(9, "/n/1", 6, publish=d(9)),   # duplicated (url, day)
+               gold(10, "/n/2", 5, publish=d(9))],                                    # no clean row
+        clean_rows=[clean(9, "/n/1", 5, users=4), clean(11, "/n/3", 5, users=7)],     # /n/3 has no Gold row
+    )
+    assert K.daily_user_sum(t, P).collect()[0][0] == 8
+    assert [(r.day, r.value) for r in S.daily_users(t, P).collect()] == [(d(9), 8)]
