@@ -122,3 +122,44 @@ def test_source_efficiency_keeps_publish_fan_out(spark, rows, traffic):
         entry[1] += int(hits.v.sum())
         entry[2] += int((hits.v + 1).sum())
     assert got == {(c, len(n), s, pv) for c, (n, s, pv) in want.items() if c != S.other_class}
+
+
+from presswork.operators import productivity as PV  # noqa: E402
+
+prod_row = st.tuples(st.integers(0, 5), st.sampled_from([None, "/n/1", "/n/2", "/n/3"]),
+                     st.sampled_from([None, "", "a@x", "B@x", "agency"]), st.sampled_from(["CREATE", "FIRST_PUBLISH"]),
+                     st.sampled_from(DAYS))
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(prod_row, min_size=3, max_size=16), st.lists(author_row, max_size=3),
+       st.lists(st.tuples(st.integers(1, 3), st.integers(7, 22), st.integers(0, 9)), max_size=8))
+def test_author_productivity(spark, rows, authors, traffic):
+    ed = [(n, u, e, a, t, "s1", None, "T", 1, 1) for n, u, e, a, t in rows]
+    g = [gold(day, f"/n/{n}", v) for n, day, v in traffic]
+    t = make_tables(spark, editorial=ed, daily=g, authors=authors)
+    got = sorted((tuple(r) for r in PV.author_productivity(t, P, metric_type="participated").collect()), key=repr)
+
+    ev = pd.DataFrame(rows, columns=["note", "url", "email", "action", "ts"]).astype(object)
+    ev = ev[[P.start <= x.date() <= P.end for x in ev.ts]]
+    au = pd.DataFrame(authors, columns=["email", "name", "country"]).astype(object)
+    tr = pd.DataFrame([(f"/n/{n}", d_, v, v // 2) for n, d_, v in traffic], columns=["url", "day", "v", "s"])
+    tr = tr[(tr.day >= 8) & (tr.day <= 21)]
+    groups = {}
+    for note, _, email, _, _ in ev.itertuples(index=False):
+        if email is None or email == "" or email.lower() == "agency":
+            continue
+        matches = [(nm, c) for em, nm, c in au.itertuples(index=False) if em.lower() == email.lower()] or [(None, None)]
+        for name, country in matches:
+            key = (email, name if name is not None else email, country if country is not None else S.unknown_country)
+            groups.setdefault(key, set()).add(note)
+    want = []
+    for (email, name, country), notes in groups.items():
+        if len(notes) < S.min_notes:
+            continue
+        urls = {u for u, e in zip(ev.url, ev.email) if e == email and u is not None}
+        hits = tr[tr.url.isin(urls)]
+        sessions, scrolls = int(hits.v.sum()), int(hits.s.sum())
+        if sessions > 0:
+            want.append((name, country, len(notes), sessions, scrolls / sessions, sessions / len(notes)))
+    assert got == sorted(want, key=repr)
