@@ -20,6 +20,8 @@ def main(argv=None) -> None:
     ap.add_argument("--productivity", default="created", choices=["created", "published", "participated"])
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
+    if bool(a.start) != bool(a.end):
+        ap.error("give both --start and --end, or neither (the default is the last 7 days of data)")
     spark = build_session(a.master) if a.master else build_session()
     tables = load_tables(spark, a.data)
     period = resolve_period(tables, a.start, a.end)

@@ -38,3 +38,10 @@ def test_refresh_drops_scopes_and_tables(spark, sf_tables):
     scope = own.scope_for(sf_tables.editorial, qp.period, qp.author)
     refresh()
     assert not own._SCOPES and not T._CACHE and scope.roles.is_cached is False
+
+
+def test_cli_needs_both_dates():
+    import pytest
+
+    with pytest.raises(SystemExit):
+        main(["--data", SMALL_SF, "--out", "/nonexistent", "--start", "2024-01-08"])
