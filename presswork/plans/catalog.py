@@ -17,6 +17,14 @@ from presswork.params import Filters, Period, Settings
 
 @dataclass(frozen=True)
 class QueryParams:
+    """Parameters of the registered checks. They are operator arguments, not data subsets:
+    every query still reads all rows of every table it uses.
+
+    The two-week period sits inside the data's month, so records before it (first SAVE
+    before the period, T2) and after it both exist. The author is active at every scale.
+    The country is given in lower case to exercise the case-insensitive match.
+    """
+
     period: Period = Period(dt.date(2024, 1, 8), dt.date(2024, 1, 21))
     author: str = "customer#000000012"
     section: str = "section_3"
