@@ -43,9 +43,10 @@ def dashboard_page(tables, period: Period, filters: Filters = Filters(), setting
     series = S.daily_series(tables, period, filters, settings, series_metric)
     articles = (A.author_top_articles if author else A.top_articles)(tables, period, filters, settings)
     productivity = PV.productivity_for(tables, period, filters, settings, productivity_metric)
+    current = K.kpis(tables, period, filters, settings)
     return {
-        "kpis": K.kpis(tables, period, filters, settings),
-        "kpi_change": K.kpi_change_for(tables, period, filters, settings),
+        "kpis": current,
+        "kpi_change": K.kpi_change(current, K.kpis_previous_period(tables, period, filters, settings)),
         "top_publishers": D.with_country_code(
             (R.author_top_publishers if author else R.top_publishers)(tables, period, filters, settings)),
         "top_creators": D.with_country_code(
@@ -64,13 +65,21 @@ def dashboard_page(tables, period: Period, filters: Filters = Filters(), setting
     }
 
 
-def write_page(page: dict[str, DataFrame], folder: str) -> None:
-    for name, df in page.items():
+def write_page(page: dict[str, DataFrame], folder: str, parallelism: int = 4) -> None:
+    """Write every result; the writes are independent Spark jobs submitted from a few
+    threads so that their small stages overlap on the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(item):
+        name, df = item
         if name == "article_export":
             write_csv(df, os.path.join(folder, name))
         else:
             df.write.mode("overwrite").parquet(os.path.join(folder, name))
 
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        list(pool.map(write, page.items()))
+
 
 def refresh() -> None:
     """Drop cached tables and author scopes, as the dashboard's refresh button clears its cache."""
