@@ -202,3 +202,37 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
     out = map_batches(marked, cut, schema).drop("hits").toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
+
+
+#: The report in DuckDB: windows as joined words, every position of every document against them.
+REPORT_SQL = r"""
+with doc_words as (
+  select doc_id, row_number() over () as doc,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents
+), items as (
+  select cast(item_id as varchar) as item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from benchmark
+), starts as (
+  select item, words, least(10, len(words)) as size, unnest(range(1, len(words) - least(10, len(words)) + 2)) as pos
+  from items where len(words) > 0
+), windows as (
+  select distinct item, size, array_to_string(words[pos:pos + size - 1], ' ') as spelled from starts
+), sizes as (select distinct size from windows
+), places as (
+  select doc, size, words, unnest(range(1, len(words) - size + 2)) as pos from doc_words, sizes where len(words) >= size
+), hits as (
+  select p.doc, p.pos, p.size, w.item
+  from places p join windows w on w.size = p.size and w.spelled = array_to_string(p.words[p.pos:p.pos + p.size - 1], ' ')
+), hit_words as (
+  select doc, count(distinct word) as n_hit from (select doc, unnest(range(pos, pos + size)) as word from hits) group by doc
+), hit_items as (
+  select doc, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hits group by doc
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc_words left join hit_words using (doc) left join hit_items using (doc)
+"""
