@@ -6,7 +6,7 @@ import argparse
 
 from presswork.params import Filters
 from presswork.plans.page import dashboard_page, resolve_period, write_page
-from presswork.session import build_session
+from presswork.session import build_session, size_for_input
 from presswork.sources.tables import load_tables
 
 
@@ -19,10 +19,13 @@ def main(argv=None) -> None:
     ap.add_argument("--series", default="visits", choices=["visits", "users", "notes", "pageviews", "scrolls"])
     ap.add_argument("--productivity", default="created", choices=["created", "published", "participated"])
     ap.add_argument("--master", default=None)
+    ap.add_argument("--input-bytes", type=int, default=None, help="size shuffles for an input of this many bytes")
     a = ap.parse_args(argv)
     if bool(a.start) != bool(a.end):
         ap.error("give both --start and --end, or neither (the default is the last 7 days of data)")
-    spark = build_session(a.master) if a.master else build_session()
+    spark = build_session(a.master)
+    if a.input_bytes:
+        size_for_input(spark, a.input_bytes)
     tables = load_tables(spark, a.data)
     period = resolve_period(tables, a.start, a.end)
     page = dashboard_page(tables, period, Filters(a.author, a.section, a.country),

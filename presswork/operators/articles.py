@@ -15,11 +15,13 @@ from presswork.operators import ownership as own
 from presswork.params import FIRST_PUBLISH, Filters, Period, Settings
 
 DEFAULT = Settings()
+
+
 def _zero():
     return F.lit(0).cast("bigint")
 
 
-def _select_article(df: DataFrame, settings: Settings, traffic_nullable: bool) -> DataFrame:
+def _select_article(df: DataFrame, settings: Settings, traffic_nullable: bool, *more) -> DataFrame:
     visits = F.coalesce("visits", _zero()) if traffic_nullable else F.col("visits")
     pageviews = F.coalesce("pageviews", _zero()) if traffic_nullable else F.col("pageviews")
     return df.select(
@@ -32,11 +34,12 @@ def _select_article(df: DataFrame, settings: Settings, traffic_nullable: bool) -
         F.coalesce(round_ratio("scrolls_sum", "visits_sum", 2), F.lit(0.0)).alias("scroll_rate"),
         F.coalesce("title_words", _zero()).alias("title_words"),
         F.coalesce("body_words", _zero()).alias("body_words"),
+        *more,
     )
 
 
-def _top(df: DataFrame, limit: int) -> DataFrame:
-    return df.orderBy(F.col("visits").desc(), F.col("url").asc_nulls_first()).limit(limit)
+def _by_visits():
+    return F.col("visits").desc(), F.col("url").asc_nulls_first()
 
 
 # B28
@@ -72,7 +75,8 @@ def top_articles(tables, period: Period, filters: Filters = Filters(), settings:
              F.max("body_word_count").alias("body_words"))
     )
     j = traffic.join(publishers, "url", "left")
-    return _top(_select_article(j, settings, traffic_nullable=False), limit or settings.article_limit)
+    return _select_article(j, settings, traffic_nullable=False).orderBy(*_by_visits()).limit(
+        settings.article_limit if limit is None else limit)
 
 
 # B29
@@ -108,4 +112,6 @@ def author_top_articles(tables, period: Period, filters: Filters, settings: Sett
              F.sum("scrolls").alias("scrolls_sum"), F.sum("visits").alias("visits_sum"))
     )
     j = m.join(traffic, "url", "left").filter(present("title"))
-    return _top(_select_article(j, settings, traffic_nullable=True), limit or settings.article_limit)
+    # rows are (note, url) pairs: the note decides between pairs of one url
+    ranked = _select_article(j, settings, True, F.col("note_id")).orderBy(*_by_visits(), "note_id")
+    return ranked.limit(settings.article_limit if limit is None else limit).drop("note_id")

@@ -48,7 +48,7 @@ def filter_authors(tables, period: Period, settings: Settings = DEFAULT) -> Data
 def filter_sections(tables, period: Period) -> DataFrame:
     e = tables.editorial.filter(
         (F.col("action_type") == FIRST_PUBLISH) & period.covers("event_timestamp") & present("segment")
-        & (F.trim(F.col("segment")) != "")
+        & F.col("segment").rlike(r"\S")
     )
     return e.select(F.col("segment").alias("section")).distinct().orderBy("section")
 
@@ -57,16 +57,17 @@ def filter_sections(tables, period: Period) -> DataFrame:
 def filter_countries(tables, period: Period) -> DataFrame:
     """Distinct non-blank countries of authors active in the period."""
     editors = _active_editors(tables, period).select(F.lower(F.col("email_editor")).alias("k")).distinct()
-    a = tables.authors.filter(present("country") & (F.trim(F.col("country")) != ""))
+    a = tables.authors.filter(present("country") & F.col("country").rlike(r"\S"))
     a = a.join(editors, F.lower(a.email) == editors.k, "left_semi")
     return a.select("country").distinct().orderBy("country")
 
 
 # B35
 def author_lookup(tables, period: Period, settings: Settings = DEFAULT) -> DataFrame:
-    """One email per display name (the dropdown's name -> email map); the largest email wins."""
+    """One email per display name (the dropdown's name -> email map); the largest email wins,
+    rows without a name or an email are left out."""
     return (
-        filter_authors(tables, period, settings)
+        filter_authors(tables, period, settings).filter(present("display_name") & present("email_editor"))
         .groupBy("display_name").agg(F.max("email_editor").alias("email"))
         .orderBy("display_name")
     )

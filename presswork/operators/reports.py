@@ -37,8 +37,8 @@ def section_report(sections: DataFrame) -> DataFrame:
     return sections.select(
         F.col("section").alias("Section"),
         dotted_thousands("notes").alias("Notes"),
-        dotted_thousands("composer_notes").alias("Composer"),
-        dotted_thousands("scribnews_notes").alias("Scribnews"),
+        dotted_thousands("tool1_notes").alias("Tool 1"),
+        dotted_thousands("tool2_notes").alias("Tool 2"),
         dotted_thousands("sessions").alias("Sessions"),
         dotted_thousands("pageviews").alias("Pageviews"),
         percent_text("scroll_rate").alias("Scroll"),

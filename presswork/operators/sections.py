@@ -30,8 +30,8 @@ def _editorial_stats(e: DataFrame, settings: Settings) -> DataFrame:
     )
     return per_note.groupBy("section").agg(
         F.count(F.lit(1)).alias("notes"),
-        F.count_if("t1").alias("composer_notes"),
-        F.count_if("t2").alias("scribnews_notes"),
+        F.count_if("t1").alias("tool1_notes"),
+        F.count_if("t2").alias("tool2_notes"),
     )
 
 
@@ -39,7 +39,7 @@ def _finish(ed_stats: DataFrame, traffic: DataFrame) -> DataFrame:
     j = ed_stats.join(traffic, "section", "left")
     sessions = F.coalesce(F.col("sessions"), F.lit(0).cast("bigint"))
     return j.select(
-        "section", "notes", "composer_notes", "scribnews_notes",
+        "section", "notes", "tool1_notes", "tool2_notes",
         sessions.alias("sessions"),
         F.coalesce(F.col("pageviews"), F.lit(0).cast("bigint")).alias("pageviews"),
         F.coalesce(F.col("scroll_rate"), F.lit(0.0)).alias("scroll_rate"),

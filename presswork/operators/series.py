@@ -103,17 +103,18 @@ def daily_series(tables, period: Period, filters: Filters = Filters(), settings:
 
 
 def _fit(series: DataFrame, origin) -> DataFrame:
-    """Least-squares sums on exact integers: x = days since ``origin``, y = value."""
+    """Least-squares sums on exact integers over the days with a value: x = days since ``origin``, y = value."""
     x = F.datediff(F.col("day"), F.lit(origin)).cast("decimal(38,0)")
     y = F.col("value").cast("decimal(38,0)")
-    s = series.agg(
+    s = series.filter(F.col("value").isNotNull()).agg(
         F.count(F.lit(1)).cast("decimal(38,0)").alias("n"),
         F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"),
     )
     den = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")).cast("double")
     slope = F.try_divide((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")).cast("double"), den)
     intercept = F.try_divide((F.col("sy") * F.col("sxx") - F.col("sx") * F.col("sxy")).cast("double"), den)
-    return s.select(F.col("n").cast("bigint").alias("points"), slope.alias("slope"), intercept.alias("intercept"))
+    return s.select(F.col("n").cast("bigint").alias("points"), F.round(slope, 6).alias("slope"),
+                    F.round(intercept, 6).alias("intercept"))
 
 
 # C1
@@ -125,7 +126,7 @@ def trend_line(series: DataFrame, origin) -> DataFrame:
     fit = _fit(series, origin)
     x = F.datediff(F.col("day"), F.lit(origin)).cast("double")
     return series.select(
-        "day", "value", (scalar(fit, "intercept") + scalar(fit, "slope") * x).alias("trend")
+        "day", "value", F.round(scalar(fit, "intercept") + scalar(fit, "slope") * x, 3).alias("trend")
     ).orderBy("day")
 
 

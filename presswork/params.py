@@ -88,10 +88,10 @@ class Settings:
     agency_editor: str = "agency"
     agency_label: str = "Agency (wires)"
     agency_class: str = "Agencies"
-    tool1_pattern: str = "composer"
-    tool1_label: str = "Composer"
-    tool2_pattern: str = "scribnews"
-    tool2_label: str = "Scribnews"
+    tool1_pattern: str = "editor-one"
+    tool1_label: str = "Tool 1"
+    tool2_pattern: str = "editor-two"
+    tool2_label: str = "Tool 2"
     other_class: str = "Other"
     unknown_country: str = "Unknown"
     missing_text: str = "-"

@@ -63,13 +63,14 @@ def _o2(t, p):
     return O.notes_published_by(t.editorial, p.period, p.author)
 
 
-@register("first_saves_in_period", _sqlq(lambda p: "SELECT note_id, email_editor FROM o_first_save WHERE rn = 1"))
+@register("first_saves_in_period", _sqlq(lambda p: "SELECT note_id, first_save.email_editor AS email_editor FROM note_facts WHERE first_save IS NOT NULL"))
 def _o3(t, p):
     return O.first_saves_in_period(t.editorial, p.period)
 
 
 @register("first_saves_in_period_with_url",
-          _sqlq(lambda p: "SELECT note_id, email_editor, story_url FROM u_first_save WHERE rn = 1"))
+          _sqlq(lambda p: "SELECT note_id, first_url_save.email_editor AS email_editor, "
+                          "first_url_save.story_url AS story_url FROM note_facts WHERE first_url_save IS NOT NULL"))
 def _o3u(t, p):
     return O.first_saves_in_period(t.editorial, p.period, require_url=True)
 
@@ -460,19 +461,15 @@ def b22_sql(p, metric="visits", section=None):
 
 
 def fit_ctes(p, series_sql):
-    origin = lit(p.period.start)
-    return (
-        f"ser AS ({series_sql}),\n"
-        f"fit AS (SELECT COUNT(*) AS n, SUM(x) AS sx, SUM(y) AS sy, SUM(x * x) AS sxx, SUM(x * y) AS sxy FROM "
-        f"(SELECT CAST(datediff('day', {origin}, day) AS HUGEINT) AS x, CAST(value AS HUGEINT) AS y FROM ser) z),\n"
-        f"coef AS (SELECT CAST(n AS BIGINT) AS points, "
-        f"CAST(n * sxy - sx * sy AS DOUBLE) / NULLIF(CAST(n * sxx - sx * sx AS DOUBLE), 0) AS slope, "
-        f"CAST(sy * sxx - sx * sxy AS DOUBLE) / NULLIF(CAST(n * sxx - sx * sx AS DOUBLE), 0) AS intercept FROM fit)"
-    )
+    """Least squares by DuckDB's own regression aggregates over the days that have a value."""
+    x, y = f"CAST(datediff('day', {lit(p.period.start)}, day) AS DOUBLE)", "CAST(value AS DOUBLE)"
+    return (f"ser AS ({series_sql}),\n"
+            f"coef AS (SELECT COUNT(value) AS points, CASE WHEN COUNT(value) > 1 THEN ROUND(regr_slope({y}, {x}), 6) END AS slope, "
+            f"CASE WHEN COUNT(value) > 1 THEN ROUND(regr_intercept({y}, {x}), 6) END AS intercept FROM ser)")
 
 
 def c1_sql(p, series_sql):
-    body = (f"SELECT ser.day, ser.value, coef.intercept + coef.slope * CAST(datediff('day', {lit(p.period.start)}, ser.day) AS DOUBLE) "
+    body = (f"SELECT ser.day, ser.value, ROUND(coef.intercept + coef.slope * CAST(datediff('day', {lit(p.period.start)}, ser.day) AS DOUBLE), 3) "
             f"AS trend FROM ser, coef")
     return oracle(p, body, fit_ctes(p, series_sql))
 
@@ -580,7 +577,7 @@ def _like(p_col: str, pattern: str) -> str:
 
 
 def _section_final(ed, tr):
-    return (f"SELECT e.section, e.notes, e.composer_notes, e.scribnews_notes, COALESCE(t.sessions, 0) AS sessions, "
+    return (f"SELECT e.section, e.notes, e.tool1_notes, e.tool2_notes, COALESCE(t.sessions, 0) AS sessions, "
             f"COALESCE(t.pageviews, 0) AS pageviews, COALESCE(t.scroll_rate, 0.0) AS scroll_rate, "
             f"{sdiv('COALESCE(t.sessions, 0)', 'e.notes')} AS sessions_per_note FROM ({ed}) e LEFT JOIN ({tr}) t ON e.section = t.section")
 
@@ -588,8 +585,8 @@ def _section_final(ed, tr):
 def _section_ed(p, extra, join=""):
     st = p.settings
     return (f"SELECT ed.segment AS section, COUNT(DISTINCT ed.note_id) AS notes, "
-            f"COUNT(DISTINCT CASE WHEN {_like('ed.source', st.tool1_pattern)} THEN ed.note_id END) AS composer_notes, "
-            f"COUNT(DISTINCT CASE WHEN {_like('ed.source', st.tool2_pattern)} THEN ed.note_id END) AS scribnews_notes "
+            f"COUNT(DISTINCT CASE WHEN {_like('ed.source', st.tool1_pattern)} THEN ed.note_id END) AS tool1_notes, "
+            f"COUNT(DISTINCT CASE WHEN {_like('ed.source', st.tool2_pattern)} THEN ed.note_id END) AS tool2_notes "
             f"FROM editorial_activity ed {join} WHERE ed.action_type = 'FIRST_PUBLISH' AND {per(p, 'ed.event_timestamp')} "
             f"AND {present_sql('ed.segment')}{extra} GROUP BY ed.segment")
 
@@ -604,14 +601,13 @@ def b23_sql(p, section=None, country=None):
 
 
 def b24_sql(p, section=None):
-    nf = " AND ed.note_id IN (SELECT note_id FROM s_author_published_pairs)" + sec_cty("ed.segment", section, None)
-    ed = _section_ed(p, nf)
-    urls = (f"SELECT DISTINCT ed.segment AS section, ed.story_url FROM editorial_activity ed WHERE ed.action_type = 'FIRST_PUBLISH' "
-            f"AND {per(p, 'ed.event_timestamp')} AND {present_sql('ed.segment')} AND ed.story_url IS NOT NULL{nf}")
-    tr = (f"SELECT u.section, {isum('g.daily_sessions')} AS sessions, {isum('g.daily_pageviews')} AS pageviews, "
-          f"{sdiv('SUM(g.sessions_with_scroll)', 'SUM(g.daily_sessions)')} AS scroll_rate FROM ({urls}) u "
-          f"JOIN traffic_clean g ON u.story_url = g.article_url WHERE {per(p, 'g.event_date')} GROUP BY u.section")
-    return _section_final(ed, tr)
+    own = " AND EXISTS (SELECT 1 FROM s_author_published_pairs o WHERE o.note_id = ed.note_id)" + sec_cty("ed.segment", section, None)
+    tr = (f"SELECT section, {isum('daily_sessions')} AS sessions, {isum('daily_pageviews')} AS pageviews, "
+          f"{sdiv('SUM(sessions_with_scroll)', 'SUM(daily_sessions)')} AS scroll_rate FROM traffic_clean g JOIN ("
+          f"SELECT segment AS section, story_url FROM editorial_activity ed WHERE action_type = 'FIRST_PUBLISH' "
+          f"AND {per(p, 'event_timestamp')} AND {present_sql('segment')}{own} GROUP BY ALL) u ON g.article_url = u.story_url "
+          f"WHERE {per(p, 'g.event_date')} GROUP BY section")
+    return _section_final(_section_ed(p, own), tr)
 
 
 @register("section_stats", _sqlq(lambda p: b23_sql(p)))
@@ -741,31 +737,33 @@ def _article_cols(p, meta, traffic, pub, coalesce_traffic):
 
 def b28_sql(p, section=None, country=None):
     st = p.settings
-    tr = (f"SELECT g.article_url AS url, MAX(g.article_title) AS title, MAX(g.section) AS section, MAX(g.creator_email) AS creator, "
-          f"MAX(g.production_source) AS production_source, {isum('g.visits')} AS visits, {isum('g.pageviews')} AS pageviews, "
-          f"SUM(g.scrolls) AS scrolls_sum, SUM(g.visits) AS visits_sum FROM traffic_daily g {author_join('g.creator_email', country)} "
-          f"WHERE {per(p, 'g.date')} AND {per(p, 'g.publish_date')}{sec_cty('g.section', section, country)} GROUP BY g.article_url")
-    pub = (f"SELECT story_url AS url, MAX(email_editor) AS publisher, MAX(title_word_count) AS title_words, "
-           f"MAX(body_word_count) AS body_words FROM editorial_activity WHERE action_type = 'FIRST_PUBLISH' "
-           f"AND {per(p, 'event_timestamp')} GROUP BY story_url")
-    excl = "".join(f" AND NOT {_like('t.title', x)}" for x in st.exclude_title_patterns)
-    excl += "".join(f" AND NOT {_like('t.url', x)}" for x in st.exclude_url_patterns)
-    return (f"SELECT {_article_cols(p, 't', 't', 'pp', False)} "
-            f"FROM ({tr}) t LEFT JOIN ({pub}) pp ON t.url = pp.url WHERE {present_sql('t.title')}{excl} AND t.section IS NOT NULL "
-            f"ORDER BY t.visits DESC, t.url ASC NULLS FIRST LIMIT {st.article_limit}")
+    dropped = [f"NOT {_like('title', x)}" for x in st.exclude_title_patterns] + [f"NOT {_like('url', x)}" for x in st.exclude_url_patterns]
+    article = ("max(g.article_title) AS title, max(g.section) AS section, max(g.creator_email) AS creator, "
+               "max(g.production_source) AS production_source")
+    sums = f"{isum('g.visits')} AS visits, {isum('g.pageviews')} AS pageviews, SUM(g.scrolls) AS scrolls_sum, SUM(g.visits) AS visits_sum"
+    words = " ".join(
+        f"(SELECT max({c}) FROM editorial_activity x WHERE x.story_url = t.url AND x.action_type = 'FIRST_PUBLISH' "
+        f"AND {per(p, 'x.event_timestamp')}) AS {n}{sep}" for c, n, sep in (
+            ("email_editor", "publisher", ","), ("title_word_count", "title_words", ","), ("body_word_count", "body_words", "")))
+    per_url = (f"SELECT g.article_url AS url, {article}, {sums} FROM traffic_daily g {author_join('g.creator_email', country)} "
+               f"WHERE {per(p, 'g.date')} AND {per(p, 'g.publish_date')}{sec_cty('g.section', section, country)} GROUP BY url "
+               f"HAVING {' AND '.join([present_sql('title'), 'max(g.section) IS NOT NULL', *dropped])}")
+    return (f"SELECT {_article_cols(p, 'a', 'a', 'a', False)} FROM (SELECT t.*, {words} FROM ({per_url}) t) a "
+            f"ORDER BY a.visits DESC, a.url ASC NULLS FIRST LIMIT {st.article_limit}")
 
 
 def b29_sql(p):
-    meta = ("SELECT u.note_id, u.story_url AS url, MAX(e.title) AS title, MAX(e.segment) AS section, MAX(cr.creator_email) AS creator, "
-            "MAX(CASE WHEN e.action_type = 'FIRST_PUBLISH' THEN e.email_editor END) AS publisher, MAX(e.source) AS production_source, "
-            "MAX(e.title_word_count) AS title_words, MAX(e.body_word_count) AS body_words FROM o_author_urls_any u "
-            "LEFT JOIN editorial_activity e ON u.note_id = e.note_id LEFT JOIN real_creators cr ON u.note_id = cr.note_id "
-            "GROUP BY u.note_id, u.story_url")
-    tr = (f"SELECT g.article_url AS url, {isum('g.visits')} AS visits, {isum('g.pageviews')} AS pageviews, SUM(g.scrolls) AS scrolls_sum, "
-          f"SUM(g.visits) AS visits_sum FROM traffic_daily g WHERE {per(p, 'g.date')} "
-          f"AND g.article_url IN (SELECT story_url FROM o_author_urls_any) GROUP BY g.article_url")
-    return (f"SELECT {_article_cols(p, 'm', 't', 'm', True)} FROM ({meta}) m LEFT JOIN ({tr}) t ON m.url = t.url "
-            f"WHERE {present_sql('m.title')} ORDER BY COALESCE(t.visits, 0) DESC, m.url ASC NULLS FIRST LIMIT {p.settings.article_limit}")
+    of_note = " ".join(
+        f"(SELECT max({c}) FROM editorial_activity x WHERE x.note_id = u.note_id{more}) AS {n}," for c, n, more in (
+            ("title", "title", ""), ("segment", "section", ""), ("source", "production_source", ""),
+            ("email_editor", "publisher", " AND x.action_type = 'FIRST_PUBLISH'"), ("title_word_count", "title_words", ""),
+            ("body_word_count", "body_words", "")))
+    m = (f"SELECT u.note_id, u.story_url AS url, {of_note} "
+         f"(SELECT max(creator_email) FROM real_creators c WHERE c.note_id = u.note_id) AS creator FROM o_author_urls_any u")
+    t = (f"SELECT article_url AS url, {isum('visits')} AS visits, {isum('pageviews')} AS pageviews, SUM(scrolls) AS scrolls_sum, "
+         f"SUM(visits) AS visits_sum FROM traffic_daily WHERE {per(p, 'date')} GROUP BY article_url")
+    return (f"SELECT {_article_cols(p, 'm', 't', 'm', True)} FROM ({m}) m LEFT JOIN ({t}) t USING (url) WHERE {present_sql('m.title')} "
+            f"ORDER BY COALESCE(t.visits, 0) DESC, m.url ASC NULLS FIRST, m.note_id LIMIT {p.settings.article_limit}")
 
 
 @register("top_articles", _sqlq(lambda p: b28_sql(p)))
@@ -793,7 +791,7 @@ def tool_class_sql(p, email, source):
 
 
 def b36_sql(p, section=None, country=None, author=False):
-    nf = " AND e.note_id IN (SELECT note_id FROM o_author_published)" if author else ""
+    nf = " AND EXISTS (SELECT 1 FROM o_author_published o WHERE o.note_id = e.note_id)" if author else ""
     cty = None if author else country
     n = (f"SELECT e.note_id, e.story_url, {tool_class_sql(p, 'e.email_editor', 'e.source')} AS source_class "
          f"FROM editorial_activity e {author_join('e.email_editor', cty)} WHERE e.action_type = 'FIRST_PUBLISH' "
@@ -857,36 +855,29 @@ def b38_sql(p, metric_type="created", section=None, country=None):
     base = f"e.action_type IN ({acts}) AND {per(p, 'e.event_timestamp')}"
     a = _per_author_sql(p, base + sec_cty("e.segment", section, country),
                         f" HAVING COUNT(DISTINCT e.note_id) >= {p.settings.min_notes}")
-    na = f"SELECT DISTINCT e.email_editor, e.story_url FROM editorial_activity e WHERE {base} AND e.story_url IS NOT NULL"
-    tr = (f"SELECT na.email_editor, {isum('g.visits')} AS sessions_total, {sdiv('SUM(g.scrolls)', 'SUM(g.visits)')} AS scroll "
-          f"FROM ({na}) na JOIN traffic_daily g ON na.story_url = g.article_url WHERE {per(p, 'g.date')} GROUP BY na.email_editor")
+    tr = (f"SELECT email_editor, {isum('visits')} AS sessions_total, {sdiv('SUM(scrolls)', 'SUM(visits)')} AS scroll "
+          f"FROM traffic_daily g JOIN (SELECT email_editor, story_url FROM editorial_activity e WHERE {base} GROUP BY ALL) u "
+          f"ON u.story_url = g.article_url WHERE {per(p, 'g.date')} GROUP BY email_editor")
     return _prod_final(a, tr, True, p.settings.productivity_limit)
 
 
 def b41_sql(p):
-    st, A_ = p.settings, lit(p.author)
-    info = (f"SELECT COALESCE(a.complete_name, {A_}) AS author, COALESCE(a.country, {lit(st.unknown_country)}) AS country "
-            f"FROM authors a WHERE LOWER(a.email) = LOWER({A_})")
-    urls = ("SELECT DISTINCT e.story_url FROM editorial_activity e WHERE e.note_id IN (SELECT note_id FROM o_author_published) "
-            "AND e.story_url IS NOT NULL")
-    tr = (f"SELECT {isum('g.daily_sessions')} AS sessions_total, {sdiv('SUM(g.sessions_with_scroll)', 'SUM(g.daily_sessions)')} AS scroll "
-          f"FROM traffic_clean g WHERE g.article_url IN ({urls}) AND {per(p, 'g.event_date')}")
-    n = "(SELECT COUNT(*) FROM o_author_published)"
-    return (f"SELECT COALESCE((SELECT author FROM ({info}) i ORDER BY author, country LIMIT 1), {A_}) AS author, "
-            f"COALESCE((SELECT country FROM ({info}) i ORDER BY author, country LIMIT 1), {lit(st.unknown_country)}) AS country, "
-            f"{n} AS notes, COALESCE((SELECT sessions_total FROM ({tr}) t), 0) AS sessions, "
-            f"COALESCE((SELECT scroll FROM ({tr}) t), 0.0) AS scroll_rate, "
-            f"{sdiv(f'COALESCE((SELECT sessions_total FROM ({tr}) t), 0)', n)} AS efficiency")
+    a, st = lit(p.author), p.settings
+    who = f"SELECT min({{'n': COALESCE(complete_name, {a}), 'c': COALESCE(country, {lit(st.unknown_country)})}}) AS r FROM authors WHERE LOWER(email) = LOWER({a})"
+    traffic = (f"SELECT {isum('g.daily_sessions')} AS s, {sdiv('SUM(g.sessions_with_scroll)', 'SUM(g.daily_sessions)')} AS sc FROM traffic_clean g "
+               f"WHERE {per(p, 'g.event_date')} AND EXISTS (SELECT 1 FROM o_author_urls_any u WHERE u.story_url = g.article_url)")
+    return (f"SELECT COALESCE(w.r.n, {a}) AS author, COALESCE(w.r.c, {lit(st.unknown_country)}) AS country, k.n AS notes, "
+            f"COALESCE(t.s, 0) AS sessions, COALESCE(t.sc, 0.0) AS scroll_rate, {sdiv('COALESCE(t.s, 0)', 'k.n')} AS efficiency "
+            f"FROM ({who}) w, ({traffic}) t, (SELECT COUNT(*) AS n FROM o_author_published) k")
 
 
 def b42_sql(p):
-    base = f"e.action_type = 'FIRST_PUBLISH' AND {per(p, 'e.event_timestamp')} AND e.note_id IN (SELECT note_id FROM o_author_notes)"
-    a = _per_author_sql(p, base)
-    npub = f"SELECT DISTINCT e.email_editor, e.story_url FROM editorial_activity e WHERE {base} AND e.story_url IS NOT NULL"
-    tr = (f"SELECT np.email_editor, {isum('g.daily_sessions')} AS sessions_total, "
-          f"{sdiv('SUM(g.sessions_with_scroll)', 'SUM(g.daily_sessions)')} AS scroll FROM ({npub}) np "
-          f"JOIN traffic_clean g ON np.story_url = g.article_url WHERE {per(p, 'g.event_date')} GROUP BY np.email_editor")
-    return _prod_final(a, tr, False, p.settings.productivity_limit)
+    where = (f"e.action_type = 'FIRST_PUBLISH' AND {per(p, 'e.event_timestamp')} "
+             "AND EXISTS (SELECT 1 FROM o_author_notes o WHERE o.note_id = e.note_id)")
+    tr = (f"SELECT email_editor, {isum('daily_sessions')} AS sessions_total, {sdiv('SUM(sessions_with_scroll)', 'SUM(daily_sessions)')} AS scroll "
+          f"FROM traffic_clean g JOIN (SELECT email_editor, story_url FROM editorial_activity e WHERE {where} GROUP BY ALL) u "
+          f"ON u.story_url = g.article_url WHERE {per(p, 'g.event_date')} GROUP BY email_editor")
+    return _prod_final(_per_author_sql(p, where), tr, False, p.settings.productivity_limit)
 
 
 def c7_sql(p, prod_sql):
@@ -980,7 +971,7 @@ def _b34(t, p):
     return OPT.filter_countries(t, p.period)
 
 
-@register("author_lookup", _sqlq(lambda p: f"SELECT display_name, MAX(email_editor) AS email FROM ({b32_sql(p)}) b GROUP BY display_name"))
+@register("author_lookup", _sqlq(lambda p: f"SELECT display_name, MAX(email_editor) AS email FROM ({b32_sql(p)}) b WHERE {present_sql('display_name')} GROUP BY display_name"))
 def _b35(t, p):
     return OPT.author_lookup(t, p.period, p.settings)
 
@@ -1032,8 +1023,8 @@ def _c9(t, p):
 
 
 @register("section_report", _sqlq(lambda p: (
-    f"SELECT s.section AS \"Section\", {dotted_sql('s.notes')} AS \"Notes\", {dotted_sql('s.composer_notes')} AS \"Composer\", "
-    f"{dotted_sql('s.scribnews_notes')} AS \"Scribnews\", {dotted_sql('s.sessions')} AS \"Sessions\", "
+    f"SELECT s.section AS \"Section\", {dotted_sql('s.notes')} AS \"Notes\", {dotted_sql('s.tool1_notes')} AS \"Tool 1\", "
+    f"{dotted_sql('s.tool2_notes')} AS \"Tool 2\", {dotted_sql('s.sessions')} AS \"Sessions\", "
     f"{dotted_sql('s.pageviews')} AS \"Pageviews\", {percent_sql('s.scroll_rate')} AS \"Scroll\", "
     f"{dotted_sql('s.sessions_per_note', True)} AS \"Sessions per note\" FROM ({b23_sql(p)}) s")))
 def _c13(t, p):

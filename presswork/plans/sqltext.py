@@ -1,6 +1,5 @@
 """DuckDB text for the oracle: the five tables as CTEs over the driver tables and the
-ownership CTEs in the reference's window / NOT IN form (an independent check of the
-aggregate form used in the Spark plans)."""
+ownership of notes from one row of facts per note (FILTER aggregates, EXISTS)."""
 
 from __future__ import annotations
 
@@ -29,7 +28,7 @@ editorial_activity AS (
   CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'click' THEN 'SAVE' WHEN 'purchase' THEN 'FIRST_PUBLISH' ELSE 'UPDATE' END AS action_type,
   ts AS event_timestamp,
   CASE WHEN note_id % 17 = 0 THEN NULL WHEN note_id % 13 = 0 THEN '' ELSE concat('section_', CAST(note_id % 7 AS VARCHAR)) END AS segment,
-  CASE note_id % 4 WHEN 0 THEN 'Composer v2' WHEN 1 THEN 'scribnews-bot' WHEN 2 THEN 'wire' ELSE NULL END AS source,
+  CASE note_id % 4 WHEN 0 THEN 'Editor-one v2' WHEN 1 THEN 'editor-two-bot' WHEN 2 THEN 'wire' ELSE NULL END AS source,
   concat('Title ', CAST(note_id AS VARCHAR)) AS title, CAST(3 + note_id % 12 AS BIGINT) AS title_word_count, CAST(100 + note_id % 900 AS BIGINT) AS body_word_count
  FROM (SELECT CAST(FLOOR(event_id / 4) AS BIGINT) AS note_id, user_id, event_type, ts FROM events) e
  WHERE note_id IS NOT NULL
@@ -45,7 +44,7 @@ traffic_daily AS (
   concat('Title ', CAST(note_id AS VARCHAR)) AS article_title,
   CASE WHEN note_id % 17 = 0 THEN NULL WHEN note_id % 13 = 0 THEN '' ELSE concat('section_', CAST(note_id % 7 AS VARCHAR)) END AS section,
   concat('customer#', lpad(CAST(note_id % 15 AS VARCHAR), 9, '0')) AS creator_email,
-  CASE note_id % 4 WHEN 0 THEN 'Composer v2' WHEN 1 THEN 'scribnews-bot' WHEN 2 THEN 'wire' ELSE NULL END AS production_source,
+  CASE note_id % 4 WHEN 0 THEN 'Editor-one v2' WHEN 1 THEN 'editor-two-bot' WHEN 2 THEN 'wire' ELSE NULL END AS production_source,
   CAST(SUM(q) AS BIGINT) AS visits, CAST(SUM(q + l_linenumber) AS BIGINT) AS pageviews,
   CAST(SUM(LEAST(q, d)) AS BIGINT) AS scrolls, CAST(SUM(t) AS BIGINT) AS total_time_seconds
  FROM li_x GROUP BY date, note_id
@@ -77,45 +76,56 @@ def in_period(col: str, start, end) -> str:
     return f"CAST({col} AS DATE) BETWEEN {lit(start)} AND {lit(end)}"
 
 
-FIRST_ORDER = "event_timestamp, email_editor ASC NULLS LAST, story_url ASC NULLS LAST"
+def _first_save(condition: str) -> str:
+    """The earliest SAVE of a note under a condition; missing values order last."""
+    keys = ("event_timestamp", "email_editor", "story_url")
+    fields = ", ".join(f"'no_{k}': {k} IS NULL, '{k}': {k}" for k in keys)
+    return f"min({{{fields}}}) FILTER (WHERE action_type = 'SAVE' AND {condition})"
 
 
 def ownership_sql(author: str | None, start, end, px: str = "") -> str:
-    """Ownership CTEs for one author and period (ids only, url pairs, section form with NULL urls)."""
-    a = lit(author)
-    per = in_period("event_timestamp", start, end)
+    """Ownership for one author and period from one row of facts per note: who did what, and which save came first."""
+    a, per = lit(author), in_period("event_timestamp", start, end)
+    mine = f"email_editor = {a} AND {per}"
+    saved_first = f"NOT has_create AND first_save.email_editor = {a}"
+    owned = f"created OR published_by_author OR ({saved_first})"
+
+    def pairs(save: str, keep: str) -> str:
+        return (f"SELECT note_id, story_url FROM {px}url_facts WHERE mine AND {keep} UNION "
+                f"SELECT note_id, {save}.story_url FROM {px}note_facts WHERE NOT has_create AND {save}.email_editor = {a}")
+
+    def published(of: str) -> str:
+        return f"EXISTS (SELECT 1 FROM {px}note_facts f WHERE f.note_id = {of}.note_id AND f.published)"
+
     return f"""
-{px}o_with_create AS (SELECT DISTINCT note_id FROM editorial_activity WHERE action_type = 'CREATE'),
-{px}o_published AS (SELECT DISTINCT note_id FROM editorial_activity WHERE action_type = 'FIRST_PUBLISH' AND {per}),
-{px}o_create AS (SELECT DISTINCT note_id FROM editorial_activity WHERE email_editor = {a} AND action_type = 'CREATE' AND {per}),
-{px}o_publish AS (SELECT DISTINCT note_id FROM editorial_activity WHERE email_editor = {a} AND action_type = 'FIRST_PUBLISH' AND {per}),
-{px}o_first_save AS (
- SELECT note_id, email_editor, story_url, ROW_NUMBER() OVER (PARTITION BY note_id ORDER BY {FIRST_ORDER}) AS rn
- FROM editorial_activity WHERE action_type = 'SAVE' AND {per}),
-{px}o_first_saved AS (SELECT note_id FROM {px}o_first_save WHERE rn = 1 AND email_editor = {a} AND note_id NOT IN (SELECT note_id FROM {px}o_with_create)),
-{px}o_author_notes AS (SELECT note_id FROM {px}o_create UNION SELECT note_id FROM {px}o_publish UNION SELECT note_id FROM {px}o_first_saved),
-{px}o_author_published AS (SELECT DISTINCT t.note_id FROM {px}o_author_notes t JOIN {px}o_published p ON t.note_id = p.note_id),
-{px}u_create AS (SELECT DISTINCT note_id, story_url FROM editorial_activity WHERE email_editor = {a} AND action_type = 'CREATE' AND {per} AND story_url IS NOT NULL),
-{px}u_publish AS (SELECT DISTINCT note_id, story_url FROM editorial_activity WHERE email_editor = {a} AND action_type = 'FIRST_PUBLISH' AND {per} AND story_url IS NOT NULL),
-{px}u_first_save AS (
- SELECT note_id, email_editor, story_url, ROW_NUMBER() OVER (PARTITION BY note_id ORDER BY {FIRST_ORDER}) AS rn
- FROM editorial_activity WHERE action_type = 'SAVE' AND {per} AND story_url IS NOT NULL),
-{px}u_first_saved AS (SELECT note_id, story_url FROM {px}u_first_save WHERE rn = 1 AND email_editor = {a} AND note_id NOT IN (SELECT note_id FROM {px}o_with_create)),
-{px}u_author_pairs AS (SELECT note_id, story_url FROM {px}u_create UNION SELECT note_id, story_url FROM {px}u_publish UNION SELECT note_id, story_url FROM {px}u_first_saved),
-{px}u_author_urls AS (SELECT DISTINCT t.story_url FROM {px}u_author_pairs t JOIN {px}o_published p ON t.note_id = p.note_id),
-{px}s_create AS (SELECT DISTINCT note_id, story_url FROM editorial_activity WHERE email_editor = {a} AND action_type = 'CREATE' AND {per}),
-{px}s_publish AS (SELECT DISTINCT note_id, story_url FROM editorial_activity WHERE email_editor = {a} AND action_type = 'FIRST_PUBLISH' AND {per}),
-{px}s_first_saved AS (SELECT note_id, story_url FROM {px}o_first_save WHERE rn = 1 AND email_editor = {a} AND note_id NOT IN (SELECT note_id FROM {px}o_with_create)),
-{px}s_author_pairs AS (SELECT note_id, story_url FROM {px}s_create UNION SELECT note_id, story_url FROM {px}s_publish UNION SELECT note_id, story_url FROM {px}s_first_saved),
-{px}s_author_published_pairs AS (SELECT t.note_id, t.story_url FROM {px}s_author_pairs t JOIN {px}o_published p ON t.note_id = p.note_id),
-{px}rc_create AS (SELECT note_id, email_editor AS creator_email FROM editorial_activity WHERE action_type = 'CREATE'),
-{px}rc_first_save AS (
- SELECT note_id, email_editor, ROW_NUMBER() OVER (PARTITION BY note_id ORDER BY {FIRST_ORDER}) AS rn
- FROM editorial_activity WHERE action_type = 'SAVE'),
+{px}note_facts AS (
+ SELECT note_id, bool_or(action_type = 'CREATE') AS has_create,
+  coalesce(bool_or(action_type = 'FIRST_PUBLISH' AND {per}), false) AS published,
+  coalesce(bool_or(action_type = 'CREATE' AND {mine}), false) AS created,
+  coalesce(bool_or(action_type = 'FIRST_PUBLISH' AND {mine}), false) AS published_by_author,
+  {_first_save(per)} AS first_save, {_first_save(per + " AND story_url IS NOT NULL")} AS first_url_save,
+  {_first_save("true")} AS first_save_ever
+ FROM editorial_activity GROUP BY note_id),
+{px}url_facts AS (
+ SELECT note_id, story_url, coalesce(bool_or(action_type IN ('CREATE', 'FIRST_PUBLISH') AND {mine}), false) AS mine
+ FROM editorial_activity GROUP BY note_id, story_url),
+{px}o_with_create AS (SELECT note_id FROM {px}note_facts WHERE has_create),
+{px}o_published AS (SELECT note_id FROM {px}note_facts WHERE published),
+{px}o_create AS (SELECT note_id FROM {px}note_facts WHERE created),
+{px}o_publish AS (SELECT note_id FROM {px}note_facts WHERE published_by_author),
+{px}o_first_saved AS (SELECT note_id FROM {px}note_facts WHERE {saved_first}),
+{px}o_author_notes AS (SELECT note_id FROM {px}note_facts WHERE {owned}),
+{px}o_author_published AS (SELECT note_id FROM {px}note_facts WHERE published AND ({owned})),
+{px}u_author_pairs AS ({pairs("first_url_save", "story_url IS NOT NULL")}),
+{px}u_author_urls AS (SELECT DISTINCT story_url FROM {px}u_author_pairs u WHERE {published("u")}),
+{px}s_author_pairs AS ({pairs("first_save", "true")}),
+{px}s_author_published_pairs AS (SELECT note_id, story_url FROM {px}s_author_pairs s WHERE {published("s")}),
 {px}real_creators AS (
- SELECT note_id, creator_email FROM {px}rc_create UNION ALL
- SELECT note_id, email_editor AS creator_email FROM {px}rc_first_save WHERE rn = 1 AND note_id NOT IN (SELECT note_id FROM {px}rc_create)),
-{px}o_author_urls_any AS (SELECT DISTINCT e.note_id, e.story_url FROM editorial_activity e WHERE e.note_id IN (SELECT note_id FROM {px}o_author_published) AND e.story_url IS NOT NULL)"""
+ SELECT note_id, email_editor AS creator_email FROM editorial_activity WHERE action_type = 'CREATE' UNION ALL
+ SELECT note_id, first_save_ever.email_editor FROM {px}note_facts WHERE NOT has_create AND first_save_ever IS NOT NULL),
+{px}o_author_urls_any AS (
+ SELECT note_id, story_url FROM {px}url_facts WHERE story_url IS NOT NULL
+ AND EXISTS (SELECT 1 FROM {px}o_author_published p WHERE p.note_id = {px}url_facts.note_id))"""
 
 
 def with_ctes(settings: Settings, author, start, end, *extra: str, previous=None) -> str:

@@ -25,15 +25,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "presswork") -> SparkSession:
-    builder = (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "8g")
-    )
+def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "presswork",
+                  driver_memory: str | None = None) -> SparkSession:
+    """A session with the settings the plans rely on. Master, shuffle partitions and memory are left
+    to spark-submit unless given: a value set in code would override it."""
+    builder = SparkSession.builder.appName(app)
+    if master is not None:
+        builder = builder.master(master)
+    given = {"spark.sql.shuffle.partitions": shuffle_partitions, "spark.driver.memory": driver_memory}
+    for key, value in given.items():
+        if value is not None:
+            builder = builder.config(key, str(value))
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -46,7 +48,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared file system; it is only filled in
-    here (with a scratch folder) when nothing set it, as in tests.
+    here (with a scratch folder) when nothing set it and all runs in one process, as in tests.
     """
     try:
         sc = spark.sparkContext
@@ -56,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not (sc is not None and sc.master.startswith("local") and "cluster" not in sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="presswork-ckpt-")
         if sc is None:
@@ -67,12 +71,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
-                   min_partitions: int = 200, max_partitions: int = 200_000) -> int:
+                   min_partitions: int = 200) -> int:
     """Size shuffles for an input of ``input_bytes``: one initial shuffle partition per
-    ``target_partition_bytes`` (clamped), with AQE coalescing back to the same advisory
+    ``target_partition_bytes`` (``min_partitions`` at least), with AQE coalescing back to the same advisory
     size, so no partition outgrows executor memory and small stages do not fan out.
-    At 100 TB this gives about 400k before clamping, i.e. 200k partitions of ~512 MB input."""
-    n = max(min_partitions, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
+    At 100 TB that is about 400k."""
+    n = max(min_partitions, -(-int(input_bytes) // target_partition_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(target_partition_bytes, 512 * 1024 * 1024)))

@@ -24,7 +24,7 @@ AGENCY_USER_MOD = 7      # user_id % 50 == 7 is the agency account
 EMPTY_USER_MOD = 9       # user_id % 50 == 9 has an empty editor
 EVENT_ACTIONS = {"signup": "CREATE", "click": "SAVE", "purchase": "FIRST_PUBLISH"}
 OTHER_ACTION = "UPDATE"
-SOURCES_BY_MOD4 = {0: "Composer v2", 1: "scribnews-bot", 2: "wire"}
+SOURCES_BY_MOD4 = {0: "Editor-one v2", 1: "editor-two-bot", 2: "wire"}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -162,12 +162,23 @@ class Tables:
         return tables
 
 
+def stored(spark: SparkSession, path: str, name: str) -> str | None:
+    """Where the table is stored below ``path`` (a folder or a file), on any file system Spark knows."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for target in (f"{path.rstrip('/')}/{name}", f"{path.rstrip('/')}/{name}.parquet"):
+        place = jvm.org.apache.hadoop.fs.Path(target)
+        if place.getFileSystem(conf).exists(place):
+            return target
+    return None
+
+
 def read_tables(spark: SparkSession, path: str) -> Tables:
     """Read the five tables written as ``{path}/{name}`` (parquet file or folder)."""
     dfs = {}
     for name, schema in SCHEMAS.items():
-        candidates = [os.path.join(path, name), os.path.join(path, name + ".parquet")]
-        target = next(p for p in candidates if os.path.exists(p))
+        target = stored(spark, path, name)
+        if target is None:
+            raise FileNotFoundError(f"no table {name} in {path}")
         dfs[name] = conform(spark.read.parquet(target), schema)
     return Tables(
         editorial=dfs["editorial_activity"].filter(F.col("note_id").isNotNull()),
@@ -189,16 +200,13 @@ def load_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tab
     query reads them as stored tables. One object per session and folder, so the
     derivation and the lookup row counts happen once."""
     configure(spark)
-    key = (id(getattr(spark, "_jsparkSession", spark)), os.path.abspath(path), materialize)
+    key = (id(getattr(spark, "_jsparkSession", spark)), path if "://" in path else os.path.abspath(path), materialize)
     with _LOCK:
         cached = _CACHE.get(key)
         if cached is not None and cached.spark is not spark:
             del _CACHE[key]  # a new session reusing an old session's id: derive again
         if key not in _CACHE:
-            if all(
-                os.path.exists(os.path.join(path, n)) or os.path.exists(os.path.join(path, n + ".parquet"))
-                for n in SCHEMAS
-            ):
+            if all(stored(spark, path, n) for n in SCHEMAS):
                 _CACHE[key] = read_tables(spark, path)
             else:
                 from presswork.sources.fixtures import derive_tables

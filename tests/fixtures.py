@@ -13,11 +13,11 @@ def d(day):
     return dt.date(2024, 1, day)
 
 
-def ed(note, url, editor, action, when, segment="politics", source="Composer v2", title=None, tw=5, bw=200):
+def ed(note, url, editor, action, when, segment="politics", source="Editor-one v2", title=None, tw=5, bw=200):
     return (note, url, editor, action, when, segment, source, title if title is not None else f"Title {note}", tw, bw)
 
 
-def gold(day, url, visits, publish=None, section="politics", creator="a@x", source="Composer v2", title=None,
+def gold(day, url, visits, publish=None, section="politics", creator="a@x", source="Editor-one v2", title=None,
          pageviews=None, scrolls=None, seconds=None):
     return (d(day), url, publish or d(day), title if title is not None else f"Title {url}", section, creator, source,
             visits, pageviews if pageviews is not None else visits + 1, scrolls if scrolls is not None else visits // 2,

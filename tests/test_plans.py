@@ -28,14 +28,14 @@ def materialized(spark):
     return derive_tables(spark, SMALL_SF).materialize()
 
 
-@pytest.mark.parametrize("key", sorted(se.queries()))
+@pytest.mark.parametrize("key", sorted(all_entries()))
 def test_no_python_in_plans(materialized, key):
     text = plan_text(all_entries()[key].build(materialized, QP))
     for marker in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
         assert marker not in text
 
 
-@pytest.mark.parametrize("key", sorted(se.queries()))
+@pytest.mark.parametrize("key", sorted(all_entries()))
 def test_no_cross_or_nested_loop_joins(materialized, key):
     """One-row results are combined as scalar subqueries, never joined."""
     text = plan_text(all_entries()[key].build(materialized, QP))

@@ -18,7 +18,7 @@ S = Settings()
 DAYS = [dt.datetime(2024, 1, d, 9) for d in (7, 8, 15, 21, 22)]
 
 fp_row = st.tuples(st.integers(0, 5), st.sampled_from([None, "", "s1", "s2"]),
-                   st.sampled_from([None, "Composer v2", "SCRIBNEWS-bot", "wire", "composer+scribnews"]),
+                   st.sampled_from([None, "Editor-one v2", "EDITOR-TWO-bot", "wire", "editor-one+editor-two"]),
                    st.sampled_from(DAYS))
 
 
@@ -27,14 +27,14 @@ fp_row = st.tuples(st.integers(0, 5), st.sampled_from([None, "", "s1", "s2"]),
 def test_section_tool_counts(spark, rows):
     ed = [(n, f"/n/{n}", "e@x", "FIRST_PUBLISH", t, seg, src, "T", 1, 1) for n, seg, src, t in rows]
     t = make_tables(spark, editorial=ed)
-    got = {(r.section, r.notes, r.composer_notes, r.scribnews_notes) for r in SEC.section_stats(t, P).collect()}
+    got = {(r.section, r.notes, r.tool1_notes, r.tool2_notes) for r in SEC.section_stats(t, P).collect()}
     df = pd.DataFrame(rows, columns=["note", "seg", "src", "ts"])
     df = df[(df.ts.dt.date >= P.start) & (df.ts.dt.date <= P.end) & df.seg.notna() & (df.seg != "")]
     want = set()
     for seg, g in df.groupby("seg"):
         low = g.src.fillna("").str.lower()
-        want.add((seg, g.note.nunique(), g[low.str.contains("composer")].note.nunique(),
-                  g[low.str.contains("scribnews")].note.nunique()))
+        want.add((seg, g.note.nunique(), g[low.str.contains("editor-one")].note.nunique(),
+                  g[low.str.contains("editor-two")].note.nunique()))
     assert got == want
 
 
@@ -71,7 +71,7 @@ from presswork.operators import rankings as R  # noqa: E402
 from tests.fixtures import gold  # noqa: E402
 
 pub_row = st.tuples(st.integers(0, 4), st.sampled_from([None, "", "a@x", "B@x", "agency", "c@x"]),
-                    st.sampled_from(DAYS), st.sampled_from([None, "Composer v2", "scribnews", "wire"]))
+                    st.sampled_from(DAYS), st.sampled_from([None, "Editor-one v2", "editor-two", "wire"]))
 author_row = st.tuples(st.sampled_from(["a@x", "A@X", "b@x"]), st.sampled_from(["Ann", "Bob", None]),
                        st.sampled_from(["Peru", None]))
 
@@ -111,7 +111,7 @@ def test_source_efficiency_keeps_publish_fan_out(spark, rows, traffic):
         s = (src or "").lower()
         if email is not None and email.lower() == "agency":
             return S.agency_class
-        return S.tool2_label if "scribnews" in s else S.tool1_label if "composer" in s else S.other_class
+        return S.tool2_label if "editor-two" in s else S.tool1_label if "editor-one" in s else S.other_class
 
     want = {}
     for note, email, _, src in ev.itertuples(index=False):

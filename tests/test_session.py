@@ -1,6 +1,9 @@
 """Session sizing and the shared checkpoint folder."""
 
-from presswork.session import checkpoint_dir, configure, size_for_input
+import inspect
+
+from presswork.session import build_session, checkpoint_dir, configure, size_for_input
+from presswork.sources.tables import SCHEMAS, read_tables, stored
 
 
 def test_size_for_input(spark):
@@ -8,7 +11,7 @@ def test_size_for_input(spark):
                                             "spark.sql.files.maxPartitionBytes")}
     try:
         assert size_for_input(spark, 10 * 1024 ** 2) == 200
-        assert size_for_input(spark, 100 * 1024 ** 4) == 200_000
+        assert size_for_input(spark, 100 * 1024 ** 4) == 409_600
         assert size_for_input(spark, 1024 ** 4) == 4096
         assert spark.conf.get("spark.sql.shuffle.partitions") == "4096"
     finally:
@@ -21,3 +24,19 @@ def test_configure_and_checkpoint_dir(spark):
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     assert checkpoint_dir(spark)
+
+
+def test_build_session_leaves_submit_settings_alone(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.master", "spark.sql.shuffle.partitions")}
+    build_session()
+    assert {k: spark.conf.get(k) for k in before} == before
+    assert all(inspect.signature(build_session).parameters[k].default is None for k in ("master", "shuffle_partitions"))
+
+
+def test_stored_tables_open_by_uri(spark, sf_tables, tmp_path):
+    for name, df in sf_tables.as_dict().items():
+        df.limit(5).write.parquet(str(tmp_path / name))
+    for root in (f"file://{tmp_path}", str(tmp_path)):
+        assert all(stored(spark, root, name) for name in SCHEMAS)
+        assert read_tables(spark, root).authors.count() == 5
+    assert stored(spark, f"file://{tmp_path}/nothing", "authors") is None

@@ -80,7 +80,7 @@ def test_double_publish_fans_out_traffic_in_source_efficiency(spark):
         daily=[gold(10, "/n/4", 100)],
     )
     row = PR.source_efficiency(t, P).collect()
-    assert [(r.source_class, r.notes, r.sessions) for r in row] == [("Composer", 1, 200)]
+    assert [(r.source_class, r.notes, r.sessions) for r in row] == [("Tool 1", 1, 200)]
     days = {(r.day, r.value) for r in S.daily_published(t, P).collect()}
     assert days == {(d(9), 1), (d(11), 1)}
 
@@ -199,3 +199,14 @@ def test_clean_gold_join_as_aggregation_keeps_join_semantics(spark):
     )
     assert K.daily_user_sum(t, P).collect()[0][0] == 8
     assert [(r.day, r.value) for r in S.daily_users(t, P).collect()] == [(d(9), 8)]
+
+
+def test_trend_skips_days_without_value(spark):
+    import datetime as dt
+
+    from presswork.operators.series import trend_direction
+
+    day = dt.date(2024, 1, 1)
+    rows = [(day + dt.timedelta(i), v) for i, v in enumerate((10, 20, None, 40))]
+    fit = trend_direction(spark.createDataFrame(rows, "day date, value long"), day).first()
+    assert (fit.points, fit.slope, fit.intercept, fit.direction) == (3, 10.0, 10.0, "up")
