@@ -2,6 +2,7 @@
 
 import pytest
 
+from presswork.plans.catalog import all_entries
 from tests.conftest import SMALL_SF
 from tools.check_oracle import compare
 
@@ -11,7 +12,7 @@ KEYS = sorted(all_entries())
 
 
 def test_every_query_has_an_oracle():
-    assert set(se.oracle_sql()) == set(se.queries())
+    assert set(KEYS) <= set(se.oracle_sql()) and set(se.oracle_sql()) <= set(se.queries())
 
 
 @pytest.fixture(scope="module")
