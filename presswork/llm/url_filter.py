@@ -82,7 +82,7 @@ def _cells(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for order in range(ORDER + 1):
         if order:
             context = context + shifted[order]
-        salt = np.uint64(2 * order + 1) * np.uint64(0x9E3779B97F4A7C15)
+        salt = np.uint64((2 * order + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         grams.append(mix64(context + shifted[0] + salt) % np.uint64(BUCKETS))
         contexts.append(mix64(context + salt + np.uint64(1)) % np.uint64(BUCKETS))
     return np.array(grams, np.int64), np.array(contexts, np.int64)
