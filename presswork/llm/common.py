@@ -90,6 +90,23 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         start = end
 
 
+def groups(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.Table]:
+    """The groups of two rows or more in rows sorted by ``by``, one at a time."""
+    pending: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.concat_tables([*pending, pa.Table.from_batches([batch])])
+        marks = [table.column(c).to_numpy() for c in by]
+        cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+        for start, end in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+            if end - start > 1:
+                yield table.slice(start, end - start)
+        pending = [table.slice(cuts[-1] if len(cuts) else 0)]
+    if pending and pending[0].num_rows > 1:
+        yield pending[0]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit words (the finaliser of the public splitmix64 generator)."""
     x = x.astype(np.uint64, copy=True)

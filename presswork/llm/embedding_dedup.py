@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import components, map_batches, mix64, pick, saved
+from presswork.llm.common import components, groups, map_batches, mix64, pick, saved
 
 COSINE = 0.95
 WIDTH = 2.0
@@ -68,8 +68,9 @@ class Hashes:
         return mix64(sums + salt[None, :]).view(np.int64)
 
 
-def unit_vectors(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def unit_vectors(column: pa.Array) -> np.ndarray:
+    """The rows of a list column (all of one length, not zero) at length 1, in double precision."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -88,7 +89,7 @@ def _hash_classes(k: int, tables: int):
             for dim, at in _by_length(batch.column("embedding")):
                 hashes = known.setdefault(dim, Hashes(dim, k, tables))
                 for part in np.array_split(at, -(-len(at) // 512)):
-                    unit = unit_vectors(batch.column("embedding").take(pa.array(part)).to_pylist())
+                    unit = unit_vectors(batch.column("embedding").take(pa.array(part)))
                     keys = hashes.keys(unit)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], tables)), pa.array(keys.ravel()),
                                                       pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part)))],
@@ -96,17 +97,18 @@ def _hash_classes(k: int, tables: int):
     return run
 
 
-def _compare(a: np.ndarray, b: np.ndarray, ka: np.ndarray, kb: np.ndarray, table: int, same: bool,
-             cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Linked pairs (i, j) of two blocks, and which of them count here: those of no earlier table."""
-    dots = a @ b.T
-    i, j = np.nonzero(dots >= cosine)
-    if same:
-        i, j = i[i < j], j[i < j]
-    counts = np.ones(len(i), bool)
-    for part in np.array_split(np.arange(len(i)), -(-max(1, len(i)) // 100_000)):
-        counts[part] = ~(ka[i[part], :table] == kb[j[part], :table]).any(axis=1)
-    return i, j, counts
+def _linked(a: np.ndarray, b: np.ndarray, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of two blocks with the cosine; within one block each pair once."""
+    i, j = np.nonzero(a @ b.T >= cosine)
+    return (i[i < j], j[i < j]) if same else (i, j)
+
+
+def _first_met(ka: np.ndarray, kb: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> np.ndarray:
+    """Which pairs share no key in a table before this one: they count here."""
+    out = np.ones(len(i), bool)
+    for part in np.array_split(np.arange(len(i)), -(-len(i) // 100_000)):
+        out[part] = ~(ka[i[part], :table] == kb[j[part], :table]).any(axis=1)
+    return out
 
 
 def _labels(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -127,19 +129,19 @@ def _meet(k: int, tables: int, cosine: float):
         ids, sizes = rows.column("id").to_numpy(), rows.column("copies").to_numpy()
         block = rows.column("block").to_numpy()
         left, right, table = (rows.column(c)[0].as_py() for c in ("left", "right", "slot"))
-        vectors = rows.column("embedding").to_pylist()
-        dims = np.array([len(v) for v in vectors])
+        vectors = rows.column("embedding").combine_chunks()
         links, label = np.zeros(len(ids), np.int64), ids.copy()
-        for dim in np.unique(dims):  # one, but for colliding keys
-            at = np.flatnonzero(dims == dim)
+        for dim, at in _by_length(vectors):  # one length, but for colliding keys
             x, y = at[block[at] == left], at[block[at] == right]
             if not len(x) or not len(y):
                 continue
-            hashes = known.setdefault(int(dim), Hashes(int(dim), k, tables))
-            units = {i: u for i, u in zip(at, unit_vectors([vectors[i] for i in at]), strict=True)}
-            a, b = np.array([units[i] for i in x]), np.array([units[i] for i in y])
-            ka = hashes.keys(a)
-            i, j, counts = _compare(a, b, ka, ka if left == right else hashes.keys(b), table, left == right, cosine)
+            a = unit_vectors(vectors.take(pa.array(x)))
+            b = a if left == right else unit_vectors(vectors.take(pa.array(y)))
+            i, j = _linked(a, b, left == right, cosine)
+            if not len(i):
+                continue
+            hashes = known.setdefault(dim, Hashes(dim, k, tables))
+            counts = _first_met(hashes.keys(a), hashes.keys(b), i, j, table)
             np.add.at(links, x[i[counts]], sizes[y[j[counts]]])
             np.add.at(links, y[j[counts]], sizes[x[i[counts]]])
             label = _labels(len(ids), x[i], y[j], label)
@@ -151,19 +153,9 @@ def _meet(k: int, tables: int, cosine: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, Hashes] = {}
-        pending: list[pa.Table] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.concat_tables([*pending, pa.Table.from_batches([batch])])
-            marks = [table.column(c).to_numpy() for c in ("key", "left", "right")]
-            cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
-            for start, end in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
-                if end - start > 1 and (out := group(table.slice(start, end - start), known)) is not None:
-                    yield out
-            pending = [table.slice(cuts[-1] if len(cuts) else 0)]
-        if pending and pending[0].num_rows > 1 and (out := group(pending[0], known)) is not None:
-            yield out
+        for rows in groups(batches, ["key", "left", "right"]):
+            if (out := group(rows, known)) is not None:
+                yield out
 
     return run
 
