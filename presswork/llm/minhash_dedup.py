@@ -12,10 +12,11 @@ full shingle sets confirm what is left.
    posterior probability of ``THRESHOLD`` or more falls below ``MISS``.
 4. Survivors are verified on the full sets in two waves: each document's most similar partner first;
    then, of the rest, only the pairs that still lie in different components.
-5. What pivots did not decide is decided pair by pair: in each bucket of four or more, the members
-   outside the bucket's largest component meet every member of another component (steps 3 and 4
-   again). So a pair that shares a band is either verified or already connected: no link that
-   could join two components is lost, and a group of copies costs no more than its size.
+5. What pivots did not decide is decided in the buckets that still hold several components: they
+   are cut into blocks of bounded size, every two blocks meet in a group with their signatures and
+   sets, and pairs of different components are tested and verified there (steps 3 and 4) as
+   matrices; only links leave the group. So a pair that shares a band is either verified or already
+   connected: no link that could join two components is lost, and no table holds all pairs.
 
 A pair at similarity exactly 0.75 shares no band with probability (1 - 0.75^5)^40 = 2e-5, more
 similar ones far less. All tables between steps are files in the shared checkpoint folder.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import (LOWER, Words, byte_set, components, map_batches, mix64, pick, random_odd, saved,
+from presswork.llm.common import (LOWER, Words, byte_set, components, groups, map_batches, mix64, pick, random_odd, saved,
                                   slices, string_arrays)
 
 SHINGLE = 5
@@ -45,6 +46,8 @@ BANDS, ROWS = 40, 5
 BATCH = 20
 #: Largest posterior probability of a qualifying similarity at which a pair is given up.
 MISS = 1e-6
+#: Members of a bucket that meet in one group at most (twice), and shingles compared at a time.
+BLOCK, COLUMNS = 512, 4096
 #: Everything but space and the control characters 9 to 13.
 WORD_BYTES = byte_set(lambda b: b != 32 and not 9 <= b <= 13)
 
@@ -219,9 +222,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = saved(edges.union(_links(_apart(survivors, labels), sets)), "links")
     labels = saved(components(edges), "labels")
 
-    edges2 = _residue(members, labels, reps, rows, sets, touched)
-    if edges2 is not None:
-        labels = saved(components(edges.union(edges2)), "labels")
+    rest = _residue(members, labels, reps, rows)
+    if not rest.isEmpty():
+        labels = saved(components(edges.union(rest)), "labels")
 
     of_class = classes.join(labels, classes.id == labels.node, "left").select(
         F.col("class").alias("c"), F.coalesce("component", "id").alias("component"))
@@ -231,33 +234,90 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _residue(members: DataFrame, labels: DataFrame, reps: DataFrame, rows: DataFrame, sets: DataFrame,
-             touched: DataFrame) -> DataFrame | None:
-    """Links among bucket members that no pivot has joined: the members outside a bucket's largest
-    component against the members of other components. Buckets of two or three are all pivots."""
-    large = members.filter("size > 3").select("key", "id", "p", "q")
-    labelled = large.join(labels.toDF("id", "component"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
-    # a representative a component is not enough: any member may hold the link
-    labelled = saved(labelled, "members")
-    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component"))
-                                    .alias("main")).filter("parts > 1")
-    open_members = labelled.join(main, "key")
-    outside = open_members.filter("component <> main and id <> p and id <> q").select(
-        "key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    others = open_members.filter("id <> p and id <> q").select("key", F.col("id").alias("y"),
-                                                               F.col("component").alias("cy"))
-    pairs = (outside.join(others, "key").filter("cx <> cy")
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    survivors = _survivors(pairs, reps)
-    if survivors.isEmpty():
-        return None
-    need = survivors.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    missing = need.join(touched, "id", "left_anti")
-    texts = rows.join(missing, rows.doc_id == missing.id, "left_semi").dropDuplicates(["doc_id"])
-    more = saved(sets.union(map_batches(texts, _sets, "id bigint, set binary")), "sets")
-    return saved(_links(survivors, more), "links")
+def _residue(members: DataFrame, labels: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links among bucket members that no pivot has joined, for buckets with several components.
+
+    Such a bucket is cut into blocks, and two blocks meet in a group that holds their signatures and
+    full sets: pairs are tested and verified there as matrices and only links between components
+    leave it. Buckets of two or three are all pivots."""
+    large = members.filter("size > 3").select("key", "id")
+    labelled = saved(large.join(labels.toDF("id", "component"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id")), "members")
+    several = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max(
+        "component").alias("most")).filter("least <> most").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    opened = saved(labelled.join(several, "key"), "open-members")
+    need = opened.select("id").distinct()
+    texts = rows.join(need.hint("shuffle_hash"), rows.doc_id == need.id, "left_semi").dropDuplicates(["doc_id"])
+    held = (map_batches(texts, _sets, "id bigint, set binary").join(reps.select("id", "signature"), "id"))
+    placed = (opened.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("id", "component", "key", "block", F.least("block", "other").alias("left"),
+                      F.greatest("block", "other").alias("right")))
+    meeting = (placed.join(saved(held, "open-sets"), "id").repartition("key", "left", "right")
+               .sortWithinPartitions("key", "left", "right"))
+    return saved(map_batches(meeting, _meet, "a bigint, b bigint"), "links")
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the blocks of every (key, left, right) in rows sorted by these columns."""
+    for rows in groups(batches, ["key", "left", "right"]):
+        block = rows.column("block").to_numpy()
+        left, right = rows.column("left")[0].as_py(), rows.column("right")[0].as_py()
+        x, y = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        ids, component = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+        if len(x) and len(y):
+            sets = [np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()]
+            signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
+            i, j = _candidates(signatures, component, rows.column("key")[0].as_py(), x, y, left == right)
+            at = _verified(sets, i, j)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i[at]], ids[j[at]])),
+                                                  pa.array(np.maximum(ids[i[at]], ids[j[at]]))], names=["a", "b"])
+
+
+def _candidates(signatures: np.ndarray, component: np.ndarray, key: int, x: np.ndarray, y: np.ndarray, same: bool
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two blocks in different components that pass the Bayesian test and meet here first."""
+    i, j = (m.ravel() for m in np.meshgrid(x, y, indexing="ij"))
+    use = component[i] != component[j]
+    if same:
+        use &= i < j
+    i, j = i[use], j[use]
+    matches = np.zeros(len(i), np.int64)
+    for upto, needed in least_matches():
+        part = signatures[:, upto - BATCH:upto]
+        for c in range(BATCH):
+            matches += part[i, c] == part[j, c]
+        use = matches >= needed
+        i, j, matches = i[use], j[use], matches[use]
+    keys = band_keys(signatures)
+    band = int(np.argmax(keys[x[0]] == key)) if len(x) else 0
+    first = np.ones(len(i), bool)
+    for b in range(band):
+        first &= keys[i, b] != keys[j, b]
+    return i[first], j[first]
+
+
+def _verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs reach the similarity on the full sets. Shared shingles become columns of a 0/1
+    matrix, whose products are the intersections, ``COLUMNS`` shingles at a time."""
+    if not len(i):
+        return np.zeros(0, np.int64)
+    used, slot = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = slot[:len(i)], slot[len(i):]
+    sizes = np.array([len(sets[u]) for u in used])
+    owner = np.repeat(np.arange(len(used)), sizes)
+    shingle, column, seen = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    number = np.cumsum(seen > 1) - 1
+    owner, column = owner[shared], number[column[shared]]
+    common = np.zeros(len(i), np.int64)
+    for start in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+        use = (column >= start) & (column < start + COLUMNS)
+        matrix = np.zeros((len(used), COLUMNS), np.float32)
+        matrix[owner[use], column[use] - start] = 1
+        common += (matrix @ matrix.T).astype(np.int64)[i, j]
+    return np.flatnonzero(100 * common >= THRESHOLD_PERCENT * (sizes[i] + sizes[j] - common))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
