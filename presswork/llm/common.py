@@ -173,34 +173,41 @@ LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for every node of an edge.
 
-    Alternates two joins-and-minimum steps until nothing changes: every node hands its larger
-    neighbours to its smallest one, then its smaller neighbours. Each round is written to the
-    shared folder, so no lineage grows and nothing is gathered anywhere; rounds grow with the
-    logarithm of the longest path. Sums over a node's neighbours are partial, the way back is a join.
+    Alternates two joins-and-minimum steps until every component is a star around its smallest
+    node: every node hands its larger neighbours to its smallest one, then its smaller neighbours.
+    Each step is written to the shared folder, so no lineage grows and nothing is gathered anywhere;
+    rounds grow with the logarithm of the longest path. Sums over a node's neighbours are partial,
+    the way back is a join.
     """
-    now = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                .filter("a <> b").distinct(), label)
-    before = None
+    now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select(
             "n", F.least("n", "m").alias("m"))
-        large = (both.join(least, both.a == least.n).filter("b > a").select(F.col("m").alias("a"), "b")
-                 .filter("a <> b").distinct())
-        large = saved(large, label)
+        large = saved(both.join(least, both.a == least.n).filter("b > a").select(F.col("m").alias("a"), "b")
+                      .filter("a <> b"), label)
         # here a < b: hand every smaller neighbour of b to its smallest
         least = large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
         small = large.join(least, large.b == least.n).select(
             F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
         now = saved(small.distinct(), label)
-        after = now.agg(F.count("*"), F.sum(F.expr("xxhash64(a, b)").cast("decimal(38,0)"))).first()
-        if after == before:
+        ends = now.select(F.col("a").alias("n"), F.lit(0).alias("below")).union(now.select("b", F.lit(1)))
+        unsettled = ends.groupBy("n").agg(F.sum("below").alias("above"), F.min("below").alias("least")).filter(
+            "above > 1 or (above = 1 and least = 0)")
+        if unsettled.agg(F.count("*")).first()[0] == 0:
             break
-        before = after
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
         now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after ``links`` (a, b) between components, or nodes that no
+    label names yet, have joined them: only the links are walked again."""
+    new = components(links).toDF("old", "new")
+    moved = labels.join(new, labels.component == new.old, "left").select("node", F.coalesce("new", "component").alias("component"))
+    return moved.union(new).groupBy("node").agg(F.min("component").alias("component"))
+
+
 def rename_all(df: DataFrame, prefix: str = "c") -> DataFrame:
     return df.toDF(*[f"{prefix}{i}" for i in range(len(df.columns))])
 

@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import (LOWER, Words, byte_set, components, groups, map_batches, mix64, pick, random_odd, saved,
-                                  slices, string_arrays)
+from presswork.llm.common import (LOWER, Words, byte_set, components, groups, map_batches, merged, mix64, pick, random_odd,
+                                  saved, slices, string_arrays)
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 75
@@ -158,7 +158,7 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets reach the similarity: 100 x intersection >= 75 x union."""
+    """(la, lb) of the pairs whose full sets reach the similarity: 100 x intersection >= 75 x union."""
     for batch in batches:
         keep = []
         for i, (x, y) in enumerate(zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)):
@@ -167,7 +167,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if 100 * common >= THRESHOLD_PERCENT * (len(x) + len(y) - common):
                 keep.append(i)
         at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column("la").take(at), batch.column("lb").take(at)], names=["a", "b"])
 
 
 def _survivors(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -181,15 +181,16 @@ def _survivors(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    with_a = pairs.select("a", "b").join(sets.toDF("a", "xa"), "a")
-    return map_batches(with_a.join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb"), _confirm,
-                       "a bigint, b bigint")
+    """Links (a, b) between the components la and lb of confirmed pairs (a, b, la, lb)."""
+    with_a = pairs.join(sets.toDF("a", "xa"), "a")
+    return saved(map_batches(with_a.join(sets.toDF("b", "xb"), "b").select("la", "lb", "xa", "xb"), _confirm,
+                             "a bigint, b bigint"), "links")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components so far (an unlabelled node is its own)."""
-    out = (pairs.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left"))
-    return out.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
+    """Pairs whose ends lie in different components la and lb so far (an unlabelled node is its own)."""
+    out = pairs.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
+    return out.select("a", "b", F.coalesce("ca", "a").alias("la"), F.coalesce("cb", "b").alias("lb")).filter("la <> lb")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -217,14 +218,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = saved(map_batches(texts, _sets, "id bigint, set binary"), "sets")
     ends = survivors.select("a", "b", "matches", F.explode(F.array("a", "b")).alias("id"))
     best = ends.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("matches", F.xxhash64("a", "b"))).alias("p"))
-    edges = saved(_links(best.select("p.a", "p.b").distinct(), sets), "links")
-    labels = components(edges)
-    edges = saved(edges.union(_links(_apart(survivors, labels), sets)), "links")
-    labels = saved(components(edges), "labels")
-
-    rest = _residue(members, labels, reps, rows)
-    if not rest.isEmpty():
-        labels = saved(components(edges.union(rest)), "labels")
+    first = best.select("p.a", "p.b").distinct()
+    labels = saved(components(_links(first.withColumns({"la": F.col("a"), "lb": F.col("b")}), sets)), "labels")
+    for links in (lambda: _links(_apart(survivors, labels), sets), lambda: _residue(members, labels, reps, rows)):
+        if not (found := links()).isEmpty():
+            labels = saved(merged(labels, found), "labels")
 
     of_class = classes.join(labels, classes.id == labels.node, "left").select(
         F.col("class").alias("c"), F.coalesce("component", "id").alias("component"))
@@ -238,8 +236,8 @@ def _residue(members: DataFrame, labels: DataFrame, reps: DataFrame, rows: DataF
     """Links among bucket members that no pivot has joined, for buckets with several components.
 
     Such a bucket is cut into blocks, and two blocks meet in a group that holds their signatures and
-    full sets: pairs are tested and verified there as matrices and only links between components
-    leave it. Buckets of two or three are all pivots."""
+    full sets: pairs are tested and verified there as matrices and only links (a, b) between
+    components leave it. Buckets of two or three are all pivots."""
     large = members.filter("size > 3").select("key", "id")
     labelled = saved(large.join(labels.toDF("id", "component"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")), "members")
@@ -264,15 +262,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = rows.column("block").to_numpy()
         left, right = rows.column("left")[0].as_py(), rows.column("right")[0].as_py()
         x, y = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        ids, component = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+        component = rows.column("component").to_numpy()
         if len(x) and len(y):
             sets = [np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()]
-            signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
+            signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(len(block), -1)
             i, j = _candidates(signatures, component, rows.column("key")[0].as_py(), x, y, left == right)
             at = _verified(sets, i, j)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i[at]], ids[j[at]])),
-                                                  pa.array(np.maximum(ids[i[at]], ids[j[at]]))], names=["a", "b"])
+                links = np.unique(np.sort(np.stack([component[i[at]], component[j[at]]]), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], names=["a", "b"])
 
 
 def _candidates(signatures: np.ndarray, component: np.ndarray, key: int, x: np.ndarray, y: np.ndarray, same: bool
