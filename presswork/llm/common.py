@@ -176,18 +176,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Alternates two joins-and-minimum steps until every component is a star around its smallest
     node: every node hands its larger neighbours to its smallest one, then its smaller neighbours.
     Each step is written to the shared folder, so no lineage grows and nothing is gathered anywhere;
-    rounds grow with the logarithm of the longest path. Sums over a node's neighbours are partial,
-    the way back is a join.
+    rounds grow with the logarithm of the longest path. Minima over a node's neighbours are
+    combined before the shuffle and written too, so that the way back is a join of two tables, in which Spark can split the
+    partition of a node with very many neighbours.
     """
     now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select(
-            "n", F.least("n", "m").alias("m"))
+        least = saved(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select(
+            "n", F.least("n", "m").alias("m")), label)
         large = saved(both.join(least, both.a == least.n).filter("b > a").select(F.col("m").alias("a"), "b")
                       .filter("a <> b"), label)
         # here a < b: hand every smaller neighbour of b to its smallest
-        least = large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
+        least = saved(large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m")), label)
         small = large.join(least, large.b == least.n).select(
             F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
         now = saved(small.distinct(), label)
