@@ -44,6 +44,8 @@ SHINGLE = 5
 THRESHOLD_PERCENT = 75
 BANDS, ROWS = 40, 5
 BATCH = 20
+#: Bytes of text that are turned into word arrays at a time: these take some fifty times as much.
+SLICE = 1 << 20
 #: Largest posterior probability of a qualifying similarity at which a pair is given up.
 MISS = 1e-6
 #: Members of a bucket that meet in one group at most (twice), and shingles compared at a time.
@@ -117,7 +119,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     permutations = _permutations()
     factors = random_odd(9, 2)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             sets = shingle_sets(part.column("text"))
             full = [i for i, s in enumerate(sets) if len(s)]
             signatures = np.array([signature(sets[i], permutations) for i in full], np.uint32).reshape(-1, BANDS * ROWS)
@@ -135,7 +137,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             sets = [s.tobytes() for s in shingle_sets(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "set"])
 

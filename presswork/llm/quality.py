@@ -30,6 +30,8 @@ from presswork.llm.common import (LOWER, Words, byte_set, map_batches, mix64, pi
 #: Documents whose posteriors train the scorer, and the number of hashed features.
 SAMPLE, FEATURES = 6000, 4096
 ROUNDS = 60
+#: Bytes of text that are turned into word arrays at a time: these take some fifty times as much.
+SLICE = 1 << 20
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
 LABELLERS = ("symbols", "bars", "capitals", "exclaims", "plain_words", "doubled_bytes", "repeated_words",
@@ -189,7 +191,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 words = Words(*string_arrays(part.column("text")), _WORD)
                 seen, n = np.unique(_patterns(votes(words)[words.count > 0]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n)], names=["pattern", "n"])
@@ -206,7 +208,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 words = Words(*string_arrays(part.column("text")), _WORD)
                 found = features(_words(part.column("text")))
                 keep = np.flatnonzero(words.count)
@@ -235,7 +237,7 @@ def score(docs: DataFrame, model: QualityModel, column: str = "probability") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, f"c{at}"):
+            for part in slices(batch, f"c{at}", SLICE):
                 p = held.value.probability(_words(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, from_pandas=True)],
                                                  names=[*part.schema.names, "p"])
