@@ -63,9 +63,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: Bytes of an Arrow batch, unless the session sets its own: a task holds one in the JVM and one in Python,
+#: also where rows are wide (pairs of full sets, long texts).
+BATCH_SETTING, BATCH_BYTES, SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` whose workers can import this package, in batches of bounded bytes."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(BATCH_SETTING, SPARK_DEFAULT) == SPARK_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 
