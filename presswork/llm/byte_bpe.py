@@ -11,7 +11,7 @@ Decoding: the ids of a document are cut into runs, distinct runs become rows (ru
 and an ordered aggregation over the join with the token table gives each run's bytes.
 
 A worker remembers the words it has encoded and the runs it has decoded, about ``MEMO_WORDS`` each;
-the memory only saves work, results never depend on it. Each task holds about ``SLICE_BYTES`` of text as arrays.
+the memory only saves work, results never depend on it. Each task holds about ``SLICE`` bytes of text as arrays.
 
 Edge cases: a null or empty text has no ids and decodes to no bytes; ids and texts of equal rows
 are equal; ids that are not in the vocabulary make decoding fail with their value; an empty table
@@ -38,7 +38,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of a word from which on the query for long words is used.
 LONG_WORD = 96
 #: Words a worker remembers, and words given to one query.
-MEMO_WORDS, QUERY_WORDS = 1_000_000, 60_000
+MEMO_WORDS, QUERY_WORDS = 300_000, 30_000
+#: Bytes of text that are split, encoded and decoded at a time.
+SLICE = 1 << 20
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
@@ -159,6 +161,10 @@ class Vocabulary:
         with open(path, "rb") as file:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, file)}
         self.ranks, self.memo, self.decoded = ranks, {}, {}
+        self.known = np.zeros(max(ranks.values()) + 1, bool)
+        self.known[list(ranks.values())] = True
+        self.after_blank = np.zeros(len(self.known), bool)  # tokens that start with a blank
+        self.after_blank[[r for t, r in ranks.items() if t[:1] == b" "]] = True
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         firsts, seconds, merged = [], [], []
@@ -225,8 +231,7 @@ class Vocabulary:
 
     def _join(self, runs: list[bytes]) -> list[bytes]:
         ids = np.frombuffer(b"".join(runs), "<u4")
-        known = np.fromiter(self.ranks.values(), np.uint32, len(self.ranks))
-        unknown = ids[~np.isin(ids, known)]
+        unknown = ids[(ids >= len(self.known)) | ~self.known[np.minimum(ids, len(self.known) - 1)]]
         if len(unknown):
             raise ValueError(f"not in the vocabulary: {unknown[0]}")
         run = np.repeat(np.arange(len(runs), dtype=np.int32), [len(r) // 4 for r in runs])
@@ -279,9 +284,7 @@ def decode_batch(ids: np.ndarray, ranges: np.ndarray, vocab: Vocabulary) -> list
     """The bytes of each range of ids. Runs begin at tokens that start with a blank and at texts."""
     if not len(ids):
         return [b""] * (len(ranges) - 1)
-    starts_word = np.zeros(max(int(ids.max()) + 1, max(vocab.ranks.values()) + 1), bool)
-    starts_word[[r for t, r in vocab.ranks.items() if t[:1] == b" "]] = True
-    begin = starts_word[ids]
+    begin = vocab.after_blank[np.minimum(ids, len(vocab.after_blank) - 1)]
     begin[ranges[:-1][np.diff(ranges) > 0]] = True
     cuts = np.append(np.flatnonzero(begin), len(ids))
     codes, distinct = _distinct(cuts * 4, ids.astype("<u4").view(np.uint8))
@@ -300,7 +303,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "ids") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for part in slices(batch, f"c{at}"):
+            for part in slices(batch, f"c{at}", SLICE):
                 ids, ranges = encode_batch(part.column(at), vocab)
                 lists = pa.ListArray.from_arrays(pa.array(ranges, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "ids"])
@@ -345,7 +348,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 ids, ranges = encode_batch(part.column("text"), vocab)
                 texts = decode_batch(ids, ranges, vocab)
                 raw = ids.astype("<u4").tobytes()
