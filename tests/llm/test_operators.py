@@ -210,6 +210,44 @@ def test_url_filter(spark):
     assert got[9][2:] == (None, "block") and got[None][:3] == ("", "", None) and got[120][3] == "allow"
 
 
+def test_url_scores_are_exact(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from presswork.llm.url_filter import BETA, ORDER, fit, judge
+
+    rnd = random.Random(5)
+    urls = [f"http://{'cheap-pills' if i % 3 == 0 else 'site'}{rnd.getrandbits(60):x}.de/{rnd.getrandbits(90):x}" for i in range(4000)]
+    seen, totals = (Counter(), Counter()), (Counter(), Counter())
+    for i, url in [*enumerate(urls), (1, urls[1])]:
+        for at in range(len(url)):
+            for k in range(ORDER + 1):
+                context = ("\0" * ORDER + url[:at])[-k:] if k else ""
+                seen[i % 3 == 0][k, context, url[at]] += 1
+                totals[i % 3 == 0][k, context] += 1
+    assert len(seen[0] + seen[1]) > 1 << 17
+
+    def wanted(url):
+        out = 0.0
+        for at in range(len(url)):
+            p = [1 / 256, 1 / 256]
+            for k in range(ORDER + 1):
+                context = ("\0" * ORDER + url[:at])[-k:] if k else ""
+                p = [(seen[c][k, context, url[at]] + BETA * p[c]) / (totals[c][k, context] + BETA) for c in (0, 1)]
+            out += math.log(p[1] / p[0])
+        return out / len(url)
+
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(9000, urls[1]), (9001, None), (9002, "")], "page_id long, url string")
+    got = {r.page_id: r for r in judge(pages).collect()}
+    assert len(got) == 4003 and got[9000].score == got[1].score and got[9001].score == got[9002].score == 0
+    assert all(abs(got[i].score - wanted(urls[i])) < 1e-6 for i in range(0, 4000, 7))
+    # by a join but for the most frequent, to the last bit
+    assert {r.page_id: r for r in judge(pages, broadcast_rows=300).collect()} == got
+    new = "http://other-casino.fr/x-y-z"  # with numbers that the model has not counted
+    assert abs(judge(spark.createDataFrame([(1, new)], "page_id long, url string"), fit(pages)).first().score - wanted(new)) < 1e-6
+
+
 def test_embeddings(spark):
     from presswork.llm.embedding_dedup import near_duplicates
 
