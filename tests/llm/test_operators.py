@@ -196,6 +196,26 @@ def test_page_text(spark):
         assert len(got) == 14 and got[98] == got[99] == "" and all(got[i].startswith(f"Own {i} text") for i in range(12))
 
 
+def test_page_text_of_copies(spark):
+    from presswork.llm.html_extract import extract
+
+    def article(title, i):
+        return f"<h1>{title}</h1><p>{f'long text {i} ' * 40}</p><h2>Overview</h2><ul><li>first<li>second</ul><blockquote>said</blockquote>"
+
+    # one article on all pages; own articles with common subheads; copies without an article element
+    rows = [(i, "http://a.org/x", f"<body><article>{article('One', 0)}</article></body>") for i in range(20)]
+    rows += [(20 + i, "http://b.org/x", f"<body><article>{article(f'T{i}', i)}</article></body>") for i in range(20)]
+    rows += [(40 + i, "http://c.org/x", f"<body><div>{article('One', 0)}</div></body>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bound in (10, -1):
+        got = {r.page_id: r.text for r in extract(pages, broadcast_rows=bound).collect()}
+        assert len(got) == 60
+        for i, text in got.items():
+            own = i - 20 if 20 <= i < 40 else 0
+            title = f"T{own}" if 20 <= i < 40 else "One"
+            assert text == f"{title} " + f"long text {own} " * 40 + "Overview first second said"
+
+
 def test_url_filter(spark):
     from presswork.llm.url_filter import judge
 
