@@ -216,6 +216,21 @@ def test_page_text_of_copies(spark):
             assert text == f"{title} " + f"long text {own} " * 40 + "Overview first second said"
 
 
+def test_page_text_after_icons():
+    from presswork.llm.html_extract import main_text
+
+    def text(inside):
+        return main_text(f"<body><article><p>one {inside} two</p><p>three</p></article></body>")
+
+    for icon in ('<svg class="i"/>', "<math/>", "<svg><path d='M0'/><title/><text>no</text></svg>", "<svg class='i'>", "<noscript>", "<template>",
+                 "<noscript><p>no</p></noscript>", "<template><b>no</b></template>", "<SVG/><svg><g/></svg>"):
+        assert text(icon) == "one two three", icon
+    assert text("<svg/> and <svg><title>no</title></svg>") == "one and two three"
+    assert text("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>") == "one x=1 two three"
+    assert main_text("<div><svg><p>kept</p></div><svg></svg><p>more</p>") == "kept more"
+    assert main_text("<p>a</p><script/>x") == "a"
+
+
 def test_url_filter(spark):
     from presswork.llm.url_filter import judge
 
