@@ -231,6 +231,25 @@ def test_page_text_after_icons():
     assert main_text("<p>a</p><script/>x") == "a"
 
 
+def test_page_text_under_names():
+    from presswork.llm.html_extract import main_text
+
+    body = "<h1>Title</h1><p>" + "some text " * 30 + "</p>"
+    want = "Title " + "some text " * 29 + "some text"
+    for before, after in (('<div class="content no-sidebar">', "</div>"), ('<div id="page-with-menu">', "</div>"), ("<form>", "</form>"),
+                          ('<article class="post has-comments">', "</article>"), ('<div class="content-sidebar"><article>', "</article></div>"),
+                          ('<form id="search"><main>', "</main></form>"), ('<article><div class="menu">', "</div></article>")):
+        page = f'<body><div class="site-footer">f</div><div id="cookie-notice">c</div>{before}{body}{after}<div class="ad-box">x</div></body>'
+        assert main_text(page) == want, before
+    card = "<article><h3>Card</h3></article>"
+    assert main_text(f"<body><div>{body}</div>{card}</body>") == want + " Card"
+    assert main_text(f'<body><div>{body}</div><div class="related">{card}</div></body>') == want
+    # comments of readers stay out, also where they are articles or longer than the page's own
+    comments = '<div id="comments">' + "<article><p>nice page, thanks</p></article>" * 90 + "</div>"
+    assert main_text(f"<body><article>{body}</article>{comments}</body>") == want
+    assert main_text('<div class="menu"><p>abc</p></div><div class="sidebar"><b>abcd</b></div>') == "abcd"
+
+
 def test_url_filter(spark):
     from presswork.llm.url_filter import judge
 
