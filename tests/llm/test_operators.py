@@ -161,6 +161,23 @@ def test_secrets(spark):
     assert clean.columns == odd.columns and clean.filter(f"text like '%{key}%'").count() == 1
 
 
+def test_secrets_without_blanks(spark):
+    from presswork.llm.secret_scan import candidates, find, fit, redact
+
+    key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    model = fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), findings=1500)
+    texts = ["password=Tr0ub4dor!x9Q#kz7 end", f"API_KEY={key}", f"export token={key}\nnext", f"x; auth_token={key}; path=/",
+             f"http://a.org/p?lang=en&token={key}&page=2", f"key={key}!tail%x", f"a?secret={key}&password={key}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in redact(rows, model).collect()}
+    assert clean == {0: "password=[SECRET] end", 1: "API_KEY=[SECRET]", 2: "export token=[SECRET]\nnext", 3: "x; auth_token=[SECRET]; path=/",
+                     4: "http://a.org/p?lang=en&token=[SECRET]&page=2", 5: "key=[SECRET]", 6: "a?secret=[SECRET]&password=[SECRET]"}
+    found = {(r.doc_id, texts[r.doc_id][r.start:r.start + r.n_chars]) for r in find(rows, model).collect()}
+    assert found == {(0, "Tr0ub4dor!x9Q#kz7"), (5, f"{key}!tail%x"), *((i, key) for i in (1, 2, 3, 4, 6))}
+    padded = "dGhpcyBpcyBhIGxvbmcgdmFsdWU="  # '=' at the end is no assignment
+    assert [padded[a:b] for a, b in candidates(padded)] == [padded]
+
+
 def test_chat_format(spark):
     from pyspark.sql import functions as F
 
