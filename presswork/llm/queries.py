@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import (byte_bpe, chat_format, decontaminate, embedding_dedup, html_extract, minhash_dedup, quality,
-                           secret_scan, token_store, url_filter)
+from presswork.llm import (byte_bpe, chat_format, decontaminate, embedding_dedup, html_extract, language_id, lexical_search,
+                           minhash_dedup, quality, run_detect, secret_scan, token_store, url_filter)
 from presswork.llm.common import read_table
 
 
@@ -54,11 +54,24 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_run_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_detect.report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_format, op2_html_extract, op3_minhash_dedup, op4_secret_scan, op5_quality, op6_url_filter, op7_byte_bpe,
-        op8_token_store, op9_decontaminate, op10_embedding_dedup)}
+        op8_token_store, op9_decontaminate, op10_embedding_dedup, op11_run_detect, op12_lexical_search, op13_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.DIGEST_SQL, "op9_decontaminate": decontaminate.REPORT_SQL}
+    return {"op1_chat_format": chat_format.DIGEST_SQL, "op9_decontaminate": decontaminate.REPORT_SQL,
+            "op12_lexical_search": lexical_search.SEARCH_SQL}
