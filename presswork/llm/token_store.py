@@ -12,9 +12,11 @@ manifest, written once, names the files that count. The manifest has one row a f
 
 Encoding: a text is cut into units at ASCII white space and between ASCII punctuation and letters
 (the tokenizer never joins across these); each distinct unit is encoded once by the tokenizers
-library, a worker remembers about ``MEMO_UNITS`` of them. Results do not depend on the memory.
+library; a worker remembers those of up to ``MEMO_UNIT`` bytes, ``MEMO_BYTES`` in all. Results do not
+depend on the memory. A unit is never divided: a text without blanks is one unit, encoded whole.
 
-Edge cases: a null or empty text is its end id alone; equal doc_ids stay in the order of their texts;
+Edge cases: a null or empty text is its end id alone; rows of equal doc_ids are ordered by their texts'
+hashes and may lie in several files;
 null doc_ids come first and are kept; control strings of the vocabulary are ordinary text; an empty
 table gives an empty manifest and result; other columns are never read.
 """
@@ -46,7 +48,10 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Ids in a frame, and documents in a frame of the index.
 FRAME_IDS, FRAME_DOCS = 1 << 18, 1 << 16
-MEMO_UNITS = 1_000_000
+#: Bytes of units and ids that a worker remembers, longest remembered unit, and what an entry takes beside its bytes.
+MEMO_BYTES, MEMO_UNIT, MEMO_OVERHEAD = 200 << 20, 256, 200
+#: Units in one call of the library.
+JOINED = 2048
 LEVEL = 3
 # Fixed values of the public seekable format: skippable frame, footer, and "checksums follow".
 SKIPPABLE, FOOTER, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -62,10 +67,11 @@ _NOT_LETTERS = (0xC397, 0xC3B7, 0xC4B0)
 _JOINT = b" \x02 "
 
 
-def split_units(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) of the units of all texts, and the number of units of each text."""
+def split_units(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the units of all texts begin, and the number of units of each text. A unit reaches to the
+    next one or to white space."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
     space, mark = _SPACE[data], _PUNCTUATION[data]
     after, before = np.append(data[1:], 0), np.append(0, data[:-1])
     before2 = np.concatenate(([0, 0], data[:-2]))[:len(data)]
@@ -77,12 +83,7 @@ def split_units(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     begin[offsets[:-1][np.diff(offsets) > 0]] = True
     begin &= ~space
     start = np.flatnonzero(begin)
-    # a unit ends before the next one or at the white space or text end that comes first
-    stops = np.flatnonzero(begin | space)
-    stops = np.union1d(stops, offsets[1:])
-    end = stops[np.searchsorted(stops, start, "right")]
-    counts = np.diff(np.searchsorted(start, offsets))
-    return start, end, counts
+    return start, np.diff(np.searchsorted(start, offsets))
 
 
 class Encoder:
@@ -95,6 +96,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
+        self.bytes = 0
         self.joint = self._ids([_JOINT.decode()])[0]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -103,46 +105,46 @@ class Encoder:
     def encode(self, units: list[bytes]) -> list[bytes]:
         """The ids of each unit as little-endian unsigned 32-bit numbers."""
         memo, joint = self.memo, self.joint[0]
-        new = [u for u in units if u not in memo]
-        alone = [u for u in new if b"\x02" in u or len(u) > 1000]
-        together = [u for u in new if not (b"\x02" in u or len(u) > 1000)]
-        for part in chunks(together, 256):
-            ids = np.array(self._ids([_JOINT.join(part).decode()])[0], np.uint32)
+        new = {u: b"" for u in units if u not in memo}
+        alone = [u for u in new if b"\x02" in u or len(u) > MEMO_UNIT]
+        together = [u for u in new if not (b"\x02" in u or len(u) > MEMO_UNIT)]
+        for part in chunks(together, JOINED):
+            ids = np.array(self._ids([_JOINT.join(part).decode()])[0], "<u4")
             cuts = np.flatnonzero(ids == joint)
             if len(cuts) == len(part) - 1:
-                raw = ids.astype("<u4").tobytes()
-                for unit, a, b in zip(part, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                    memo[unit] = raw[4 * a:4 * b]
+                raw = ids.tobytes()
+                for unit, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                    new[unit] = raw[4 * a:4 * b]
             else:  # the joint's id stands for something else too
                 alone += part
-        for unit, ids in zip(alone, self._ids([u.decode() for u in alone]), strict=True):
-            memo[unit] = np.array(ids, "<u4").tobytes()
-        out = [memo[u] for u in units]
-        if len(memo) > MEMO_UNITS:
+        for part in chunks(alone, JOINED):
+            for unit, ids in zip(part, self._ids([u.decode() for u in part]), strict=True):
+                new[unit] = np.array(ids, "<u4").tobytes()
+        out = [memo[u] if u in memo else new[u] for u in units]
+        for unit, ids in new.items():
+            if len(unit) <= MEMO_UNIT:
+                memo[unit] = ids
+                self.bytes += len(unit) + len(ids) + MEMO_OVERHEAD
+        if self.bytes > MEMO_BYTES:
             memo.clear()
+            self.bytes = 0
         return out
 
     def encode_batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each text's end id included, and the number of ids of each."""
         offsets, data = string_arrays(column)
-        start, end, counts = split_units(offsets, data)
-        sizes = end - start
-        own = np.cumsum(sizes)
-        at = np.repeat(start - (own - sizes), sizes) + np.arange(own[-1] if len(own) else 0)
+        start, counts = split_units(offsets, data)
+        # each unit with the white space up to the next one, which only the distinct ones lose
         array = pa.Array.from_buffers(pa.large_binary(), len(start), [
-            None, pa.py_buffer(np.concatenate(([0], own)).astype(np.int64)), pa.py_buffer(data[at])])
+            None, pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(data)])
         coded = array.dictionary_encode()
-        parts = [np.uint32(END_ID).tobytes(), *self.encode(coded.dictionary.to_pylist())]
+        parts = pa.array([np.uint32(END_ID).tobytes(), *self.encode([u.rstrip() for u in coded.dictionary.to_pylist()])],
+                         pa.large_binary())
         # an end id (code 0) after the units of each text
-        codes = np.insert(coded.indices.to_numpy().astype(np.int64) + 1, np.cumsum(counts), 0)
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        lengths = np.array([len(p) // 4 for p in parts], np.int64)
-        begins = np.cumsum(lengths) - lengths
-        each = lengths[codes]
-        ends = np.cumsum(each)
-        ids = flat[np.repeat(begins[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        marks = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts + 1)))]
-        return ids, np.diff(marks)
+        codes = np.insert(coded.indices.to_numpy() + 1, np.cumsum(counts), 0)
+        bounds, raw = string_arrays(parts.take(pa.array(codes)), pa.large_binary())
+        marks = bounds[np.concatenate(([0], np.cumsum(counts + 1)))] // 4
+        return raw.view("<u4"), np.diff(marks)
 
 
 @cache
@@ -279,8 +281,11 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([uri]), pa.array([n_docs], pa.int64()),
                                           pa.array([n_tokens], pa.int64())], names=["part", "uri", "n_docs", "n_tokens"])
 
-    ordered = pick(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = saved(map_batches(ordered, run, "part bigint, uri string, n_docs bigint, n_tokens bigint"), "token-manifest")
+    # equal ids are dealt out by text, equal texts by row, so that none of them lands in one task
+    keys = ("doc_id", "hash", "row")
+    rows = pick(docs, "doc_id", "text").withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    manifest = saved(map_batches(ordered.select("doc_id", "text"), run, "part bigint, uri string, n_docs bigint, n_tokens bigint"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

@@ -47,7 +47,7 @@ ITEMS = [(1, "cat"), (2, "the cat, the mat"), (3, None), (4, ""), (5, "nowhere")
          (7, "copies " * 50), (8, "x" * 20_000), (9, "a")]
 
 
-@pytest.mark.parametrize("block_chars", [2_000_000, 8])
+@pytest.mark.parametrize("block_chars", [2_000_000, 5_000])
 def test_odd_rows(spark, block_chars):
     from presswork.llm.lexical_search import search
 

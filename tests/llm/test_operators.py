@@ -343,6 +343,6 @@ def test_pipeline_and_registration(spark):
     from presswork.llm.queries import queries
 
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "secrets", "tokens"]
-    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 14))
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 100 < got.count() < 200
