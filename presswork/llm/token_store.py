@@ -105,26 +105,27 @@ class Encoder:
     def encode(self, units: list[bytes]) -> list[bytes]:
         """The ids of each unit as little-endian unsigned 32-bit numbers."""
         memo, joint = self.memo, self.joint[0]
-        new = {u: b"" for u in units if u not in memo}
-        alone = [u for u in new if b"\x02" in u or len(u) > MEMO_UNIT]
-        together = [u for u in new if not (b"\x02" in u or len(u) > MEMO_UNIT)]
+        out = list(map(memo.get, units))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        new = dict.fromkeys(units[i] for i in missing)
+        alone = [u for u in new if len(u) > MEMO_UNIT or b"\x02" in u]
+        together = [u for u in new if not (len(u) > MEMO_UNIT or b"\x02" in u)] if alone else list(new)
         for part in chunks(together, JOINED):
             ids = np.array(self._ids([_JOINT.join(part).decode()])[0], "<u4")
             cuts = np.flatnonzero(ids == joint)
             if len(cuts) == len(part) - 1:
-                raw = ids.tobytes()
-                for unit, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                    new[unit] = raw[4 * a:4 * b]
+                raw, ends = ids.tobytes(), (4 * cuts).tolist()
+                new.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)), strict=True))
             else:  # the joint's id stands for something else too
                 alone += part
         for part in chunks(alone, JOINED):
             for unit, ids in zip(part, self._ids([u.decode() for u in part]), strict=True):
                 new[unit] = np.array(ids, "<u4").tobytes()
-        out = [memo[u] if u in memo else new[u] for u in units]
-        for unit, ids in new.items():
-            if len(unit) <= MEMO_UNIT:
-                memo[unit] = ids
-                self.bytes += len(unit) + len(ids) + MEMO_OVERHEAD
+        for i in missing:
+            out[i] = new[units[i]]
+        kept = {u: ids for u, ids in new.items() if len(u) <= MEMO_UNIT} if alone else new
+        memo.update(kept)
+        self.bytes += sum(map(len, kept)) + sum(map(len, kept.values())) + MEMO_OVERHEAD * len(kept)
         if self.bytes > MEMO_BYTES:
             memo.clear()
             self.bytes = 0
@@ -138,7 +139,7 @@ class Encoder:
         array = pa.Array.from_buffers(pa.large_binary(), len(start), [
             None, pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(data)])
         coded = array.dictionary_encode()
-        parts = pa.array([np.uint32(END_ID).tobytes(), *self.encode([u.rstrip() for u in coded.dictionary.to_pylist()])],
+        parts = pa.array([np.uint32(END_ID).tobytes(), *self.encode(list(map(bytes.rstrip, coded.dictionary.to_pylist())))],
                          pa.large_binary())
         # an end id (code 0) after the units of each text
         codes = np.insert(coded.indices.to_numpy() + 1, np.cumsum(counts), 0)
