@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.functions.joins import broadcast_if_small
 from presswork.params import Settings
 
 
@@ -76,7 +75,8 @@ def tool_class(email, source, settings: Settings) -> Column:
 def authors_side(tables, settings: Settings, country: str | None = None) -> DataFrame:
     """Author lookup keyed by ``lower(email)``; filtered to one country when asked.
 
-    Broadcast only when the measured row count of ``authors`` is within the bound.
+    No hint: Spark broadcasts it by its bytes, known from its files or measured by AQE, and shuffles
+    both sides beyond the threshold. Building a plan starts no job.
     """
     a = tables.authors.select(
         F.lower(F.col("email")).alias("_author_key"),
@@ -85,7 +85,7 @@ def authors_side(tables, settings: Settings, country: str | None = None) -> Data
     )
     if country is not None:
         a = a.filter(F.upper(F.col("author_country")) == F.upper(F.lit(country)))
-    return broadcast_if_small(a, tables.row_count("authors"), settings.broadcast_max_rows)
+    return a
 
 
 def join_authors(df: DataFrame, email_col: str, tables, settings: Settings, country: str | None = None,

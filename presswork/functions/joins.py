@@ -1,4 +1,4 @@
-"""Join helpers: broadcast only behind a row-count check, shuffle otherwise."""
+"""Join helpers: a hint only where a side's size is fixed; the rest is Spark's choice by bytes."""
 
 from __future__ import annotations
 
@@ -6,15 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
-    """Hint a broadcast when ``rows`` (a measured count) is within ``max_rows``.
-
-    Beyond the bound the side is returned unchanged, so the planner shuffles both
-    sides (sort-merge join, split by AQE when one key is hot).
-    """
-    return F.broadcast(df) if rows <= max_rows else df
-
-
 def fixed_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a side whose size is fixed by definition (e.g. 25 nations, 5 regions)."""
     return F.broadcast(df)

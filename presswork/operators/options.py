@@ -63,11 +63,11 @@ def filter_countries(tables, period: Period) -> DataFrame:
 
 
 # B35
-def author_lookup(tables, period: Period, settings: Settings = DEFAULT) -> DataFrame:
+def author_lookup(tables, period: Period, settings: Settings = DEFAULT, choices: DataFrame | None = None) -> DataFrame:
     """One email per display name (the dropdown's name -> email map); the largest email wins,
-    rows without a name or an email are left out."""
+    rows without a name or an email are left out. ``choices`` is B32's frame where it is at hand."""
     return (
-        filter_authors(tables, period, settings).filter(present("display_name") & present("email_editor"))
+        (filter_authors(tables, period, settings) if choices is None else choices).filter(present("display_name") & present("email_editor"))
         .groupBy("display_name").agg(F.max("email_editor").alias("email"))
         .orderBy("display_name")
     )

@@ -265,7 +265,7 @@ def scope_for(editorial: DataFrame, period: Period, author: str) -> AuthorScope:
     return scope
 
 
-def clear_scopes() -> None:
-    """Unpersist every shared author scope."""
-    while _SCOPES:
-        _SCOPES.pop(next(iter(_SCOPES))).unpersist()
+def clear_scopes(editorial: DataFrame | None = None) -> None:
+    """Unpersist every shared author scope, or those of one event log."""
+    for key in [k for k, scope in _SCOPES.items() if editorial is None or scope.editorial is editorial]:
+        _SCOPES.pop(key).unpersist()

@@ -26,8 +26,14 @@ def _classified(tables, period, section, settings) -> DataFrame:
 
 
 def _metrics(notes: DataFrame, per_url: DataFrame, settings: Settings) -> DataFrame:
-    """Notes LEFT JOIN per-url traffic sums; a note published twice counts its traffic twice."""
-    j = notes.join(per_url, notes.story_url == per_url.article_url, "left")
+    """Notes LEFT JOIN per-url traffic sums; a note published twice counts its traffic twice.
+
+    A note without url meets no traffic. Its key is dealt out by the note and marked as no url, so that
+    such notes, however many, don't land in one task."""
+    keyed = notes.select("*", F.coalesce(F.col("story_url"), F.col("note_id").cast("string")).alias("join_url"),
+                         F.col("story_url").isNotNull().alias("has_url"))
+    sums = per_url.withColumn("is_url", F.lit(True))
+    j = keyed.join(sums, (keyed.join_url == sums.article_url) & (keyed.has_url == sums.is_url), "left")
     m = j.groupBy("source_class").agg(
         F.count_distinct("note_id").alias("notes"),
         F.sum("s_sessions").alias("sessions"),
@@ -45,6 +51,12 @@ def _metrics(notes: DataFrame, per_url: DataFrame, settings: Settings) -> DataFr
     ).orderBy(F.col("sessions").desc(), F.col("source_class").asc())
 
 
+def _of_urls(traffic: DataFrame, notes: DataFrame) -> DataFrame:
+    """The traffic rows of the notes' urls alone, cut down before they are summed."""
+    urls = notes.filter(F.col("story_url").isNotNull()).select("story_url").distinct()
+    return traffic.join(urls, traffic.article_url == urls.story_url, "left_semi")
+
+
 # B36
 def source_efficiency(tables, period: Period, filters: Filters = Filters(), settings: Settings = DEFAULT) -> DataFrame:
     """Class of each FIRST_PUBLISH row of the period with the Gold traffic of its url in the period.
@@ -56,6 +68,8 @@ def source_efficiency(tables, period: Period, filters: Filters = Filters(), sett
                      filters.country, always=False)
     notes = e.select("note_id", "story_url", tool_class("email_editor", "source", settings).alias("source_class"))
     g = tables.traffic_daily.filter(period.covers_date("date"))
+    if filters.section is not None or filters.country is not None:
+        g = _of_urls(g, notes)
     per_url = g.groupBy("article_url").agg(
         F.sum("visits").alias("s_sessions"), F.sum("pageviews").alias("s_pageviews"),
         F.sum("scrolls").alias("s_scroll"), F.sum("total_time_seconds").alias("s_time"),
@@ -69,7 +83,7 @@ def author_source_efficiency(tables, period: Period, filters: Filters, settings:
     owned = own.scope_for(tables.editorial, period, filters.author).published_notes
     e = _classified(tables, period, filters.section, settings).join(owned, "note_id", "left_semi")
     notes = e.select("note_id", "story_url", tool_class("email_editor", "source", settings).alias("source_class"))
-    s = tables.traffic_clean.filter(period.covers_date("event_date"))
+    s = _of_urls(tables.traffic_clean.filter(period.covers_date("event_date")), notes)
     per_url = s.groupBy("article_url").agg(
         F.sum("daily_sessions").alias("s_sessions"), F.sum("daily_pageviews").alias("s_pageviews"),
         F.sum("sessions_with_scroll").alias("s_scroll"), F.sum("total_engagement_seconds").alias("s_time"),

@@ -127,6 +127,7 @@ def author_publishers_productivity(tables, period: Period, filters: Filters, set
     authors_df = _per_author(e, tables, settings, None)
     pairs = fp.filter(F.col("story_url").isNotNull()).select("email_editor", "story_url").distinct()
     s = tables.traffic_clean.filter(period.covers_date("event_date"))
+    s = s.join(pairs.select("story_url"), s.article_url == pairs.story_url, "left_semi")
     per_url = s.groupBy("article_url").agg(
         F.sum("daily_sessions").alias("s_sessions"), F.sum("sessions_with_scroll").alias("s_scroll")
     )

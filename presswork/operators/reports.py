@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.functions.formatting import dotted_thousands, percent_text
+from presswork.functions.formatting import (compact_number, dotted_thousands, grouped_integer, minutes_text,
+                                           percent_text)
 from presswork.sources.sinks import write_csv
 
 # Column order of the article export.
@@ -16,6 +17,20 @@ ARTICLE_COLUMNS = (
 )
 
 
+# KPI cards: the columns of a KPI row and their texts.
+CARD_TEXTS = (("total_visits", "visits_text"), ("daily_user_sum", "users_text"), ("total_pageviews", "pageviews_text"),
+              ("total_scrolls", "scrolls_text"), ("visits_per_note", "visits_per_note_text"))
+CARD_COUNTS = (("active_creators", "creators_text"), ("active_publishers", "publishers_text"), ("published_notes", "notes_text"))
+
+
+def kpi_cards(kpis: DataFrame) -> DataFrame:
+    """The KPI row as the texts on its cards."""
+    return kpis.select(
+        [compact_number(c).alias(name) for c, name in CARD_TEXTS]
+        + [grouped_integer(c).alias(name) for c, name in CARD_COUNTS]
+        + [minutes_text("avg_time_minutes").alias("avg_time_text"), percent_text("scroll_rate").alias("scroll_rate_text")])
+
+
 # C12
 def article_export(articles: DataFrame) -> DataFrame:
     fmt = {

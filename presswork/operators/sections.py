@@ -79,8 +79,9 @@ def author_section_stats(tables, period: Period, filters: Filters, settings: Set
     notes = own.scope_for(tables.editorial, period, filters.author).published_notes
     e = _published_rows(tables, period, filters.section).join(notes, "note_id", "left_semi")
     urls = e.filter(F.col("story_url").isNotNull()).select(F.col("segment").alias("section"), "story_url").distinct()
-    # clean traffic summed per url first: the join meets one row per url, not one per day
-    per_url = tables.traffic_clean.filter(period.covers_date("event_date")).groupBy("article_url").agg(
+    # clean traffic of these urls alone, summed per url first: the join meets one row per url, not one per day
+    s = tables.traffic_clean.filter(period.covers_date("event_date"))
+    per_url = s.join(urls.select("story_url"), s.article_url == urls.story_url, "left_semi").groupBy("article_url").agg(
         F.sum("daily_sessions").alias("s_sessions"), F.sum("daily_pageviews").alias("s_pageviews"),
         F.sum("sessions_with_scroll").alias("s_scroll"))
     j = urls.join(per_url, urls.story_url == per_url.article_url)

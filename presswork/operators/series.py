@@ -1,16 +1,17 @@
 """Daily series (B17-B22) and their least-squares trend.
 
 Scale: a series is one grouping by day (at most one row per day of the period).
-The trend is fitted from five exact integer sums of one global aggregate and read
-back as scalar subqueries, so no row of the series meets another in a join.
+The trend is fitted from five exact integer sums over those few rows, carried beside each of them,
+so that neither the series nor its source is computed twice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from presswork.functions.columns import join_authors, scalar
+from presswork.functions.columns import join_authors
 from presswork.operators.kpis import clean_gold_pairs
 from presswork.operators import ownership as own
 from presswork.params import DAILY_MEASURES, FIRST_PUBLISH, Filters, Period, Settings
@@ -20,7 +21,8 @@ SERIES_METRICS = ("notes", "users") + DAILY_MEASURES
 
 
 def _ordered(df: DataFrame) -> DataFrame:
-    return df.orderBy("day")
+    """By day in one partition: a row per day of the period needs no range exchange (nor the sampling for it)."""
+    return df.repartition(1).sortWithinPartitions("day")
 
 
 # B17
@@ -102,38 +104,47 @@ def daily_series(tables, period: Period, filters: Filters = Filters(), settings:
     return (author_daily_traffic if author else daily_traffic)(tables, period, filters, settings, metric)
 
 
-def _fit(series: DataFrame, origin) -> DataFrame:
-    """Least-squares sums on exact integers over the days with a value: x = days since ``origin``, y = value."""
+def with_fit(series: DataFrame, origin) -> DataFrame:
+    """A (day, value) series with its least-squares fit beside every row: ``points``, ``slope`` and
+    ``intercept`` on exact integers over the days with a value; x = days since ``origin``, y = value.
+
+    The sums are taken over the whole series in the pass that puts it in order, so the series is
+    computed once. It has one row per day of the period, in one task, and stays in that order.
+    """
     x = F.datediff(F.col("day"), F.lit(origin)).cast("decimal(38,0)")
     y = F.col("value").cast("decimal(38,0)")
-    s = series.filter(F.col("value").isNotNull()).agg(
-        F.count(F.lit(1)).cast("decimal(38,0)").alias("n"),
-        F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"),
-    )
+    given = F.col("value").isNotNull()
+    whole = Window.partitionBy()
+
+    def total(c):
+        return F.sum(F.when(given, c)).over(whole)
+
+    s = series.repartition(1).select("day", "value", F.count("value").over(whole).cast("decimal(38,0)").alias("n"),
+                      total(x).alias("sx"), total(y).alias("sy"), total(x * x).alias("sxx"), total(x * y).alias("sxy"))
     den = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")).cast("double")
     slope = F.try_divide((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")).cast("double"), den)
     intercept = F.try_divide((F.col("sy") * F.col("sxx") - F.col("sx") * F.col("sxy")).cast("double"), den)
-    return s.select(F.col("n").cast("bigint").alias("points"), F.round(slope, 6).alias("slope"),
+    return s.select("day", "value", F.col("n").cast("bigint").alias("points"), F.round(slope, 6).alias("slope"),
                     F.round(intercept, 6).alias("intercept"))
 
 
 # C1
-def trend_line(series: DataFrame, origin) -> DataFrame:
+def trend_line(series: DataFrame, origin, fitted: DataFrame | None = None) -> DataFrame:
     """Adds the OLS fitted value ``trend`` to a (day, value) series; NULL with fewer than 2 days.
 
-    The fit is one global aggregate (partial sums per task) read back as scalar subqueries.
-    """
-    fit = _fit(series, origin)
+    ``fitted`` is the series' ``with_fit`` frame where it is at hand."""
     x = F.datediff(F.col("day"), F.lit(origin)).cast("double")
-    return series.select(
-        "day", "value", F.round(scalar(fit, "intercept") + scalar(fit, "slope") * x, 3).alias("trend")
-    ).orderBy("day")
+    rows = with_fit(series, origin) if fitted is None else fitted
+    return rows.select("day", "value", F.round(F.col("intercept") + F.col("slope") * x, 3).alias("trend")).sortWithinPartitions("day")
 
 
 # C2
-def trend_direction(series: DataFrame, origin) -> DataFrame:
+def trend_direction(series: DataFrame, origin, fitted: DataFrame | None = None) -> DataFrame:
     """One row: slope per day, intercept and 'up' when the slope is > 0, else 'down' (NULL without a fit)."""
-    fit = _fit(series, origin)
+    rows = with_fit(series, origin) if fitted is None else fitted
+    # the fit is the same on every row; a series without rows has 0 points and no fit
+    fit = rows.agg(F.coalesce(F.max("points"), F.lit(0).cast("bigint")).alias("points"), F.max("slope").alias("slope"),
+                   F.max("intercept").alias("intercept"))
     return fit.select(
         "points", "slope", "intercept",
         F.when(F.col("slope").isNull(), F.lit(None).cast("string"))

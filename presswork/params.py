@@ -97,8 +97,6 @@ class Settings:
     missing_text: str = "-"
     exclude_title_patterns: tuple[str, ...] = ()
     exclude_url_patterns: tuple[str, ...] = ("/homepage",)
-    # Lookup sides at most this many rows are broadcast; larger ones are shuffled.
-    broadcast_max_rows: int = 1_000_000
     top_k: int = 10
     article_limit: int = 100
     dimension_limit: int = 100

@@ -1,7 +1,7 @@
 """The dashboard page as one set of lazy DataFrames (the reference's page load).
 
 ``dashboard_page`` returns every result the page shows for a period and filters,
-in the order the page loads them; ``write_page`` writes them (parquet, plus CSV for
+the choices of its filters and the data date first; ``write_page`` writes them (parquet, plus CSV for
 the article export). With an author filter the author operators share one
 persisted ownership scope.
 """
@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from presswork.functions.formatting import date_label
 from presswork.operators import articles as A
 from presswork.operators import dimensions as D
 from presswork.operators import kpis as K
@@ -34,26 +37,65 @@ def resolve_period(tables, start=None, end=None, days: int = 7) -> Period:
     return Period(row.start_date, row.end_date)
 
 
+class Page(dict):
+    """The page's results by name, and the small frames that several of them read.
+
+    These are computed once, kept (memory, spilling to disk; rebuilt from lineage if an executor is lost)
+    and given back by ``release``, or at the end of a ``with`` block."""
+
+    def __init__(self):
+        super().__init__()
+        self.kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.kept[-1]
+
+    def release(self) -> None:
+        while self.kept:
+            self.kept.pop().unpersist()
+
+    def __enter__(self) -> "Page":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.release()
+
+
 def dashboard_page(tables, period: Period, filters: Filters = Filters(), settings: Settings = Settings(),
-                   series_metric: str = "visits", productivity_metric: str = "created") -> dict[str, DataFrame]:
+                   series_metric: str = "visits", productivity_metric: str = "created") -> Page:
+    """Every result of the page. What two results share (both periods' KPI rows, the fitted series,
+    the article and productivity tables, the choices of authors) is computed once."""
     author = filters.author is not None
+    page = Page()
     geo = (D.author_traffic_by_dimension(tables, period, filters, settings) if author
            else D.traffic_by_dimension_filtered(tables, period, filters, settings)
            if (filters.section or filters.country) else D.traffic_by_dimension(tables, period, settings))
-    series = S.daily_series(tables, period, filters, settings, series_metric)
-    articles = (A.author_top_articles if author else A.top_articles)(tables, period, filters, settings)
-    productivity = PV.productivity_for(tables, period, filters, settings, productivity_metric)
-    current = K.kpis(tables, period, filters, settings)
-    return {
-        "kpis": current,
-        "kpi_change": K.kpi_change(current, K.kpis_previous_period(tables, period, filters, settings)),
+    series = page.keep(S.with_fit(S.daily_series(tables, period, filters, settings, series_metric), period.start))
+    articles = page.keep((A.author_top_articles if author else A.top_articles)(tables, period, filters, settings))
+    productivity = page.keep(PV.productivity_for(tables, period, filters, settings, productivity_metric))
+    kpi_rows = page.keep(K.kpi_comparison(tables, period, filters, settings))
+    kpis = kpi_rows.filter(F.col("which") == "current").drop("which")
+    choices = page.keep(OPT.filter_authors(tables, period, settings))
+    last = OPT.last_data_date(tables)
+    page |= {
+        # what the filters offer
+        "filter_authors": choices,
+        "filter_sections": OPT.filter_sections(tables, period),
+        "filter_countries": OPT.filter_countries(tables, period),
+        "author_lookup": OPT.author_lookup(tables, period, settings, choices),
+        "last_data_date": last.select("last_date", date_label("last_date").alias("last_date_label")),
+        # results
+        "kpis": kpis,
+        "kpi_cards": REP.kpi_cards(kpis),
+        "kpi_change": K.kpi_change(kpi_rows),
         "top_publishers": D.with_country_code(
             (R.author_top_publishers if author else R.top_publishers)(tables, period, filters, settings)),
         "top_creators": D.with_country_code(
             (R.author_top_creators if author else R.top_creators)(tables, period, filters, settings)),
         "dimensions": D.translate_values(D.top_values_per_dimension(geo, settings)),
-        "daily_series": S.trend_line(series, period.start),
-        "trend": S.trend_direction(series, period.start),
+        "daily_series": S.trend_line(series, period.start, fitted=series),
+        "trend": S.trend_direction(series, period.start, fitted=series),
         "sections": REP.section_report(
             (SEC.author_section_stats if author else SEC.section_stats)(tables, period, filters, settings)),
         "source_efficiency": PR.rank_sources(
@@ -63,11 +105,12 @@ def dashboard_page(tables, period: Period, filters: Filters = Filters(), setting
         "articles": articles,
         "article_export": REP.article_export(articles),
     }
+    return page
 
 
-def write_page(page: dict[str, DataFrame], folder: str, parallelism: int = 4) -> None:
-    """Write every result; the writes are independent Spark jobs submitted from a few
-    threads so that their small stages overlap on the cluster."""
+def write_page(page: Page, folder: str, parallelism: int = 4) -> None:
+    """Write every result and release what the page kept; the writes are independent Spark jobs submitted
+    from a few threads so that their small stages overlap on the cluster."""
     from concurrent.futures import ThreadPoolExecutor
 
     def write(item):
@@ -77,7 +120,7 @@ def write_page(page: dict[str, DataFrame], folder: str, parallelism: int = 4) ->
         else:
             df.write.mode("overwrite").parquet(os.path.join(folder, name))
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    with page, ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         list(pool.map(write, page.items()))
 
 

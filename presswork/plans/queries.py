@@ -997,29 +997,17 @@ def percent_sql(x):
             f"CAST(CAST(ROUND(CAST({x} AS DECIMAL(38,10)) * 100, 2) AS DECIMAL(38,2)) AS VARCHAR) || '%' END")
 
 
-KPI_TEXT = (("total_visits", "visits_text"), ("daily_user_sum", "users_text"), ("total_pageviews", "pageviews_text"),
-            ("total_scrolls", "scrolls_text"), ("visits_per_note", "visits_per_note_text"))
-
-
-KPI_COUNTS = (("active_creators", "creators_text"), ("active_publishers", "publishers_text"),
-              ("published_notes", "notes_text"))
-
-
 def minutes_sql(x):
     return f"CAST(CAST(ROUND(CAST(COALESCE({x}, 0) AS DECIMAL(38,6)), 1) AS DECIMAL(38,1)) AS VARCHAR) || ' min'"
 
 
 @register("kpi_cards", _sqlq(lambda p: (
-    "SELECT " + ", ".join(f"{compact_sql('k.' + c)} AS {name}" for c, name in KPI_TEXT)
-    + ", " + ", ".join(f"format('{{:,}}', k.{c}) AS {name}" for c, name in KPI_COUNTS)
+    "SELECT " + ", ".join(f"{compact_sql('k.' + c)} AS {name}" for c, name in REP.CARD_TEXTS)
+    + ", " + ", ".join(f"format('{{:,}}', k.{c}) AS {name}" for c, name in REP.CARD_COUNTS)
     + f", {minutes_sql('k.avg_time_minutes')} AS avg_time_text"
     + f", {percent_sql('k.scroll_rate')} AS scroll_rate_text FROM ({b10_sql(p)}) k")))
 def _c9(t, p):
-    k = K.kpis(t, p.period, p.filters(), p.settings)
-    return k.select([FMT.compact_number(c).alias(name) for c, name in KPI_TEXT]
-                    + [FMT.grouped_integer(c).alias(name) for c, name in KPI_COUNTS]
-                    + [FMT.minutes_text("avg_time_minutes").alias("avg_time_text"),
-                       FMT.percent_text("scroll_rate").alias("scroll_rate_text")])
+    return REP.kpi_cards(K.kpis(t, p.period, p.filters(), p.settings))
 
 
 @register("section_report", _sqlq(lambda p: (

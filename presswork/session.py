@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # coalesce shuffle partitions to the advisory size, not to the default parallelism
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # a large side is pruned by a bloom filter of the filtered side's keys also where that side's scan,
+    # before its filter, is far above Spark's 10 MB
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100g",
 }
 
 

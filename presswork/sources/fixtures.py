@@ -15,10 +15,13 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.functions.joins import broadcast_if_small, fixed_broadcast
+from presswork.functions.joins import fixed_broadcast
 from presswork.params import Settings
 from presswork.sources.tables import SCHEMAS, Tables, conform
 
+#: The driver tables that the recipes read.
+SOURCES = ("events", "lineitem", "supplier", "customer", "nation", "region")
+
 # Fixed values of the fixture recipe.
 AGENCY_USER_MOD = 7      # user_id % 50 == 7 is the agency account
 EMPTY_USER_MOD = 9       # user_id % 50 == 9 has an empty editor
@@ -141,11 +144,10 @@ def traffic_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(df, SCHEMAS["traffic_clean"])
 
 
-def traffic_dimensions(spark: SparkSession, sf_dir: str, supplier_rows: int, max_rows: int) -> DataFrame:
+def traffic_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = fixed_broadcast(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     supplier_nation = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select("s_suppkey", "n_name")
-    supplier_nation = broadcast_if_small(supplier_nation, supplier_rows, max_rows)
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"
     )
@@ -180,11 +182,10 @@ def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derive_tables(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> Tables:
-    supplier_rows = _read(spark, sf_dir, "supplier").count()
     return Tables(
         editorial=editorial_activity(spark, sf_dir, settings),
         traffic_daily=traffic_daily(spark, sf_dir),
         traffic_clean=traffic_clean(spark, sf_dir),
-        traffic_dimensions=traffic_dimensions(spark, sf_dir, supplier_rows, settings.broadcast_max_rows),
+        traffic_dimensions=traffic_dimensions(spark, sf_dir),
         authors=authors(spark, sf_dir),
     )

@@ -7,6 +7,7 @@ import threading
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,10 +91,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 @dataclass
 class Tables:
-    """The five inputs as DataFrames, plus a cached row count per lookup table.
-
-    The row count is what decides whether a lookup side may be broadcast.
-    """
+    """The five inputs as DataFrames."""
 
     editorial: DataFrame
     traffic_daily: DataFrame
@@ -157,21 +155,35 @@ class Tables:
             traffic_dimensions=out["traffic_dimensions"],
             authors=out["authors"],
         )
-        # the lookup's size check, answered from the parquet footers of what was just written
-        tables._rows["authors"] = spark.read.parquet(os.path.join(root, "authors")).count()
         return tables
 
 
+def _files(spark: SparkSession, targets: list[str]) -> DataFrame:
+    """The files below the targets, without their contents."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(targets)
+    return found.select("path", "length", "modificationTime")
+
+
 def stored(spark: SparkSession, path: str, name: str) -> str | None:
-    """Where the table is stored below ``path`` (a folder or a file), on any file system Spark knows."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """Where the table is stored below ``path`` (a folder or a file), on any file system Spark reads."""
     for target in (f"{path.rstrip('/')}/{name}", f"{path.rstrip('/')}/{name}.parquet"):
-        place = jvm.org.apache.hadoop.fs.Path(target)
-        if place.getFileSystem(conf).exists(place):
+        try:
+            _files(spark, [target])
             return target
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
     return None
 
 
+def table_version(spark: SparkSession, targets: list[str]) -> tuple:
+    """Number, bytes, last change and a digest of all files of the tables: a table that is written anew,
+    appended to or loses a file has another version. One job over the listing, no data is read."""
+    return tuple(_files(spark, targets).agg(
+        F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"),
+        F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
+
 def read_tables(spark: SparkSession, path: str) -> Tables:
     """Read the five tables written as ``{path}/{name}`` (parquet file or folder)."""
     dfs = {}
@@ -189,7 +201,14 @@ def read_tables(spark: SparkSession, path: str) -> Tables:
     )
 
 
-_CACHE: dict = {}
+@dataclass
+class _Loaded:
+    targets: list[str]
+    version: tuple
+    tables: Tables
+
+
+_CACHE: dict[tuple, _Loaded] = {}
 _LOCK = threading.Lock()
 
 
@@ -197,23 +216,40 @@ def load_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tab
     """Tables for a folder: the five tables if written there, else derived from the
     driver tables by :mod:`presswork.sources.fixtures` and, with ``materialize``, written
     once to the shared checkpoint folder (traffic partitioned by date) so that every
-    query reads them as stored tables. One object per session and folder, so the
-    derivation and the lookup row counts happen once."""
+    query reads them as stored tables. One object per session, folder and version of its
+    files, so the derivation happens once; when the files change, the next call reads them anew
+    and what was kept of the old version is released."""
+    from presswork.operators.ownership import clear_scopes
+    from presswork.sources.fixtures import SOURCES, derive_tables
+
     configure(spark)
     key = (id(getattr(spark, "_jsparkSession", spark)), path if "://" in path else os.path.abspath(path), materialize)
     with _LOCK:
-        cached = _CACHE.get(key)
-        if cached is not None and cached.spark is not spark:
-            del _CACHE[key]  # a new session reusing an old session's id: derive again
-        if key not in _CACHE:
-            if all(stored(spark, path, n) for n in SCHEMAS):
-                _CACHE[key] = read_tables(spark, path)
-            else:
-                from presswork.sources.fixtures import derive_tables
+        held = _CACHE.get(key)
+        if held is not None and held.tables.spark is not spark:
+            held = None  # a new session reusing an old session's id: derive again
+        if held is not None and _version(spark, held.targets) == held.version:
+            return held.tables
+        if held is not None:
+            clear_scopes(held.tables.editorial)
+        targets = [stored(spark, path, n) for n in SCHEMAS]
+        if all(targets):
+            version = table_version(spark, targets)  # before the read: a change in between shows next time
+            tables = read_tables(spark, path)
+        else:
+            targets = [f"{path.rstrip('/')}/{n}.parquet" for n in SOURCES]
+            version = table_version(spark, targets)
+            derived = derive_tables(spark, path)
+            tables = derived.materialize() if materialize else derived
+        _CACHE[key] = _Loaded(targets, version, tables)
+        return tables
+
 
-                derived = derive_tables(spark, path)
-                _CACHE[key] = derived.materialize() if materialize else derived
-        return _CACHE[key]
+def _version(spark: SparkSession, targets: list[str]) -> tuple | None:
+    try:
+        return table_version(spark, targets)
+    except AnalysisException:  # a folder is gone: load_tables finds out what is there now
+        return None
 
 
 def clear_cache() -> None:

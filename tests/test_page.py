@@ -45,3 +45,40 @@ def test_cli_needs_both_dates():
 
     with pytest.raises(SystemExit):
         main(["--data", SMALL_SF, "--out", "/nonexistent", "--start", "2024-01-08"])
+
+
+def test_page_computes_shared_results_once_and_releases_them(spark, sf_tables):
+    from tests.test_plans import plan_lines
+
+    qp = QueryParams()
+    for f in (Filters(), Filters(author=qp.author)):
+        with dashboard_page(sf_tables, qp.period, f) as page:
+            kept = list(page.kept)
+            for group in (("kpis", "kpi_cards", "kpi_change"), ("daily_series", "trend"), ("articles", "article_export"),
+                          ("productivity", "insights"), ("filter_authors", "author_lookup")):
+                for name in group:
+                    lines = plan_lines(page[name])
+                    assert any("InMemoryTableScan" in x for x in lines), name
+                    page[name].collect()
+            assert all(df.is_cached for df in kept) and len(kept) == 5
+        assert not page.kept and not any(df.is_cached for df in kept)
+
+
+def test_page_equals_its_operators(spark, sf_tables):
+    """What the page shares is what each operator gives alone."""
+    from presswork.operators import kpis as K
+    from presswork.operators import options as OPT
+    from presswork.operators import reports as REP
+    from presswork.operators import series as S
+
+    qp = QueryParams()
+    for f in (Filters(section=qp.section), Filters(author=qp.author)):
+        with dashboard_page(sf_tables, qp.period, f) as page:
+            series = S.daily_series(sf_tables, qp.period, f)
+            alone = {"kpis": K.kpis(sf_tables, qp.period, f), "kpi_change": K.kpi_change_for(sf_tables, qp.period, f),
+                     "kpi_cards": REP.kpi_cards(K.kpis(sf_tables, qp.period, f)),
+                     "daily_series": S.trend_line(series, qp.period.start), "trend": S.trend_direction(series, qp.period.start),
+                     "author_lookup": OPT.author_lookup(sf_tables, qp.period)}
+            for name, df in alone.items():
+                assert sorted(map(tuple, page[name].collect())) == sorted(map(tuple, df.collect())), name
+            assert page["last_data_date"].columns == ["last_date", "last_date_label"]
