@@ -7,8 +7,13 @@ where the operator is a top-k report.
 
 from __future__ import annotations
 
+import dataclasses
+
+from pyspark.sql import functions as F
+
 from presswork.operators import kpis as K
 from presswork.operators import ownership as O
+from presswork.params import Filters
 from presswork.plans.catalog import QueryParams, register
 from presswork.plans.sqltext import lit, with_ctes
 
@@ -703,6 +708,24 @@ def _c5(t, p):
     return D.translate_values(D.traffic_by_dimension_filtered(t, p.period, p.filters(section=True, country=True), p.settings))
 
 
+# the checked data number their countries; with the names of the fixed table in that order they have display names
+def numbered_country_sql():
+    names = "[" + ", ".join(lit(k) for k in COUNTRY_TRANSLATIONS) + "]"
+    return (f"CASE WHEN b.dimension_type = 'geo' THEN {names}[CAST(regexp_extract(b.dimension_value, '[0-9]+') AS INTEGER) + 1] "
+            f"ELSE b.dimension_value END")
+
+
+@register("translate_country_names", _sqlq(lambda p: (
+    f"SELECT c.dimension_type, COALESCE(m.v, c.name) AS dimension_value, c.total_visits, c.article_count "
+    f"FROM (SELECT b.*, {numbered_country_sql()} AS name FROM ({b25_sql(p)}) b) c "
+    f"LEFT JOIN {values_table(COUNTRY_TRANSLATIONS)} ON c.dimension_type = 'geo' AND c.name = m.k")))
+def _c5n(t, p):
+    b = D.traffic_by_dimension(t, p.period, p.settings)
+    number = F.regexp_extract("dimension_value", "[0-9]+", 0).cast("int")
+    name = F.try_element_at(F.array(*map(F.lit, COUNTRY_TRANSLATIONS)), number + 1)
+    return D.translate_values(b.withColumn("dimension_value", F.when(F.col("dimension_type") == "geo", name).otherwise(F.col("dimension_value"))))
+
+
 @register("country_code", _sqlq(lambda p: (
     f"SELECT b.*, COALESCE(m.v, '') AS country_code FROM ({b13_sql(p)}) b "
     f"LEFT JOIN {values_table(COUNTRY_CODES)} ON UPPER(b.country) = m.k")))
@@ -752,6 +775,17 @@ def b28_sql(p, section=None, country=None):
             f"ORDER BY a.visits DESC, a.url ASC NULLS FIRST LIMIT {st.article_limit}")
 
 
+def excluding(p):
+    """Parameters whose boilerplate patterns, matched in any case, drop titles and urls of the checked data."""
+    return dataclasses.replace(p, settings=dataclasses.replace(
+        p.settings, exclude_title_patterns=("TITLE 1", "0"), exclude_url_patterns=("/homepage", "/N/2")))
+
+
+@register("top_articles_excluded", _sqlq(lambda p: b28_sql(excluding(p))))
+def _b28x(t, p):
+    return A.top_articles(t, p.period, p.filters(), excluding(p).settings)
+
+
 def b29_sql(p):
     of_note = " ".join(
         f"(SELECT max({c}) FROM editorial_activity x WHERE x.note_id = u.note_id{more}) AS {n}," for c, n, more in (
@@ -828,6 +862,15 @@ def _b37s(t, p):
     return PR.author_source_efficiency(t, p.period, p.filters(True, True, True), p.settings)
 
 
+#: A section of which the author has published notes in the checked data.
+OWN_SECTION = "section_4"
+
+
+@register("author_source_efficiency_own_section", _sqlq(lambda p: b36_sql(p, OWN_SECTION, author=True)))
+def _b37o(t, p):
+    return PR.author_source_efficiency(t, p.period, Filters(author=p.author, section=OWN_SECTION), p.settings)
+
+
 @register("rank_sources", _sqlq(lambda p: f"SELECT * FROM ({b36_sql(p)}) b ORDER BY sessions_per_note ASC NULLS FIRST, source_class"))
 def _c8(t, p):
     return PR.rank_sources(PR.source_efficiency(t, p.period, p.filters(), p.settings))
