@@ -217,6 +217,53 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return moved.union(new).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _odd_ids(rows: DataFrame, name: str) -> bool:
+    """Whether an id is null or occurs more than once."""
+    return not rows.groupBy(name).count().filter((F.col("count") > 1) | F.col(name).isNull()).isEmpty()
+
+
+def by_row(rows: DataFrame, name: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``find(rows)``, whose result has the id ``name``, ``component_id`` (the smallest id of the row's group)
+    and ``kept``, for ids of any kind, where ``find`` itself needs them unique and not null.
+
+    Rows with null or repeated ids are numbered for it, so that each is a node of its own; then a group
+    is named by the smallest id of its rows. A null id has a null component and is kept."""
+    if not _odd_ids(rows, name):
+        return find(rows)
+    numbered, found = _by_number(rows, name, find)
+    own = found.join(numbered.select("row", F.col(name).alias("own_id")), found[name] == F.col("row"))
+    least = own.groupBy(F.col("component_id").alias("group")).agg(F.min("own_id").alias("least"))
+    out = own.join(least, own.component_id == F.col("group"))
+    component = F.when(F.col("own_id").isNotNull(), F.col("least"))
+    changed = {name: F.col("own_id"), "component_id": component, "kept": F.coalesce(F.col("own_id") == component, F.lit(True))}
+    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in found.columns])
+
+
+def _by_number(rows: DataFrame, name: str, find: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The rows with a number each in ``row``, and what ``find`` says of them by these numbers."""
+    numbered = saved(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return numbered, saved(find(numbered.drop(name).withColumnRenamed("row", name)), "by-number")
+
+
+def one_of_each(table: DataFrame, name: str, payload: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``table``, with all its columns, without all but one row of each group that ``find`` names: the one of
+    the smallest id stays, of equal ids the first; a null id comes last."""
+    names = table.columns
+    plain = rename_all(table)
+    key, value = (plain.columns[names.index(n)] for n in (name, payload))
+    if not _odd_ids(plain.select(key), key):
+        gone = find(pick(table, name, payload)).filter("not kept").select(F.col(name).alias("gone"))
+        return plain.join(gone, plain[key] == F.col("gone"), "left_anti").toDF(*names)
+    numbered = saved(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = find(numbered.select(F.col("row").alias(name), F.col(value).alias(payload))).select(name, "component_id")
+    own = found.join(numbered.select("row", F.col(key).alias("own_id")), found[name] == F.col("row"))
+    # fixed-width minima: the smallest id, then the first of its rows
+    least = own.groupBy("component_id").agg(F.min("own_id").alias("least"))
+    first = (own.join(least, "component_id").filter(F.col("own_id").eqNullSafe(F.col("least")))
+             .groupBy("component_id").agg(F.min("row").alias("stays")))
+    return numbered.join(first, numbered.row == F.col("stays"), "left_semi").drop("row").toDF(*names)
+
+
 def rename_all(df: DataFrame, prefix: str = "c") -> DataFrame:
     return df.toDF(*[f"{prefix}{i}" for i in range(len(df.columns))])
 

@@ -10,11 +10,13 @@ A bucket is cut into blocks of about ``BLOCK`` vectors and every two blocks meet
 own, so a bucket with a third of all vectors is spread over many tasks of bounded memory. A group
 multiplies its two blocks and hands on link counts and, for components, each vector's smallest
 linked vector after in-group joining: never the pairs. A pair that shares several hashes counts in
-the first table only, which each group knows from the vectors themselves.
+the first table only: vectors carry the keys of all tables, and two blocks whose vectors all share an
+earlier key are not multiplied again.
 
 Edge cases: null, empty or zero vectors and vectors with null or non-finite parts link with nothing;
-vectors of different lengths are never compared; repeated rows count as vectors of their own (equal
-ids too); a null vec_id keeps its links but has a null component and kept true; an empty table
+vectors of different lengths are never compared; rows are vectors of their own, whether they repeat or
+share their id with other vectors; a null vec_id keeps its links but has a null component and
+kept true (to ``deduplicate`` it is a copy like any other, the last one); an empty table
 gives an empty result; ``label`` and further columns are never read.
 """
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import components, groups, map_batches, mix64, pick, saved
+from presswork.llm.common import by_row, components, groups, map_batches, mix64, one_of_each, pick, saved
 
 COSINE = 0.95
 WIDTH = 2.0
@@ -85,15 +87,14 @@ def _hash_classes(k: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, Hashes] = {}
         for batch in batches:
-            ids = batch.column("id").to_numpy()
             for dim, at in _by_length(batch.column("embedding")):
                 hashes = known.setdefault(dim, Hashes(dim, k, tables))
                 for part in np.array_split(at, -(-len(at) // 512)):
-                    unit = unit_vectors(batch.column("embedding").take(pa.array(part)))
-                    keys = hashes.keys(unit)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], tables)), pa.array(keys.ravel()),
-                                                      pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part)))],
-                                                     names=["id", "key", "slot"])
+                    own = batch.take(pa.array(part))
+                    keys = hashes.keys(unit_vectors(own.column("embedding")))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_arrays([own.column("id"), own.column("embedding"), own.column("copies"), lists],
+                                                     names=["id", "embedding", "copies", "keys"])
     return run
 
 
@@ -103,12 +104,22 @@ def _linked(a: np.ndarray, b: np.ndarray, same: bool, cosine: float) -> tuple[np
     return (i[i < j], j[i < j]) if same else (i, j)
 
 
-def _first_met(ka: np.ndarray, kb: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> np.ndarray:
-    """Which pairs share no key in a table before this one: they count here."""
-    out = np.ones(len(i), bool)
-    for part in np.array_split(np.arange(len(i)), -(-len(i) // 100_000)):
-        out[part] = ~(ka[i[part], :table] == kb[j[part], :table]).any(axis=1)
-    return out
+def _first_met(ka: np.ndarray, kb: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs share no key in the given tables. Most linked pairs share one of the first few and
+    are not looked at again."""
+    alone = np.arange(len(i))
+    for table in range(ka.shape[1]):
+        if not len(alone):
+            break
+        a, b = ka[:, table], kb[:, table]
+        alone = alone[a[i[alone]] != b[j[alone]]]
+    return alone
+
+
+def _all_met(ka: np.ndarray, kb: np.ndarray) -> bool:
+    """Whether all vectors of two blocks share a key in one of the given tables: every pair counted there."""
+    first = (ka[:1] == kb[:1]).ravel()
+    return bool(first.any() and ((ka[:, first] == ka[:1, first]).all(axis=0) & (kb[:, first] == kb[:1, first]).all(axis=0)).any())
 
 
 def _labels(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -123,28 +134,28 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray
             return label
 
 
-def _meet(k: int, tables: int, cosine: float):
+def _meet(cosine: float):
     """Compares the two blocks of every (key, left, right) in rows sorted by these columns."""
-    def group(rows: pa.Table, known: dict[int, Hashes]) -> pa.RecordBatch | None:
+    def group(rows: pa.Table) -> pa.RecordBatch | None:
         ids, sizes = rows.column("id").to_numpy(), rows.column("copies").to_numpy()
         block = rows.column("block").to_numpy()
         left, right, table = (rows.column(c)[0].as_py() for c in ("left", "right", "slot"))
         vectors = rows.column("embedding").combine_chunks()
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :table]
         links, label = np.zeros(len(ids), np.int64), ids.copy()
-        for dim, at in _by_length(vectors):  # one length, but for colliding keys
+        for _, at in _by_length(vectors):  # one length, but for colliding keys
             x, y = at[block[at] == left], at[block[at] == right]
-            if not len(x) or not len(y):
+            if not len(x) or not len(y) or _all_met(keys[x], keys[y]):
                 continue
             a = unit_vectors(vectors.take(pa.array(x)))
             b = a if left == right else unit_vectors(vectors.take(pa.array(y)))
             i, j = _linked(a, b, left == right, cosine)
+            counts = _first_met(keys[x], keys[y], i, j)
+            i, j = x[i[counts]], y[j[counts]]
             if not len(i):
                 continue
-            hashes = known.setdefault(dim, Hashes(dim, k, tables))
-            counts = _first_met(hashes.keys(a), hashes.keys(b), i, j, table)
-            np.add.at(links, x[i[counts]], sizes[y[j[counts]]])
-            np.add.at(links, y[j[counts]], sizes[x[i[counts]]])
-            label = _labels(len(ids), x[i], y[j], label)
+            links += np.bincount(i, sizes[j], len(ids)).astype(np.int64) + np.bincount(j, sizes[i], len(ids)).astype(np.int64)
+            label = _labels(len(ids), i, j, label)
         use = np.flatnonzero((links > 0) | (label != ids))
         if not len(use):
             return None
@@ -152,9 +163,8 @@ def _meet(k: int, tables: int, cosine: float):
                                           names=["id", "links", "reaches"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, Hashes] = {}
         for rows in groups(batches, ["key", "left", "right"]):
-            if (out := group(rows, known)) is not None:
+            if (out := group(rows)) is not None:
                 yield out
 
     return run
@@ -162,16 +172,20 @@ def _meet(k: int, tables: int, cosine: float):
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
-    rows = pick(vectors, "vec_id", "embedding")
+    return by_row(pick(vectors, "vec_id", "embedding"), "vec_id", lambda rows: _near_duplicates(rows, cosine, miss, block))
+
+
+def _near_duplicates(rows: DataFrame, cosine: float = COSINE, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """``near_duplicates`` of rows with unique ids."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = rows.filter(usable)
-    # nodes are numbered by their smallest vec_id; rows without an id get a negative stand-in
-    node = F.coalesce("vec_id", -F.abs(F.xxhash64("embedding") % (1 << 60)) - (1 << 61))
-    classes = saved(good.groupBy("embedding").agg(F.min(node).alias("id"), F.count("*").alias("copies")), "classes")
+    # nodes are numbered by the smallest vec_id of their rows
+    classes = saved(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     k, tables = parameters(classes.count(), cosine, miss)
-    keys = map_batches(classes.select("id", "embedding"), _hash_classes(k, tables), "id bigint, key bigint, slot int")
-    keys = saved(keys, "keys")
+    hashed = saved(map_batches(classes, _hash_classes(k, tables), "id bigint, embedding array<double>, copies bigint, keys array<bigint>"),
+                   "hashed")
+    keys = hashed.select("id", F.posexplode("keys").alias("slot", "key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     members = (keys.join(buckets, "key").withColumn("blocks", blocks)
@@ -179,28 +193,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .select("id", "key", "slot", "block", F.least("block", "other").alias("left"),
                        F.greatest("block", "other").alias("right")))
-    # ids of classes may repeat (one vec_id with two vectors): the vector goes with the class
-    held = members.join(classes.groupBy("id").agg(F.first("embedding").alias("embedding"), F.sum("copies").alias(
-        "copies")), "id")
+    held = members.join(hashed, "id")
     meeting = held.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    met = saved(map_batches(meeting, _meet(k, tables, cosine), "id bigint, links bigint, reaches bigint"), "met")
+    met = saved(map_batches(meeting, _meet(cosine), "id bigint, links bigint, reaches bigint"), "met")
     linked = components(met.filter("id <> reaches").select(F.col("id").alias("a"), F.col("reaches").alias("b")))
     counts = met.groupBy("id").agg(F.sum("links").alias("links"))
     of_class = (classes.join(counts, "id", "left").join(linked, F.col("id") == F.col("node"), "left")
-                .select(F.col("embedding").alias("vector"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
+                .select(F.col("embedding").alias("vector"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                         F.coalesce("component", "id").alias("component")))
-    out = rows.withColumn("vector", F.when(usable, F.col("embedding"))).select("vec_id", "vector").join(of_class, "vector", "left")
-    # a component of stand-ins alone has no vec_id
-    component = F.when(F.col("vec_id").isNotNull(), F.when(F.col("component") >= -(1 << 60), F.col("component")))
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce(component, "vec_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    found = good.join(of_class, good.embedding == F.col("vector")).select("vec_id", "n_links", "component")
+    alone = rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
+    return found.unionAll(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"),
+                                        (F.col("vec_id") == F.col("component")).alias("kept"))
 
 
 def deduplicate(vectors: DataFrame) -> DataFrame:
-    """The rows of ``vectors``, with all their columns, whose vec_id names their component."""
-    names = vectors.columns
-    plain = vectors.toDF(*[f"c{i}" for i in range(len(names))])
-    key = plain.columns[names.index("vec_id")]
-    gone = near_duplicates(vectors).filter("not kept").select("vec_id").distinct()
-    return plain.join(gone, plain[key] == gone.vec_id, "left_anti").toDF(*names)
+    """``vectors``, with all their columns: one row of every group, that of the smallest vec_id (of equal ids the
+    first, a null id last), and every row without links."""
+    return one_of_each(vectors, "vec_id", "embedding", _near_duplicates)

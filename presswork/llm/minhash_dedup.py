@@ -22,9 +22,10 @@ A pair at similarity exactly 0.75 shares no band with probability (1 - 0.75^5)^4
 similar ones far less. All tables between steps are files in the shared checkpoint folder.
 
 Edge cases: a text without words (null, empty, only white space) has an empty set, n_shingles 0 and
-no links; equal rows and equal texts are linked; a row with a null id gets n_shingles, a null
-component and kept true (nothing can name it); an empty table gives an empty result; other
-columns are never read.
+no links; equal rows and equal texts are linked; rows of one id are nodes of their own, whatever their
+texts; a row with a null id gets n_shingles, a null component and kept true (nothing can name it),
+but links others and is a copy like any other to ``deduplicate``; an empty table gives an empty
+result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import (LOWER, Words, byte_set, components, groups, map_batches, merged, mix64, pick, random_odd,
-                                  saved, slices, string_arrays)
+from presswork.llm.common import (LOWER, Words, by_row, byte_set, components, groups, map_batches, merged, mix64, one_of_each,
+                                  pick, random_odd, saved, slices, string_arrays)
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 75
@@ -197,10 +198,14 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
-    rows = pick(docs, "doc_id", "text")
+    return by_row(pick(docs, "doc_id", "text"), "doc_id", _near_duplicates)
+
+
+def _near_duplicates(rows: DataFrame) -> DataFrame:
+    """``near_duplicates`` of rows with unique ids."""
     sketched = saved(map_batches(rows, _sketch, "doc_id bigint, n_shingles bigint, class binary, "
                                                 "signature binary, bands array<bigint>"), "sketches")
-    named = sketched.filter("class is not null and doc_id is not null")
+    named = sketched.filter("class is not null")
     # one representative a class: its smallest id
     classes = saved(named.groupBy("class").agg(F.min("doc_id").alias("id")), "classes")
     reps = (named.join(classes.withColumnRenamed("class", "c"), (F.col("class") == F.col("c"))
@@ -229,9 +234,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_class = classes.join(labels, classes.id == labels.node, "left").select(
         F.col("class").alias("c"), F.coalesce("component", "id").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "class").join(of_class, F.col("class") == F.col("c"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.coalesce("component", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def _residue(members: DataFrame, labels: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -321,10 +325,6 @@ def _verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns: of every group of near copies the row of the smallest id
-    (of equal ids, all rows), and every row without links."""
-    names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    key = plain.columns[names.index("doc_id")]
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return plain.join(gone, plain[key] == gone.doc_id, "left_anti").toDF(*names)
+    """``docs`` with all its columns: one row of every group of near copies, that of the smallest id (of
+    equal ids the first, a null id last), and every row without links."""
+    return one_of_each(docs, "doc_id", "text", _near_duplicates)

@@ -36,7 +36,7 @@ def test_near_duplicates(spark, docs):
         assert of[i].n_shingles == want
     assert of[6].component_id == 5 and not of[6].kept and of[0].component_id == 0 and of[1].kept
     assert of[None].component_id is None and of[None].kept
-    assert deduplicate(docs).columns == docs.columns and deduplicate(docs).count() == docs.count() - 1
+    assert deduplicate(docs).columns == docs.columns and deduplicate(docs).count() == docs.count() - 2  # also one of two equal rows
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
