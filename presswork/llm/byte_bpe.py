@@ -3,17 +3,21 @@
 Encoding: a text is cut into words (the matches of the public split pattern, found with array
 operations on character classes). Distinct words become rows in DuckDB; a recursive query lays a
 word out as token positions, joins neighbouring tokens with the merge table, and contracts the
-leftmost pair of minimum rank of every word, until no word has a pair left. Long words (over
-``LONG_WORD`` bytes) take a query that contracts all disjoint occurrences of the minimum pair at
-once where that is provably the same, so their rounds grow with the number of merges, not bytes.
+leftmost pair of minimum rank of every word, until no word has a pair left. Words over ``LONG_WORD``
+bytes are first cut where no token of the vocabulary occurs across, which leaves pieces of some bytes of
+almost any text. What is still long, such as digits or one letter repeated, takes a query that contracts
+all disjoint occurrences of the minimum pair at once where that is the same, and is cut again after
+``ROUNDS`` rounds.
 
 Decoding: the ids of a document are cut into runs, distinct runs become rows (run, position, id),
 and an ordered aggregation over the join with the token table gives each run's bytes.
 
-A worker remembers the words it has encoded and the runs it has decoded, about ``MEMO_WORDS`` each;
-the memory only saves work, results never depend on it. Each task holds about ``SLICE`` bytes of text as arrays.
+A worker remembers the words it has encoded and the runs it has decoded, about ``MEMO_WORDS`` each of up to
+``LONG_WORD`` bytes or ids; the memory only saves work, results never depend on it. Each task holds about
+``SLICE`` bytes of text as arrays.
 
-Edge cases: a null or empty text has no ids and decodes to no bytes; ids and texts of equal rows
+Edge cases: a null or empty text has no ids and decodes to no bytes; a text without blanks is one word, encoded
+whole by its pieces (1 MB: some seconds); ids and texts of equal rows
 are equal; ids that are not in the vocabulary make decoding fail with their value; an empty table
 gives an empty result; other columns are kept out of the way by position.
 """
@@ -23,8 +27,9 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
+import ahocorasick
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -37,6 +42,8 @@ from presswork.llm.common import chunks, map_batches, pick, rename_all, slices,
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of a word from which on the query for long words is used.
 LONG_WORD = 96
+#: Rounds of contraction between two cuts of a long piece.
+ROUNDS = 8
 #: Words a worker remembers, and words given to one query.
 MEMO_WORDS, QUERY_WORDS = 300_000, 30_000
 #: Bytes of text that are split, encoded and decoded at a time.
@@ -63,29 +70,38 @@ with recursive state(round, word, toks) as (
 select word, arg_max(toks, round) as toks from state group by word
 """
 
-# every pair of the minimum rank at once where its token is marked disjoint, else the leftmost alone;
-# of a chain of overlapping pairs (a token repeated) the first, third, fifth ... are taken
+# every pair of the minimum rank at once (of a chain of overlapping ones, a token repeated, the first, third,
+# fifth ...) up to the first whose token makes a pair of lower rank with what stands or will stand beside it,
+# which is what one contraction after the other from the left would do; ``ROUNDS`` times
 _LONG = """
-with recursive state(word, toks) using key (word) as (
-  select word, toks from words
+with recursive state(word, round, toks) using key (word) as (
+  select word, 0, toks from words
   union
   (with pairs as (
-    select word, place, merged, safe, min(merged) over (partition by word) as least
-    from (select word, unnest(toks[:-2]) as a, unnest(toks[2:]) as b, unnest(range(1, len(toks))) as place
-          from state where len(toks) > 1) p
+    select word, place, merged, before, after, min(merged) over (partition by word) as least
+    from (select word, unnest(toks[:-2]) as a, unnest(toks[2:]) as b, unnest([-1] || toks[:-3]) as before,
+                 unnest(toks[3:] || [-1]) as after, unnest(range(1, len(toks))) as place
+          from state where len(toks) > 1 and round < {rounds}) p
     join merges on p.a = merges.first and p.b = merges.second),
   hits as (
-    select word, place, merged, safe, place - row_number() over (partition by word order by place) as chain
+    select word, place, merged, before, after, place - row_number() over (partition by word order by place) as chain
     from pairs where merged = least),
   turns as (select *, row_number() over (partition by word, chain order by place) as nth,
                    row_number() over (partition by word order by place) as ordinal from hits),
-  taken as (select word, place, merged from turns where (safe and nth % 2 = 1) or (not safe and ordinal = 1)),
-  tokens as (select word, unnest(toks) as tok, unnest(range(1, len(toks) + 1)) as place
+  checked as (
+    select t.word, t.place, t.merged, t.ordinal,
+           sum((x.merged < t.merged or y.merged < t.merged or z.merged < t.merged)::int) over (partition by t.word order by t.place) as lower
+    from turns t left join merges x on x.first = t.before and x.second = t.merged
+    left join merges y on y.first = t.merged and y.second = t.after
+    left join merges z on z.first = t.merged and z.second = t.merged
+    where t.nth % 2 = 1),
+  taken as (select word, place, merged from checked where ordinal = 1 or coalesce(lower, 0) = 0),
+  tokens as (select word, round, unnest(toks) as tok, unnest(range(1, len(toks) + 1)) as place
              from state where word in (select word from taken)),
-  kept as (select t.word, t.place, coalesce(h.merged, t.tok)::int as tok
+  kept as (select t.word, t.round, t.place, coalesce(h.merged, t.tok)::int as tok
            from tokens t left join taken h on h.word = t.word and h.place = t.place
            where not exists (select 1 from taken d where d.word = t.word and d.place + 1 = t.place))
-  select word, list(tok order by place) from kept group by word)
+  select word, max(round) + 1, list(tok order by place) from kept group by word)
 )
 select word, toks from state
 """
@@ -173,14 +189,8 @@ class Vocabulary:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     firsts.append(a), seconds.append(b), merged.append(rank)
-        late = set()  # tokens inside which an earlier token may begin or end anew
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                for part in (token[:cut], token[cut:]):
-                    if ranks.get(part, -1) > rank:
-                        late.add(ranks[part])
         merges = pa.table({"first": pa.array(firsts, pa.int32()), "second": pa.array(seconds, pa.int32()),
-                           "merged": pa.array(merged, pa.int64()), "safe": [m not in late for m in merged]})
+                           "merged": pa.array(merged, pa.int64())})
         tokens = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
         for name, table in (("merges", merges), ("tokens", tokens)):
             self.con.register("given", table)
@@ -188,16 +198,19 @@ class Vocabulary:
             self.con.unregister("given")
 
     def _merge(self, words: list[bytes], query: str) -> list[bytes]:
-        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        ends = np.cumsum([len(w) for w in words])
-        toks = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids))
-        self.con.register("words", pa.table({"word": pa.array(range(len(words)), pa.int32()), "toks": toks}))
+        """The ids of words, given as bytes."""
+        return self._contract(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)], [len(w) for w in words], query)
+
+    def _contract(self, ids: np.ndarray, sizes: list[int], query: str) -> list[bytes]:
+        """What the query makes of words, given as ids end to end."""
+        toks = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
+        self.con.register("words", pa.table({"word": pa.array(range(len(sizes)), pa.int32()), "toks": toks}))
         got = self.con.sql(query).to_arrow_table()
         self.con.unregister("words")
         toks = got.column("toks").combine_chunks()
         raw = toks.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
         ends = np.cumsum(toks.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-        out: list = [b""] * len(words)
+        out: list = [b""] * len(sizes)
         for word, a, b in zip(got.column("word").to_pylist(), [0, *ends], ends):
             out[word] = raw[4 * a:4 * b]
         return out
@@ -205,26 +218,109 @@ class Vocabulary:
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit numbers."""
         memo = self.memo
-        new = []
-        for w in {w for w in words if w not in memo}:
+        new = {w for w in words if w not in memo}
+        found, short, long = {}, [], []
+        for w in new:
             if w in self.ranks:  # the whole word is a token
-                memo[w] = np.uint32(self.ranks[w]).tobytes()
+                found[w] = np.uint32(self.ranks[w]).tobytes()
+            elif len(w) <= LONG_WORD:
+                short.append(w)
             else:
-                new.append(w)
-        for query, some in ((_SHORT, [w for w in new if len(w) <= LONG_WORD]), (_LONG, [w for w in new if len(w) > LONG_WORD])):
-            for part in chunks(some, QUERY_WORDS):
-                memo.update(zip(part, self._merge(part, query), strict=True))
-        out = [memo[w] for w in words]
+                long.append(w)
+        if long:
+            found.update(zip(long, self._long(long), strict=True))
+        for part in chunks(short, QUERY_WORDS):
+            found.update(zip(part, self._merge(part, _SHORT), strict=True))
+        out = [memo[w] if w in memo else found[w] for w in words]
+        memo.update((w, ids) for w, ids in found.items() if len(w) <= LONG_WORD)
         if len(memo) > MEMO_WORDS:
             memo.clear()
         return out
 
+    def _long(self, words: list[bytes]) -> list[bytes]:
+        """The ids of long words, all of them together: cut into pieces, short ones contracted to the end, long
+        ones for some rounds and cut again, since what has been contracted leaves fewer tokens that can
+        still cross a place."""
+        bounds = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+        n = int(bounds[-1])
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)].astype(np.int64)
+        ends = np.arange(1, n + 1)  # of the tokens, in bytes
+        occur = tuple(np.concatenate(x) for x in zip(*(
+            (a + first, b + first) for (a, b), first in zip(map(self.occurrences, words), bounds[:-1], strict=True)), strict=True))
+        done: dict[int, bytes] = {}  # by the first byte
+        while len(ids):
+            starts = ends - self.sizes[ids]
+            short, long = {}, []
+            for a, b in self._pieces(ids, ends, occur, n):
+                if b - a == 1:
+                    done[int(starts[a])] = ids[a:b].astype("<u4").tobytes()
+                elif b - a <= LONG_WORD:
+                    short.setdefault(ids[a:b].astype("<u4").tobytes(), []).append(int(starts[a]))
+                else:
+                    long.append((a, b))
+            for part in chunks(list(short), QUERY_WORDS):
+                flat = np.frombuffer(b"".join(part), "<u4")
+                for piece, got in zip(part, self._contract(flat, [len(p) // 4 for p in part], _SHORT), strict=True):
+                    done.update((first, got) for first in short[piece])
+            left = []
+            if long:
+                flat = np.concatenate([ids[a:b] for a, b in long])
+                for (a, b), got in zip(long, self._contract(flat, [b - a for a, b in long], _LONG.format(rounds=ROUNDS)), strict=True):
+                    if len(got) == 4 * (b - a):
+                        done[int(starts[a])] = got
+                    else:
+                        left.append((int(starts[a]), np.frombuffer(got, "<u4").astype(np.int64)))
+            ids = np.concatenate([x for _, x in left]) if left else ids[:0]
+            ends = np.concatenate([first + np.cumsum(self.sizes[x]) for first, x in left]) if left else ends[:0]
+        order = np.array(sorted(done))
+        parts = [done[first] for first in order.tolist()]
+        cuts = np.searchsorted(order, bounds).tolist()
+        return [b"".join(parts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _pieces(self, ids: np.ndarray, ends: np.ndarray, occur: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int]]:
+        """Ranges of tokens between places that no token of the vocabulary, from one token's begin to another's end, occurs across.
+
+        Whatever contraction still makes is such a token, so nothing ever crosses these places."""
+        begins = ends - self.sizes[ids]
+        is_begin, is_end = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        is_begin[begins], is_end[ends] = True, True
+        start, end = (x[is_begin[occur[0]] & is_end[occur[1]]] for x in occur)
+        crossed = np.cumsum(np.bincount(start + 1, minlength=n + 1) - np.bincount(end, minlength=n + 1))
+        fixed = (crossed[ends[:-1]] == 0) | (begins[1:] != ends[:-1])
+        places = [0, *(np.flatnonzero(fixed) + 1).tolist(), len(ids)]
+        return list(zip(places[:-1], places[1:], strict=True))
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Bytes of each token."""
+        sizes = np.zeros(len(self.known), np.int64)
+        for token, rank in self.ranks.items():
+            sizes[rank] = len(token)
+        return sizes
+
+    @cached_property
+    def _finder(self) -> ahocorasick.Automaton:
+        """Finds every token of two bytes or more; bytes are given as the characters of their numbers."""
+        finder = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for token in self.ranks:
+            if len(token) > 1:
+                finder.add_word(token.decode("latin-1"), len(token))
+        finder.make_automaton()
+        return finder
+
+    def occurrences(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of every occurrence of a token of two bytes or more."""
+        found = np.fromiter((end << 16 | size for end, size in self._finder.iter(word.decode("latin-1"))), np.int64)
+        end = (found >> 16) + 1
+        return end - (found & 0xFFFF), end
+
     def decode(self, runs: list[bytes]) -> list[bytes]:
         """The bytes of each run of ids (given as 32-bit numbers)."""
-        memo = self.decoded
+        memo, found = self.decoded, {}
         for part in chunks([r for r in runs if r not in memo], QUERY_WORDS):
-            memo.update(zip(part, self._join(part), strict=True))
-        out = [memo[r] for r in runs]
+            found.update(zip(part, self._join(part), strict=True))
+        out = [memo[r] if r in memo else found[r] for r in runs]
+        memo.update((r, parts) for r, parts in found.items() if len(r) <= 4 * LONG_WORD)
         if len(memo) > MEMO_WORDS:
             memo.clear()
         return out
