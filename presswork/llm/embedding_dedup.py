@@ -183,8 +183,9 @@ def _near_duplicates(rows: DataFrame, cosine: float = COSINE, miss: float = MISS
     # nodes are numbered by the smallest vec_id of their rows
     classes = saved(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     k, tables = parameters(classes.count(), cosine, miss)
-    hashed = saved(map_batches(classes, _hash_classes(k, tables), "id bigint, embedding array<double>, copies bigint, keys array<bigint>"),
-                   "hashed")
+    kind = classes.schema["embedding"].dataType.simpleString()
+    hashed = saved(map_batches(classes.select("id", "embedding", "copies"), _hash_classes(k, tables),
+                               f"id bigint, embedding {kind}, copies bigint, keys array<bigint>"), "hashed")
     keys = hashed.select("id", F.posexplode("keys").alias("slot", "key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")

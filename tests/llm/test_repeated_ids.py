@@ -96,3 +96,21 @@ def test_components_on_documents(spark):
                 label[b] = a
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
     assert got == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
+
+
+def test_vectors_of_the_small_table(spark):
+    """The table as it is stored (single precision), with copies of some rows, against brute force."""
+    from pyspark.sql import functions as F
+
+    from presswork.llm.embedding_dedup import near_duplicates
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    copies = table.filter("vec_id % 7 = 0").select((F.col("vec_id") + 10 ** 6).alias("vec_id"), "embedding")
+    rows = table.union(copies).collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r for r in near_duplicates(table.union(copies)).collect()}
+    assert [got[r.vec_id].n_links for r in rows] == linked.sum(axis=1).tolist()
+    assert all(got[r.vec_id].component_id == r.vec_id - 10 ** 6 for r in rows if r.vec_id >= 10 ** 6)
