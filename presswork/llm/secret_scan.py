@@ -6,11 +6,17 @@ dictionary words, likeness to a path, and the words next to it. It is trained wi
 labelled findings: secrets of common formats and look-alikes (hashes of commits and files, ids,
 paths, identifiers, numbers, place holders), made from a seed and set into ordinary words; the
 number of findings (``FINDINGS``) bounds the training. The dictionary and the transition table come
-from counts over all documents; what is kept of them is bounded (``DICTIONARY`` words, one number
-per pair of characters), so the model can be broadcast. Scanning is one pass without a shuffle.
+from counts over all documents. The dictionary holds each word that makes at least one in ``RATE``
+of all counted words, whatever their number, so there are at most ``RATE`` of them (of 14 letters at
+most) and the model can be broadcast. Scanning is one pass without a shuffle.
+
+A candidate of over ``LONG`` characters (a cookie, a path, a packed list) is judged in parts: its
+pieces between separators and overlapping windows over the whole of it. Parts that are judged secret
+and overlap or touch are one finding, a window's ends moved out to the piece they lie in (by a
+window at most), its probability the highest of its parts.
 
 Edge cases: null and empty texts have no candidates; a candidate is judged wherever it stands, also
-in the last character of a very long text; equal rows give equal findings, once each; of
+in the last character of a very long text or in the middle of a very long run; equal rows give equal findings, once each; of
 overlapping candidates the longer one counts, but a run is cut where a value begins in it, so that
 ``name=value`` is judged as name and value, and the value whole; an empty table trains on the findings alone and finds nothing;
 a null id is kept as the finding's id; further columns are never read (``redact`` keeps them).
@@ -34,11 +40,12 @@ from presswork.llm.common import map_batches, pick, rename_all, saved, slices
 
 FINDINGS, SEED = 4000, 20
 TREES, DEPTH = 30, 8
-DICTIONARY = 20_000
-#: Levels of a word's count per doubling (at most 64 times as many come to the driver).
-LEVELS = 16
-#: Bytes of a candidate that features look at from either end (secrets are shorter).
-LOOK = 512
+#: A word of the dictionary makes at least one in so many of all counted words.
+RATE = 200_000
+#: Characters of a candidate judged as a whole; of a longer one's windows, and from one window to the next.
+LONG, WINDOW, STEP = 256, 64, 32
+#: Parts judged at a time.
+PARTS = 4096
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
 _VALUE = re.compile(r"""[=:][ \t]{0,3}["']?([^\s"'<>|,;]{8,})""")
@@ -46,6 +53,9 @@ _VALUE = re.compile(r"""[=:][ \t]{0,3}["']?([^\s"'<>|,;]{8,})""")
 _NEXT = re.compile(r"&(?:amp;)?[A-Za-z_][\w.\-]{0,40}=")
 _NEXT_OF_ADDRESS = re.compile(r"(?:\?|&(?:amp;)?)[A-Za-z_][\w.\-]{0,40}=")
 _WORD = re.compile(r"[^\W\d_]+")
+#: The pieces of a long candidate, and what of one a window's end is moved over.
+_PIECE = re.compile(r"[^/.=,:;&?\-]{16,}")
+_BEFORE, _AFTER = re.compile(r"[A-Za-z0-9]*\Z"), re.compile(r"[A-Za-z0-9]*")
 #: Words that name a secret, and words that name something that only looks like one.
 SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "auth", "credential", "bearer", "private")
 HARMLESS_NAMES = ("commit", "sha", "md5", "checksum", "hash", "digest", "uuid", "id", "version", "build", "file", "path",
@@ -89,15 +99,9 @@ def build_lexicon(docs: DataFrame) -> Lexicon:
                                          names=["word", "n"])
 
     counts = saved(map_batches(rows, count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    pair, level = F.col("word").startswith("\t"), F.floor(F.log2("n") * LEVELS)
-    # the level of the last word kept, so that tasks hand on hardly more words than that
-    least, have = 0, 0
-    for r in counts.filter(~pair).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        if have >= DICTIONARY:
-            break
-        least, have = r.level, have + r["count"]
-    top = counts.filter(~pair & (level >= least)).orderBy(F.desc("n"), "word").limit(DICTIONARY)
-    got = counts.filter(pair).unionAll(top).collect()  # at most 729 pairs and DICTIONARY words
+    pair = F.col("word").startswith("\t")
+    total = counts.filter(~pair).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    got = counts.filter(pair | (F.col("n") * RATE >= total)).collect()  # at most 729 pairs and RATE words
     table = np.full(27 * 27, 0.5)
     for r in got:
         if r.word.startswith("\t"):
@@ -160,6 +164,22 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """What of a long candidate is judged: its pieces, and windows over all of it."""
+    pieces = [m.span() for m in _PIECE.finditer(text, a, b)]
+    return sorted({*((x, y) for x, y in pieces if y - x <= LONG),
+                   *((x, min(x + WINDOW, b)) for x in range(a, max(a + 1, b - WINDOW + STEP), STEP))})
+
+
+def _whole(text: str, x: int, y: int, a: int, b: int) -> tuple[int, int]:
+    """A part's ends, moved out to the ends of the letters and digits they lie in, within the candidate."""
+    if x > a and text[x].isalnum():
+        x = _BEFORE.search(text[max(a, x - WINDOW):x]).start() + max(a, x - WINDOW)
+    if y < b and text[y - 1].isalnum():
+        y = _AFTER.match(text, y, min(b, y + WINDOW)).end()
+    return x, y
+
+
 def _coverage(value: str, words: frozenset[str]) -> float:
     """Share of the characters that frequent words of three letters or more cover, longest first."""
     low, i, covered = value.lower(), 0, 0
@@ -173,8 +193,6 @@ def _coverage(value: str, words: frozenset[str]) -> float:
 def describe(text: str, start: int, end: int, lexicon: Lexicon) -> list[float]:
     """The features of one candidate, in the order of ``FEATURES``."""
     value = text[start:end]
-    if len(value) > 2 * LOOK:
-        value = value[:LOOK] + value[-LOOK:]
     n = len(value)
     counts = Counter(value)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
@@ -312,7 +330,29 @@ class SecretModel:
     forest: Forest
 
     def judge(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-        return self.forest.probability(np.array([describe(text, a, b, self.lexicon) for a, b in spans]))
+        out = [self.forest.probability(np.array([describe(text, a, b, self.lexicon) for a, b in spans[i:i + PARTS]]))
+               for i in range(0, len(spans), PARTS)]
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def findings(self, text: str, threshold: float) -> list[tuple[int, int, float]]:
+        """(start, end, probability) of the text's candidates in order; of a long one the parts at
+        ``threshold`` or above, or the whole with its highest probability if there are none."""
+        spans = candidates(text)
+        short = [(a, b) for a, b in spans if b - a <= LONG]
+        out = [(a, b, float(p)) for (a, b), p in zip(short, self.judge(text, short), strict=True)]
+        for a, b in spans:
+            if b - a > LONG:
+                cut = parts(text, a, b)
+                chance = self.judge(text, cut)
+                hits: list[tuple[int, int, float]] = []
+                for (x, y), p in sorted((_whole(text, *cut[i], a, b), float(chance[i]))
+                                        for i in np.flatnonzero(chance >= threshold)):
+                    if hits and x <= hits[-1][1]:
+                        hits[-1] = (hits[-1][0], max(y, hits[-1][1]), max(p, hits[-1][2]))
+                    else:
+                        hits.append((x, y, p))
+                out += hits or [(a, b, float(chance.max()))]
+        return sorted(out)
 
 
 def fit(docs: DataFrame, findings: int = FINDINGS) -> SecretModel:
@@ -331,10 +371,9 @@ def find(docs: DataFrame, model: SecretModel, threshold: float = 0.5, rejected:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text and (spans := candidates(text)):
-                    for (a, b), p in zip(spans, held.value.judge(text, spans), strict=True):
-                        if rejected or p >= threshold:
-                            rows.append((doc_id, a, b - a, text[a:b], float(p), bool(p >= threshold)))
+                for a, b, p in held.value.findings(text, threshold) if text else ():
+                    if rejected or p >= threshold:
+                        rows.append((doc_id, a, b - a, text[a:b], p, p >= threshold))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
@@ -356,15 +395,12 @@ def redact(docs: DataFrame, model: SecretModel, threshold: float = 0.5, mark: st
     schema = plain.schema
 
     def clean(text: str | None) -> str | None:
-        spans = candidates(text) if text else []
-        if not spans:
-            return text
         out, last = [], 0
-        for (a, b), p in zip(spans, held.value.judge(text, spans), strict=True):
+        for a, b, p in held.value.findings(text, threshold) if text else ():
             if p >= threshold:
                 out += [text[last:a], mark]
                 last = b
-        return "".join([*out, text[last:]])
+        return "".join([*out, text[last:]]) if out else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
