@@ -2,9 +2,9 @@
 
 A conversation is a log of events (conv_id, seq, kind, msg, role, text). ``message`` opens a
 message, ``delta`` appends text to message ``msg``, ``edit`` replaces its text and ``regenerate``
-empties it for new deltas. The log is partitioned by conversation once; inside a partition the
-events of each message are sorted by sequence and folded, and the final messages of each
-conversation are sorted and rendered:
+empties it for new deltas. The log is partitioned by conversation and message; the events of each
+message are sorted by sequence and folded, and the final messages of each conversation are brought
+together, sorted and rendered:
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
@@ -13,8 +13,9 @@ gets one more backslash, so ``<|`` occurs in the template alone and reading back
 ``%`` and line breaks are written as %25 and %0A. The loss mask marks the text of assistant
 messages, without the template around it.
 
-Scale: one shuffle, of the events. A conversation ends as one string (as its format and its digests
-ask for), so it must fit a row; messages are folded by (conversation, message).
+Scale: two shuffles, of the events by (conversation, message), so the deltas of a hot conversation
+are folded in many tasks, and of the folded messages by conversation. A conversation ends as one
+string (as its format and its digests ask for), so its final messages must fit a row (2 GB).
 
 Edge cases: null role or text counts as empty; an unknown or null kind fails; deltas, edits or
 regenerations without an opening event open their message themselves; several ``message`` events
@@ -78,7 +79,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
     known = F.when(rank > 0, rank).otherwise(F.raise_error(F.concat(F.lit("unknown event kind: "), F.coalesce(
         "kind", F.lit("null")))))
     folded = (
-        log.withColumn("rank", known).repartition("conv_id").groupBy("conv_id", "msg")
+        log.withColumn("rank", known).groupBy("conv_id", "msg")
         .agg(F.array_sort(F.collect_list(F.struct("seq", "rank", "kind", "role", "text"))).alias("events"))
         .withColumn("opens", F.filter(F.sequence(F.lit(1), F.size("events")), lambda i: (i == 1) | (
             F.element_at("events", i)["kind"] == "message")))
