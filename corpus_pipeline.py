@@ -47,8 +47,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("tokens", tokens_stage),
 ]
 
-#: Neither a trained classifier nor near-duplicate components can be put in SQL; the tests hold every
-#: stage against a brute-force version instead.
+#: Neither a trained classifier nor near-duplicate components can be put in SQL; tests/llm holds each
+#: stage against a plain version instead (quality: rows kept as they were, by the classifier's verdicts).
 ORACLE_SQL: str | None = None
 
 
