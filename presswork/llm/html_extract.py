@@ -6,7 +6,8 @@ adverts, forms, scripts, styles, reader comments) are branches of importance 0.
 whole class, id or role, or as its head word ('cookie-notice', not 'no-sidebar'); neither a name nor
 a form counts on an element that holds most of the article's text (of the page's, without an
 article). Articles with less text together than one branch outside them are teasers and count as
-any other element. Where all that leaves nothing, the branch with most text stays. The rest is merged per host into a style tree, in which a node is a path:
+any other element. Where all that leaves nothing, the branch with most text stays. All pages of a host, with and without an article, and
+all their text blocks, named noise included (not scripts, styles and heads), are merged into its style tree, in which a node is a path:
 
 * presentation importance of an inner node: entropy, to the base of the host's pages, of the
   sequences of child tags that its pages have;
@@ -14,13 +15,14 @@ any other element. Where all that leaves nothing, the branch with most text stay
   them (a text on every page has entropy 1, a text of one page 0);
 * composite importance: ``(1 - GAMMA) * presentation of the parent + GAMMA * content``.
 
-Where a page has an article (or main) element, its text outside is dropped and nothing inside goes
-by sharing. The style tree is about the other pages: branches below ``THRESHOLD`` whose content is
-shared go from each. Pages of a host with equal text are one page there, so copies don't make their
-text noise. A host of fewer than ``LEAST_PAGES`` such pages says nothing about sharing, and the path
-with most of a host's text is never removed.
+Branches below ``THRESHOLD`` whose content is shared are noise on every page of the host. They go, and they
+don't count where the text of a page's articles is held against that outside: an article shorter than
+the site's notice beside it is the article still. Where a page has an article (or main) element, its text
+outside is dropped and nothing inside goes by sharing. Pages of a host with equal main text are one page in the tree,
+so copies don't make their text noise. A host of fewer than ``LEAST_PAGES`` such pages says nothing about sharing, and the path
+with most of a host's main text (on a page with articles: of their text) is never removed.
 
-Scale: pages are parsed twice, once to count (host, path, content) of pages without an article, in
+Scale: pages are parsed twice, once to count (host, path, content) of all pages, in
 sums by (host, page text) and then by host, so a hot host costs sums only, and once to extract. The noisy contents of all hosts are
 broadcast while there are at most ``BROADCAST_ROWS``; beyond that the (host, path, content) of each page's blocks are joined with
 them, which spreads a hot host over its contents, and each page gets its own noisy blocks alone. A page is parsed in time in
@@ -73,6 +75,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NOISE_TAGS = frozenset("nav footer aside head button select option dialog menu object canvas audio video svg template noscript "
                        "annotation annotation-xml".split()) | RAW
 OUTER_NOISE_TAGS = frozenset(["header"])
+#: Their text is none of the page's, so it is no node of the style tree.
+UNSEEN_TAGS = RAW | {"head"}
 #: Words of class, id and role that say the same.
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner sidebar menu nav navbar "
@@ -104,6 +108,8 @@ class Block:
     article: int  # the outermost article or main element around it, -1 if none
     noisy: bool
     mark: int  # the innermost element around it that is noise by its name, -1 if none
+    seen: bool = True  # not in a script, style or head
+    named: bool = False  # noise by its tag
     in_article: bool = False
 
 
@@ -175,18 +181,18 @@ class TagEnds:
 class PageParser:
     """Turns the html of one page into blocks and the child sequences of its elements."""
 
-    def __init__(self):
+    def __init__(self, low: frozenset | set = frozenset()):
+        self.low = low  # (path, content) that the host's style tree gives up
         self.blocks: list[Block] = []
         self.children: list[tuple[int, int]] = []  # (path, hash of the child sequence)
         self.marks: list[int] = []  # of elements that are noise by name: the mark around
         self.articles: list[tuple[str, int]] = []  # tag and mark of the outermost article elements
-        self.inner: list[tuple[int, int, int]] = []  # path, hash of the child sequence, mark
         self.buffer: list[str] = []
         self.foreign = 0  # open elements of FOREIGN
         self.ends: dict[str, int] = {}  # where the next end tag of a CLOSED element is
         # tag, path, noisy, article, child tags, mark; the depths of the innermost element that is not
-        # inline, of the innermost container, and of the innermost one that svg and math depend on
-        self.stack: list[list] = [["", 0, False, -1, [], -1, 0, 0, 0]]
+        # inline, of the innermost container, and of the innermost one that svg and math depend on; whether it is seen
+        self.stack: list[list] = [["", 0, False, -1, [], -1, 0, 0, 0, True]]
         self.depths: dict[str, list[int]] = {}  # of the open elements by tag
 
     def parse(self, text: str) -> None:
@@ -249,7 +255,7 @@ class PageParser:
         for b in blocks:
             if b.article in sizes:
                 sizes[b.article] += len(b.text)
-            elif b.article < 0 and (b.mark < 0 or not by_page[b.mark]):
+            elif b.article < 0 and (b.mark < 0 or not by_page[b.mark]) and not self.given_up(b):
                 branches[b.path] = branches.get(b.path, 0) + len(b.text)
         real = any(sizes.values()) and (any(n and self.articles[i][0] != "article" for i, n in sizes.items())
                                         or sum(sizes.values()) >= max(branches.values(), default=0))
@@ -268,7 +274,10 @@ class PageParser:
             best = max(sums, key=sums.get)
             for b in blocks:
                 b.noisy = b.path != best
-        self.children = [(path, tags) for path, tags, mark in self.inner if mark < 0 or not valid[mark]]
+
+    def given_up(self, block: Block) -> bool:
+        """Whether the style tree gives up the block's branch and content."""
+        return bool(self.low) and (block.path, _hash(block.text)) in self.low
 
     def _ends(self, tag: str, text: str, at: int) -> bool:
         """Whether an end tag follows; each is searched for once."""
@@ -288,7 +297,7 @@ class PageParser:
             if text:
                 top = self.stack[-1]
                 inner, above = self.stack[top[6]], self.stack[max(0, top[6] - 1)]
-                self.blocks.append(Block(text, inner[1], above[1], top[3], top[2], top[5]))
+                self.blocks.append(Block(text, inner[1], above[1], top[3], top[2], top[5], top[9], top[2]))
 
     def _open(self, tag: str, attributes: str) -> None:
         if self.foreign and tag in _BREAKS:
@@ -314,7 +323,8 @@ class PageParser:
         path = xxhash.xxh3_64_intdigest(f"{tag}{signature}", seed=top[1] & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
         depth = len(self.stack)
         self.stack.append([tag, path, noisy, article, [], mark, top[6] if tag in INLINE else depth,
-                           depth if tag in _CONTAINERS else top[7], depth if tag in FOREIGN or tag in _HOLDERS else top[8]])
+                           depth if tag in _CONTAINERS else top[7], depth if tag in FOREIGN or tag in _HOLDERS else top[8],
+                           top[9] and tag not in UNSEEN_TAGS])
         self.depths.setdefault(tag, []).append(depth)
         self.foreign += tag in FOREIGN
 
@@ -349,19 +359,19 @@ class PageParser:
     def _pop(self) -> None:
         if self.stack[-1][0] not in INLINE:
             self._flush()
-        tag, path, noisy, _, tags, mark, *_ = self.stack.pop()
+        tag, path, _, _, tags, *_, seen = self.stack.pop()
         self.depths[tag].pop()
         self.foreign -= tag in FOREIGN
-        if tags and not noisy:
-            self.inner.append((path, _hash(" ".join(t for i, t in enumerate(tags) if not i or t != tags[i - 1])), mark))
+        if tags and seen:
+            self.children.append((path, _hash(" ".join(t for i, t in enumerate(tags) if not i or t != tags[i - 1]))))
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def parse(text: str | None) -> PageParser:
-    page = PageParser()
+def parse(text: str | None, low: frozenset | set = frozenset()) -> PageParser:
+    page = PageParser(low)
     page.parse(text or "")
     return page
 
@@ -381,36 +391,39 @@ def _content(page: PageParser) -> list[Block]:
 
 
 def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, path, parent, feature, content?, chars) of each page without an article, each feature
-    once a page; ``page`` is a hash of its text, equal for copies."""
+    """(host, page, path, parent, feature, content?, chars, open?) of each page, each feature once a page; ``page``
+    is a hash of its main text, equal for copies; ``chars`` counts main text alone, ``open`` is text that no tag names."""
     for batch in batches:
         for part in slices(batch, "html"):
-            rows: dict[tuple, int] = {}
+            rows: dict[tuple, tuple[int, bool]] = {}
             for url, text in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                 page, host = parse(text), _host(url)
                 blocks = _content(page)
-                if any(b.in_article for b in blocks):
-                    continue
                 own = _hash("\n".join(b.text for b in blocks))
-                seen = {(host, own, 0, 0, 0, False): 0}  # the page itself
-                for b in blocks:
-                    key = (host, own, b.path, b.parent, _hash(b.text), True)
-                    seen[key] = seen.get(key, 0) + len(b.text)
-                rows |= seen | {(host, own, path, 0, feature, False): 0 for path, feature in page.children}
-            columns = list(zip(*((*k, v) for k, v in rows.items()), strict=True)) or [()] * 7
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+                main = {id(b) for b in [b for b in blocks if b.article >= 0] or blocks}
+                seen = {(host, own, 0, 0, 0, False): (0, False)}  # the page itself
+                for b in page.blocks:
+                    if b.seen:
+                        key = (host, own, b.path, b.parent, _hash(b.text), True)
+                        chars, is_open = seen.get(key, (0, False))
+                        seen[key] = (chars + (len(b.text) if id(b) in main else 0), is_open or not b.named)
+                rows |= seen | {(host, own, path, 0, feature, False): (0, False) for path, feature in page.children}
+            columns = list(zip(*((*k, *v) for k, v in rows.items()), strict=True)) or [()] * 8
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["host", "page", "path", "parent", "feature", "content", "chars"])
+                names=["host", "page", "path", "parent", "feature", "content", "chars", "open"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, feature, importance) of the shared contents in branches of low importance."""
+    """(host, path, feature, importance, open) of the shared contents in branches of low importance."""
     seen = saved(map_batches(pick(pages, "url", "html"), _observations,
-                             "host string, page bigint, path bigint, parent bigint, feature bigint, content boolean, chars bigint")
-                 .groupBy("host", "page", "path", "parent", "feature", "content").agg(F.max("chars").alias("chars"))
+                             "host string, page bigint, path bigint, parent bigint, feature bigint, content boolean, chars bigint, "
+                             "open boolean")
+                 .groupBy("host", "page", "path", "parent", "feature", "content")
+                 .agg(F.max("chars").alias("chars"), F.max("open").alias("open"))
                  .groupBy("host", "path", "parent", "feature", "content")
-                 .agg(F.count("*").alias("pages"), F.sum("chars").alias("chars")), "style-tree")
+                 .agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.max("open").alias("open")), "style-tree")
     hosts = (seen.filter("path = 0 and not content").groupBy("host").agg(F.sum("pages").alias("m"))
              .filter(F.col("m") >= LEAST_PAGES))
     inner = seen.filter("path <> 0 and not content").groupBy("host", "path").agg(
@@ -419,28 +432,30 @@ def style_tree(pages: DataFrame) -> DataFrame:
     inner = inner.join(hosts, "host").select(
         "host", F.col("path").alias("parent"),
         ((F.log("all") - F.col("plogp") / F.col("all")) / F.log("m")).alias("presentation"))
-    texts = seen.filter("content").join(hosts, "host")
+    texts = seen.filter("content")
+    # summed by branch before a host's number of pages is joined, so that a hot host's contents are not dealt by host
     leaves = texts.groupBy("host", "path").agg(
-        F.max("parent").alias("parent"), F.sum("chars").alias("chars"),
-        (1 - F.sum(F.log("pages") / F.log("m")) / F.count("*")).alias("content_importance"))
-    main = leaves.groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
+        F.max("parent").alias("parent"), F.sum("chars").alias("chars"), F.avg(F.log("pages")).alias("shared"))
+    leaves = leaves.join(hosts, "host").withColumn("content_importance", 1 - F.col("shared") / F.log("m"))
+    main = leaves.filter("chars > 0").groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
     judged = (leaves.join(inner, ["host", "parent"], "left").join(main, "host").filter("path <> main")
               .withColumn("importance", (1 - GAMMA) * F.coalesce("presentation", F.lit(0.0))
                           + GAMMA * F.col("content_importance")).filter(F.col("importance") < THRESHOLD))
     return texts.filter("pages > 1").join(judged.select("host", "path", "importance"), ["host", "path"]).select(
-        "host", "path", "feature", "importance")
+        "host", "path", "feature", "importance", "open")
 
 
 def main_text(text: str | None, noisy: frozenset | set = frozenset()) -> str:
     """The main text of one page; ``noisy``: (path, content) hashes of its host's low branches."""
-    blocks = _content(parse(text))
-    return " ".join(b.text for b in blocks if not noisy or b.in_article or (b.path, _hash(b.text)) not in noisy)
+    page = parse(text, noisy)
+    return " ".join(b.text for b in _content(page) if b.in_article or not page.given_up(b))
 
 
 def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html)."""
     rows = pick(pages, "page_id", "url", "html")
-    low = saved(style_tree(rows).select("host", "path", "feature"), "low-branches")
+    # what a tag names goes from every page anyway
+    low = saved(style_tree(rows).filter("open").select("host", "path", "feature"), "low-branches")
     schema = "page_id bigint, url string, text string, n_chars bigint"
 
     def packed(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
@@ -488,13 +503,13 @@ def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _page_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, host, path, feature) of the blocks that may go by sharing, once a page and slice."""
+    """(page, host, path, feature) of the blocks that the style tree may give up, once a page and slice."""
     for batch in batches:
         for part in slices(batch, "html"):
             out = set()
             for url, text in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                 page, host = _page_key(url, text), _host(url)
-                out |= {(page, host, b.path, _hash(b.text)) for b in _content(parse(text)) if not b.in_article}
+                out |= {(page, host, b.path, _hash(b.text)) for b in parse(text).blocks if not b.named}
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
                 columns, (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page", "host", "path", "feature"])

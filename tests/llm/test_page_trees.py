@@ -104,3 +104,26 @@ def test_joined_and_broadcast_agree(spark, seed):
     assert any("Shared" in h and "Shared" not in want(u, h) for _, u, h in rows if h)
     for bound in (1_000_000, -1):
         assert extract(pages.limit(0), broadcast_rows=bound).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1_000_000, -1])
+def test_pages_with_articles_are_in_the_tree(spark, bound):
+    """The notice is seen on pages with long articles; it goes from pages without one, and no short article gives way to it."""
+    from presswork.llm.html_extract import extract, style_tree
+
+    notice = f"<div class=x1>{'All texts on this site belong to somebody. ' * 8}</div>"
+    menu = "<nav><ul><li>Home</li><li>News</li></ul></nav>"
+
+    def page(i, body):
+        return i, f"http://h.org/{i}", f"<head><title>T</title></head><body>{menu}{body}{notice}</body>"
+
+    long = [page(i, f"<article><h1>Overview</h1><p>{f'long {i} ' * 80}</p></article>") for i in range(12)]
+    short = [page(i, f"<article><p>short {i}</p></article>") for i in range(12, 15)]
+    plain = [page(i, f"<div class=t><p>{f'plain {i} ' * 9}</p></div>") for i in range(15, 17)]
+    pages = spark.createDataFrame(long + short + plain, "page_id long, url string, html string")
+    want = {i: f"Overview {f'long {i} ' * 80}".strip() for i in range(12)}  # a subhead that all share stays in an article
+    want |= {i: f"short {i}" for i in range(12, 15)} | {i: (f"plain {i} " * 9).strip() for i in range(15, 17)}
+    assert {r.page_id: r.text for r in extract(pages, broadcast_rows=bound).collect()} == want
+    tree = style_tree(pages)
+    assert tree.filter("open").select("path").distinct().count() == 2  # the notice and the subhead
+    assert tree.filter("not open").select("feature").distinct().count() == 2  # both entries of the menu
