@@ -99,6 +99,7 @@ class Tables:
     traffic_dimensions: DataFrame
     authors: DataFrame
     _rows: dict = field(default_factory=dict, repr=False)
+    _dealt: dict = field(default_factory=dict, repr=False)  # the same rows, dealt and sorted as they are written
 
     @property
     def spark(self) -> SparkSession:
@@ -113,9 +114,12 @@ class Tables:
             "authors": self.authors,
         }
 
+    def table(self, name: str) -> DataFrame:
+        return self.as_dict()[name]
+
     def row_count(self, name: str) -> int:
         if name not in self._rows:
-            self._rows[name] = self.as_dict()[name].count()
+            self._rows[name] = self.table(name).count()
         return self._rows[name]
 
     def register_views(self, prefix: str = "") -> None:
@@ -130,32 +134,67 @@ class Tables:
         even when one day is hot); the event log is range-partitioned and sorted by
         time so that file footers and row-group statistics skip data outside the period.
         """
-        spark = self.spark
-        root = path or os.path.join(checkpoint_dir(spark), "presswork-tables", uuid.uuid4().hex)
-        out = {}
-        for name, df in self.as_dict().items():
-            target = os.path.join(root, name)
-            if name == "editorial_activity":
-                # time ranges per file (file-level skipping), time order inside (row groups)
-                writer_df = df.repartitionByRange("event_timestamp").sortWithinPartitions("event_timestamp")
-            elif name in PARTITION_COLUMNS:
-                # AQE rebalances the write: a hot day is split, small days are merged
-                writer_df = df.hint("rebalance", PARTITION_COLUMNS[name])
-            else:
-                writer_df = df
-            writer = writer_df.write.mode("overwrite")
-            if name in PARTITION_COLUMNS:
-                writer = writer.partitionBy(PARTITION_COLUMNS[name])
-            writer.parquet(target)
-            out[name] = conform(spark.read.parquet(target), SCHEMAS[name])
-        tables = Tables(
+        root = path or _new_root(self.spark)
+        out = {name: self.store(name, root) for name in SCHEMAS}
+        return Tables(
             editorial=out["editorial_activity"],
             traffic_daily=out["traffic_daily"],
             traffic_clean=out["traffic_clean"],
             traffic_dimensions=out["traffic_dimensions"],
             authors=out["authors"],
         )
-        return tables
+
+    def store(self, name: str, root: str) -> DataFrame:
+        """One table written as ``materialize`` writes it, and read back."""
+        df, target = self.table(name), os.path.join(root, name)
+        if name in self._dealt:
+            df = self._dealt[name]
+        elif name == "editorial_activity":
+            # time ranges per file (file-level skipping), time order inside (row groups)
+            df = df.repartitionByRange("event_timestamp").sortWithinPartitions("event_timestamp")
+        elif name in PARTITION_COLUMNS:
+            # AQE rebalances the write: a hot day is split, small days are merged
+            df = df.hint("rebalance", PARTITION_COLUMNS[name])
+        writer = df.write.mode("overwrite")
+        if name in PARTITION_COLUMNS:
+            writer = writer.partitionBy(PARTITION_COLUMNS[name])
+        writer.parquet(target)
+        return conform(self.spark.read.parquet(target), SCHEMAS[name])
+
+
+def _new_root(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), "presswork-tables", uuid.uuid4().hex)
+
+
+class StoredTables(Tables):
+    """Tables of which each is written whole, once, when it is first asked for: a query derives
+    and stores the tables it reads, not those of other queries."""
+
+    def __init__(self, derived: Tables):
+        self._derived, self._root = derived, _new_root(derived.spark)
+        self._stored: dict[str, DataFrame] = {}
+        self._rows, self._dealt = {}, {}
+        self._lock = threading.RLock()
+
+    def table(self, name: str) -> DataFrame:
+        with self._lock:
+            if name not in self._stored:
+                self._stored[name] = self._derived.store(name, self._root)
+            return self._stored[name]
+
+    def as_dict(self) -> dict[str, DataFrame]:
+        return {name: self.table(name) for name in SCHEMAS}
+
+    def held(self, name: str) -> DataFrame | None:
+        """The table if it was asked for."""
+        return self._stored.get(name)
+
+    spark = property(lambda self: self._derived.spark)
+    editorial = property(lambda self: self.table("editorial_activity"))
+    traffic_daily = property(lambda self: self.table("traffic_daily"))
+    traffic_clean = property(lambda self: self.table("traffic_clean"))
+    traffic_dimensions = property(lambda self: self.table("traffic_dimensions"))
+    authors = property(lambda self: self.table("authors"))
 
 
 def _files(spark: SparkSession, targets: list[str]) -> DataFrame:
@@ -214,9 +253,9 @@ _LOCK = threading.Lock()
 
 def load_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tables:
     """Tables for a folder: the five tables if written there, else derived from the
-    driver tables by :mod:`presswork.sources.fixtures` and, with ``materialize``, written
-    once to the shared checkpoint folder (traffic partitioned by date) so that every
-    query reads them as stored tables. One object per session, folder and version of its
+    driver tables by :mod:`presswork.sources.fixtures` and, with ``materialize``, each written
+    once, when a query first asks for it, to the shared checkpoint folder (traffic partitioned by date) so that every
+    query reads stored tables. One object per session, folder and version of its
     files, so the derivation happens once; when the files change, the next call reads them anew
     and what was kept of the old version is released."""
     from presswork.operators.ownership import clear_scopes
@@ -231,7 +270,9 @@ def load_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tab
         if held is not None and _version(spark, held.targets) == held.version:
             return held.tables
         if held is not None:
-            clear_scopes(held.tables.editorial)
+            editorial = held.tables.held("editorial_activity") if isinstance(held.tables, StoredTables) else held.tables.editorial
+            if editorial is not None:
+                clear_scopes(editorial)
         targets = [stored(spark, path, n) for n in SCHEMAS]
         if all(targets):
             version = table_version(spark, targets)  # before the read: a change in between shows next time
@@ -240,7 +281,7 @@ def load_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tab
             targets = [f"{path.rstrip('/')}/{n}.parquet" for n in SOURCES]
             version = table_version(spark, targets)
             derived = derive_tables(spark, path)
-            tables = derived.materialize() if materialize else derived
+            tables = StoredTables(derived) if materialize else derived
         _CACHE[key] = _Loaded(targets, version, tables)
         return tables
 
