@@ -62,10 +62,12 @@ def _jan_2024(day: Column) -> Column:
     return F.make_date(F.lit(2024), F.lit(1), day.cast("int"))
 
 
-def editorial_activity(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
+def editorial_activity(spark: SparkSession, sf_dir: str, settings: Settings = Settings(), by_time: bool = False) -> DataFrame:
     e = _read(spark, sf_dir, "events").select(
         F.floor(F.col("event_id") / 4).cast("bigint").alias("note_id"), "user_id", "event_type", "ts"
     )
+    if by_time:  # as it is written: dealt and sorted before the texts are made, so that neither carries them
+        e = e.repartitionByRange("ts").sortWithinPartitions("ts")
     n = F.col("note_id")
     u = F.col("user_id") % 50
     action = F.lit(OTHER_ACTION)
@@ -188,4 +190,5 @@ def derive_tables(spark: SparkSession, sf_dir: str, settings: Settings = Setting
         traffic_clean=traffic_clean(spark, sf_dir),
         traffic_dimensions=traffic_dimensions(spark, sf_dir),
         authors=authors(spark, sf_dir),
+        _dealt={"editorial_activity": editorial_activity(spark, sf_dir, settings, by_time=True)},
     )

@@ -23,3 +23,12 @@ def test_a_query_stores_the_tables_it_reads(spark, key, reads):
     assert {name for name in SCHEMAS if tables.held(name) is not None} == reads
     assert got == all_entries()[key].build(derived, QueryParams()).collect()
     clear_scopes()
+
+
+def test_stored_rows_are_the_derived_rows_and_events_are_dealt_without_texts(spark):
+    derived = derive_tables(spark, SF001)
+    stored = derived.materialize()
+    for name, df in derived.as_dict().items():
+        assert sorted(map(str, stored.table(name).collect())) == sorted(map(str, df.collect())), name
+    plan = derived._dealt["editorial_activity"]._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Title ") < plan.find("Sort") < plan.find("Repartition")  # from the top: texts, sort, deal
