@@ -12,8 +12,10 @@ manifest, written once, names the files that count. The manifest has one row a f
 
 Encoding: a text is cut into units at ASCII white space and between ASCII punctuation and letters
 (the tokenizer never joins across these); each distinct unit is encoded once by the tokenizers
-library; a worker remembers those of up to ``MEMO_UNIT`` bytes, ``MEMO_BYTES`` in all. Results do not
-depend on the memory. A unit is never divided: a text without blanks is one unit, encoded whole.
+library, many in a call: units of letters with a blank between, told apart by the ids that end a word,
+others with a control character between, whose id is known. A worker remembers units of up to
+``MEMO_UNIT`` bytes, ``MEMO_BYTES`` in all; results do not depend on the memory. A unit is never divided: a text without blanks is one
+unit, encoded whole.
 
 Edge cases: a null or empty text is its end id alone; rows of equal doc_ids are ordered by their texts'
 hashes and may lie in several files;
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from presswork.llm.common import byte_set, chunks, map_batches, pick, saved, scratch_path, slices, string_arrays
+from presswork.llm.common import chunks, map_batches, pick, saved, scratch_path, slices, string_arrays
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -56,13 +59,27 @@ LEVEL = 3
 # Fixed values of the public seekable format: skippable frame, footer, and "checksums follow".
 SKIPPABLE, FOOTER, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
-_SPACE = byte_set(lambda b: b == 32 or 9 <= b <= 13)
-_PUNCTUATION = byte_set(lambda b: 33 <= b <= 126 and not chr(b).isalnum() and b != 39)
-_ALNUM = byte_set(lambda b: b < 128 and chr(b).isalnum())
-#: Lead bytes of two-byte letters (Latin letters with marks). Not letters here: the two signs among
-#: them, and the dotted capital I, whose lower case ends in a combining mark.
-_LATIN = byte_set(lambda b: 0xC3 <= b <= 0xC9)
+#: Kinds of bytes: white space, punctuation, ASCII letters and digits, lead bytes of two-byte letters (Latin letters with
+#: marks), other bytes of letters and signs beyond ASCII; 0: the apostrophe and control characters.
+_SPACE, _MARK, _ALNUM, _LATIN, _BEYOND = range(1, 6)
+_KINDS = bytes(_SPACE if b == 32 or 9 <= b <= 13 else _LATIN if 0xC3 <= b <= 0xC9 else _BEYOND if b > 127 else
+               _ALNUM if chr(b).isalnum() else _MARK if 33 <= b <= 126 and b != 39 else 0 for b in range(256))
+#: Not letters under these lead bytes: two signs, and the dotted capital I, whose lower case ends in a combining mark.
 _NOT_LETTERS = (0xC397, 0xC3B7, 0xC4B0)
+_NO, _YES, _IF_LETTER = range(3)
+
+
+def _begins(before: int, here: int) -> int:
+    """Whether a unit begins at a byte, by the kinds of the byte before and its own."""
+    if here == _SPACE:
+        return _NO
+    if before == _SPACE or (before, here) in ((_MARK, _ALNUM), (_ALNUM, _MARK)):
+        return _YES
+    return _IF_LETTER if (before, here) in ((_MARK, _LATIN), (_LATIN, _MARK), (_BEYOND, _MARK)) else _NO
+
+
+#: ``_begins`` by 8 times the kind before and the kind here.
+_BEGINS = bytes(_begins(i >> 3, i & 7) for i in range(256))
 #: Joins units in one call of the library; a unit that holds it is encoded alone.
 _JOINT = b" \x02 "
 
@@ -72,50 +89,82 @@ def split_units(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     next one or to white space."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    space, mark = _SPACE[data], _PUNCTUATION[data]
-    after, before = np.append(data[1:], 0), np.append(0, data[:-1])
-    before2 = np.concatenate(([0, 0], data[:-2]))[:len(data)]
-    here, back = (x.astype(np.uint16) << 8 | y for x, y in ((data, after), (before2, before)))
-    letter_here = _ALNUM[data] | (_LATIN[data] & ~np.isin(here, _NOT_LETTERS))
-    letter_back = _ALNUM[before] | (_LATIN[before2] & ~np.isin(back, _NOT_LETTERS) & (before >= 0x80))
-    begin = np.zeros(len(data), bool)
-    begin[1:] = (space[:-1] | (mark[:-1] & letter_here[1:]) | (mark[1:] & letter_back[1:] & ~mark[:-1]))
-    begin[offsets[:-1][np.diff(offsets) > 0]] = True
-    begin &= ~space
-    start = np.flatnonzero(begin)
+    kind = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
+    pairs = kind.copy()
+    pairs[1:] |= kind[:-1] << 3
+    begin = np.frombuffer(pairs.tobytes().translate(_BEGINS), np.uint8).copy()
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    begin[heads] = kind[heads] != _SPACE
+    start = np.flatnonzero(begin != _NO)
+    sure = begin[start] == _YES
+    unsure = start[~sure]
+    # the two-byte letter, or sign, that begins here or ends before the punctuation here
+    lead = np.maximum(np.where(kind[unsure] == _MARK, unsure - 2, unsure), 0)
+    sign = data[lead].astype(np.uint16) << 8 | data.take(lead + 1, mode="clip")
+    sure[~sure] = (kind[lead] == _LATIN) & ~np.isin(sign, _NOT_LETTERS)
+    start = start[sure]
     return start, np.diff(np.searchsorted(start, offsets))
 
 
+def _letters(unit: bytes) -> bool:
+    """Whether a unit, in normal form and lower case as the library encodes it, is letters alone."""
+    return unicodedata.normalize("NFC", unit.decode()).lower().isalpha()
+
+
 class Encoder:
     """The tokenizer and the units that a worker has encoded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
         self.bytes = 0
         self.joint = self._ids([_JOINT.decode()])[0]
+        # ids that end a word; none where a word may end in a byte that has no such id
+        vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix and all(c + suffix in vocab for c in ByteLevel.alphabet()):
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, part: list[bytes], words: bool) -> list[bytes] | None:
+        """The ids of each unit from one call for all, or None if it does not tell them apart. A unit of letters alone
+        is one word or more, so as many words as units are one each."""
+        ids = np.array(self._ids([(b" " if words else _JOINT).join(part).decode()])[0], "<u4")
+        if words:
+            first = np.flatnonzero(self.ends[ids]) + 1
+            first, end = np.append(0, first[:-1]), first
+        else:
+            end = np.flatnonzero(ids == self.joint[0])
+            first, end = np.append(0, end + 1), np.append(end, len(ids))
+        if len(end) != len(part):
+            return None
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip((4 * first).tolist(), (4 * end).tolist(), strict=True)]
+
     def encode(self, units: list[bytes]) -> list[bytes]:
         """The ids of each unit as little-endian unsigned 32-bit numbers."""
-        memo, joint = self.memo, self.joint[0]
+        memo = self.memo
         out = list(map(memo.get, units))
         missing = [i for i, ids in enumerate(out) if ids is None]
         new = dict.fromkeys(units[i] for i in missing)
-        alone = [u for u in new if len(u) > MEMO_UNIT or b"\x02" in u]
-        together = [u for u in new if not (len(u) > MEMO_UNIT or b"\x02" in u)] if alone else list(new)
+        words, together, alone = [], [], []
+        for unit in new:
+            (alone if len(unit) > MEMO_UNIT or b"\x02" in unit else words if _letters(unit) else together).append(unit)
+        for part in chunks(words, JOINED):
+            if found := self._joined(part, True):
+                new.update(zip(part, found, strict=True))
+            else:  # not letters to the library
+                together += part
         for part in chunks(together, JOINED):
-            ids = np.array(self._ids([_JOINT.join(part).decode()])[0], "<u4")
-            cuts = np.flatnonzero(ids == joint)
-            if len(cuts) == len(part) - 1:
-                raw, ends = ids.tobytes(), (4 * cuts).tolist()
-                new.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)), strict=True))
+            if found := self._joined(part, False):
+                new.update(zip(part, found, strict=True))
             else:  # the joint's id stands for something else too
                 alone += part
         for part in chunks(alone, JOINED):
@@ -139,8 +188,8 @@ class Encoder:
         array = pa.Array.from_buffers(pa.large_binary(), len(start), [
             None, pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(data)])
         coded = array.dictionary_encode()
-        parts = pa.array([np.uint32(END_ID).tobytes(), *self.encode(list(map(bytes.rstrip, coded.dictionary.to_pylist())))],
-                         pa.large_binary())
+        units = list(map(bytes.rstrip, coded.dictionary.to_numpy(zero_copy_only=False)))
+        parts = pa.array([np.uint32(END_ID).tobytes(), *self.encode(units)], pa.large_binary())
         # an end id (code 0) after the units of each text
         codes = np.insert(coded.indices.to_numpy() + 1, np.cumsum(counts), 0)
         bounds, raw = string_arrays(parts.take(pa.array(codes)), pa.large_binary())
